@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm import chat
 from corpusmill.llm.common import read_table
 from corpusmill.llm.language_id import identify
 from corpusmill.llm.line_dedup import dedup_lines
 from corpusmill.llm.quality_gam import quality_scores
 from corpusmill.llm.quality_gbt import quality_rules
+from corpusmill.llm.toxicity import toxicity_scores
+from corpusmill.llm.warc import page_number, read_archives, write_archives
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,35 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    records = chat.conversation_records(rows.unionByName(added))
+    done = chat.format_turns(chat.canonical_turns(records)).select("conv_id", "formatted", "loss_segments")
+    back = done.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("loss_segments")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    out = toxicity_scores(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
+    return records.where("kind = 'record'").select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -33,6 +65,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_chat_format": op4_chat_format,
+    "op5_toxicity": op5_toxicity,
+    "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
@@ -61,4 +96,24 @@ FROM keyed d LEFT JOIN gone g USING (k)
 GROUP BY d.doc_id
 """
 
-ORACLE_SQL = {"op8_line_dedup": LINE_DEDUP_SQL}
+CHAT_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+escaped AS (
+  SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\e'),
+      '<(\|start\|>|\|sep\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|<SYS>>|</SYS>>)', '\\l\1', 'g'),
+      '\[(INST\]|/INST\])', '\\b\1', 'g') AS body
+  FROM said
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(9 + length(role) + 7 + length(body) + 8)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op4_chat_format": CHAT_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
