@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import chat
 from corpusmill.llm.common import read_table
+from corpusmill.llm.decontamination import contaminated_pairs
 from corpusmill.llm.language_id import identify
 from corpusmill.llm.line_dedup import dedup_lines
+from corpusmill.llm.near_dup import near_duplicates
+from corpusmill.llm.packing import pack
 from corpusmill.llm.quality_gam import quality_scores
 from corpusmill.llm.quality_gbt import quality_rules
 from corpusmill.llm.toxicity import toxicity_scores
@@ -20,6 +23,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return contaminated_pairs(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -44,6 +56,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
 
 
+def op6_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"), width=2)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_archives(write_archives(read_table(spark, sf_dir, "pages", "page_id", "url", "html")))
     return records.where("kind = 'record'").select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_number("refers_to").alias("refers_to"))
@@ -65,8 +81,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_retrieval_packing": op2_retrieval_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op6_minhash_near_dup": op6_minhash_near_dup,
     "op7_warc": op7_warc,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
