@@ -28,8 +28,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.llm.common import id_remainder, label_sample, ship
 
@@ -208,17 +210,37 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     return model
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted and the passages of every row; held-out labels are never read."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS, pass_through: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted and the passages of every row; held-out labels are never read.
+
+    With ``pass_through`` the rows of ``docs`` and score and predicted (which
+    replace columns of these names), in the same pass.
+    """
     seen = labels.where(id_remainder("doc_id", folds) != held_fold)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, seen, label, sample_rows))
 
+    def judge(texts, cache: WordScores) -> tuple[np.ndarray, list]:
+        rows = [summary(*examine(t, cache), model.value) for t in texts]
+        return model.value.probability(np.array([r[0] for r in rows]).reshape(-1, 2)), [r[1] for r in rows]
+
+    if pass_through:
+        keep = [c for c in docs.columns if c not in ("score", "predicted")]
+        fields = [f for f in docs.schema.fields if f.name in keep]
+
+        def extend(batches):
+            cache = WordScores(model.value)
+            for batch in batches:
+                score, _ = judge(batch.column("text").to_pylist(), cache)
+                own = [batch.column(c) for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+
+        return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(extend, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
     def run(batches):
         cache = WordScores(model.value)
         for pdf in batches:
-            rows = [summary(*examine(t, cache), model.value) for t in pdf["text"]]
-            score = model.value.probability(np.array([r[0] for r in rows]).reshape(-1, 2))
-            passages = [[{"first_word": a, "end_word": b, "significance": float(s)} for a, b, s in r[1]] for r in rows]
+            score, found = judge(pdf["text"], cache)
+            passages = [[{"first_word": a, "end_word": b, "significance": float(s)} for a, b, s in x] for x in found]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32), "passages": passages})
 
     rows = docs.select("doc_id", "text", (id_remainder("doc_id", folds) == held_fold).alias("held_out"))
