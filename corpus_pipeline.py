@@ -1,4 +1,75 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""Corpus cleaning: toxicity, line dedup, near-dedup, decontamination, packing.
+
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame. ``run`` writes what a stage returns as Parquet into the shared
+folder and reads it again as the docs of the next one, so a lost executor never
+makes an earlier stage run again. All stages but the last return the columns of
+documents; packing returns a row per piece.
+
+Defined cases: rows with a null doc_id are kept by every filter that needs an id;
+a null text is clean, has one empty line, no near-duplicate and one closing token;
+empty tables give no rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.llm.common import forget, materialise, read_table
+from corpusmill.llm.decontamination import decontaminate
+from corpusmill.llm.line_dedup import dedup_lines
+from corpusmill.llm.near_dup import near_duplicates
+from corpusmill.llm.packing import pack
+from corpusmill.llm.toxicity import toxicity_scores
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject, in one pass over the texts."""
+    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
+    scored = toxicity_scores(docs, labels, pass_through=True)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many others hold; n_chars follows the text."""
+    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: shingles of five words, similarity 0.8."""
+    gone = near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in windows of related texts."""
+    return pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dup", drop_near_duplicates),
+    ("decontamination", drop_benchmark),
+    ("packing", pack_windows),
+]
+
+#: Classifier, MinHash and packing are beyond SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "*")
+    last = None
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            forget(last)
+        last = docs
+    return docs
