@@ -1,0 +1 @@
+"""Review-corpus analytics on Spark: ingest, resolve, screen, audit and report."""
