@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from corpusmill.functions import text as T
 from corpusmill.functions import values as V
 from corpusmill.operators import assessment as A
-from corpusmill.operators import audit, boolean_query, dedup, flow, gold, review, screening
+from corpusmill.operators import audit, boolean_query, dedup, flow, gold, question, review, screening
+from corpusmill.operators.adapters import RuleAdapter
 from corpusmill.plans.tables import RECORDS, SCREENED, records, screened, table
 from corpusmill.sources import ingest
 
@@ -582,3 +583,78 @@ def safety_rates(spark, sf_dir):
     two = F.to_json(F.array(F.struct(F.lit("title").alias("source"), F.col("Title").alias("quote")), F.struct(F.lit("abstract").alias("source"), F.col("Abstract").substr(F.lit(1), F.lit(20)).alias("quote"))))
     payload = F.when(i % 4 == 0, two).when(i % 4 == 1, '[{"source":"title","quote":"@@ no @@"}]').when(i % 4 == 2, '{"broken":1}').otherwise("")
     return gold.safety_rates(screened(spark, sf_dir).withColumn("Evidence_JSON", payload))
+
+
+# --- model answers --------------------------------------------------------------
+
+
+@query("""SELECT doc_id AS question_id, g.place::BIGINT AS place, g.role, CASE g.place WHEN 0 THEN source || ' training' WHEN 1 THEN lang || ' scores' ELSE 'adult readers' END AS canonical, true AS compiled
+FROM documents, (VALUES (0, 'intervention_or_method'), (1, 'outcome'), (2, 'population')) g(place, role)""")
+def question_parse(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    asked = F.concat(F.lit("How does "), F.col("source"), F.lit(" training affect "), F.col("lang"), F.lit(" scores among adult readers?"))
+    out = question.parse_questions(d.select(F.col("doc_id").alias("question_id"), asked.alias("question")))
+    return out.select("question_id", "place", "role", "canonical", "compiled")
+
+
+@query(f"""SELECT doc_id::VARCHAR AS paper_id, CASE WHEN bar THEN 'REJECT' WHEN hit THEN CASE WHEN bar2 THEN 'MAYBE' ELSE 'KEEP' END ELSE 'MAYBE' END AS decision,
+  CASE WHEN bar THEN 'not_required' WHEN hit AND bar2 THEN 'disagreement' WHEN hit THEN 'agreement' WHEN bar2 THEN 'disagreement' ELSE 'both_maybe' END AS agreement FROM (
+  SELECT *, contains(w, 'license') AS bar, contains(w, 'the ') AS hit, contains(w, 'reserved') AS bar2 FROM (SELECT doc_id, lower(trim(Title) || ' ' || Abstract) AS w FROM {RECORDS} WHERE trim(Title) <> ''))""")
+def adapter_screen(spark, sf_dir):
+    """Both stages with rule adapters: only what needs a second reading gets one."""
+    papers = records(spark, sf_dir).where(T.has_value("Title")).select(F.col("doc_id").cast("string").alias("paper_id"), T.ustrip("Title").alias("title"), F.col("Abstract").alias("abstract"))
+    out = screening.two_stage(papers, RuleAdapter(("the ",), ("license",)), RuleAdapter(("the ",), ("license", "reserved")))
+    return out.select("paper_id", F.col("Decision").alias("decision"), F.col("Agreement_Status").alias("agreement"))
+
+
+RUBRIC = {"inclusion": [{"id": "I1", "role": "MANDATORY"}, {"id": "I2", "role": "UNRESOLVED"}], "exclusion": ["E1"], "groups": []}
+
+
+@query("""SELECT batch_id, paper_id, CASE WHEN k = 0 THEN 'schema_invalid' WHEN k = 1 THEN 'unknown_id_in_response' WHEN m = 0 THEN 'missing_or_unknown_id' WHEN m = 1 THEN 'invalid_exclusion_assessments' WHEN m = 2 THEN 'quote_not_found_in_source' ELSE '' END AS failure,
+  CASE WHEN k < 2 OR m < 3 THEN '' WHEN m = 3 THEN 'semantic_contradiction' WHEN m = 4 THEN 'valid_with_verification_required' ELSE 'valid' END AS validation_status,
+  CASE WHEN k < 2 OR m < 3 THEN '' WHEN m = 3 THEN 'MAYBE' ELSE 'KEEP' END AS decision FROM (
+  SELECT (doc_id // 10)::BIGINT AS batch_id, doc_id::VARCHAR AS paper_id, doc_id // 10 % 7 AS k, doc_id % 10 AS m FROM documents WHERE trim(string_split(text, chr(10))[1]) <> '')""")
+def batch_validation(spark, sf_dir):
+    """Raw answers of every fault: broken JSON, strange ids, missing papers, wrong criteria, false quotes."""
+    papers = records(spark, sf_dir).where(T.has_value("Title")).select(F.floor(F.col("doc_id") / 10).alias("batch_id"), F.col("doc_id").cast("string").alias("paper_id"), T.ustrip("Title").alias("title"), F.col("Abstract").alias("abstract"), (F.col("doc_id") % 10).alias("m"))
+    criterion = lambda i, s: F.struct(F.lit(i).alias("criterion_id"), s.alias("status"))
+    item = F.struct(
+        "paper_id", F.lit("KEEP").alias("decision"), F.lit(0.9).alias("confidence"), F.lit("r").alias("reason"), F.when(F.col("m") == 2, "@@ none @@").otherwise(F.col("title")).alias("evidence_quote"),
+        F.array(criterion("I1", F.when(F.col("m") == 3, "NOT_MET").otherwise("MET")), criterion("I2", F.when(F.col("m") == 4, "UNCLEAR").otherwise("MET"))).alias("inclusion_assessments"),
+        F.array(criterion("E1", F.lit("NOT_MET"))).alias("exclusion_assessments"), F.array().cast("array<string>").alias("risk_flags"),
+    )
+    item = F.when(F.col("m") == 1, item.withField("exclusion_assessments", F.array(criterion("E9", F.lit("MET"))))).otherwise(item)
+    answers = papers.where("m <> 0").groupBy("batch_id").agg(F.collect_list(item).alias("items"))  # ten papers a batch
+    strange = F.transform("items", lambda i: i.withField("paper_id", F.concat(F.lit("x"), i["paper_id"])))
+    k = F.col("batch_id") % 7
+    raw = F.when(k == 0, "{ not JSON").when(k == 1, F.to_json(F.struct(strange.alias("items")))).otherwise(F.concat(F.lit("```json\n"), F.to_json(F.struct("items")), F.lit("\n```")))
+    out = A.validate_batch(answers.select("batch_id", raw.alias("raw")), papers.drop("m"), RUBRIC)
+    return out.select("batch_id", "paper_id", "failure", "validation_status", F.coalesce("assessment.decision", F.lit("")).alias("decision"))
+
+
+@query("""SELECT doc_id, doc_id % 5 = 0 OR doc_id % 5 = 4 AS valid, CASE doc_id % 5 WHEN 1 THEN 'unknown evidence id for C1: title_999' WHEN 2 THEN 'missing criterion assessments: C2' WHEN 3 THEN 'KEEP conflicts with met exclusions: C2' ELSE '' END AS first_error,
+  (CASE WHEN doc_id % 5 = 1 THEN 0 ELSE 1 END)::BIGINT AS exact, doc_id % 5 = 4 AS warned FROM documents WHERE trim(string_split(text, chr(10))[1]) <> ''""")
+def criteria_validation(spark, sf_dir):
+    m = F.col("doc_id") % 5
+    span = F.array(F.struct(F.lit("title").alias("source"), F.when(m == 1, "title_999").otherwise("title_001").alias("evidence_id")))
+    none = F.array().cast("array<struct<source:string,evidence_id:string>>")
+    one = lambda i, v, e: F.struct(F.lit(i).alias("criterion_id"), v.alias("verdict"), e.alias("evidence"))
+    both = F.array(one("C1", F.lit("MET"), span), one("C2", F.when(m == 3, "MET").otherwise("NOT_MET"), none))
+    given = F.when(m == 2, F.slice(both, 1, 1)).otherwise(both)
+    protocol = [{"id": "C1", "kind": "inclusion", "required": True}, {"id": "C2", "kind": "exclusion", "required": True}]
+    v = A.validate_criteria(F.col("Title"), F.col("Abstract"), F.lit("KEEP"), F.when(m == 4, 0.5).otherwise(0.9), given, protocol, F.lit(False))
+    out = records(spark, sf_dir).where(T.has_value("Title")).select("doc_id", v.alias("v"))
+    return out.select("doc_id", "v.valid", F.coalesce(F.get("v.errors", F.lit(0)), F.lit("")).alias("first_error"), F.col("v.exact").cast("long").alias("exact"), (F.size("v.warnings") > 0).alias("warned"))
+
+
+@query("""SELECT doc_id, CASE WHEN m = 0 THEN 'KEEP' WHEN m = 3 THEN 'KEEP' ELSE 'MAYBE' END AS decision, CASE m WHEN 0 THEN 'primary_definitive' WHEN 1 THEN 'review_technical_failure' WHEN 2 THEN 'both_maybe' WHEN 3 THEN 'reviewer_resolved' END AS agreement,
+  CASE WHEN m = 1 THEN 'local_review_failure' ELSE '' END AS failure, m IN (0, 3) AS repaired FROM (SELECT doc_id, doc_id % 4 AS m FROM documents WHERE trim(string_split(text, chr(10))[1]) <> '')""")
+def local_review(spark, sf_dir):
+    """First answers with wrong quotes, then the second reading of the MAYBEs: one fails, one stays, one decides."""
+    m = F.col("doc_id") % 4
+    rows = records(spark, sf_dir).where(T.has_value("Title")).withColumn("row_id", F.col("doc_id"))
+    first = screening.local_row(rows.select("row_id", "Title", "Abstract", F.when(m == 0, "KEEP").otherwise("MAYBE").alias("decision"), F.lit(0.8).alias("confidence"), F.when(m == 0, "@@ none @@").otherwise("").alias("evidence_quote")))
+    second = screening.local_row(rows.where(m != 0).select("row_id", "Title", "Abstract", F.when(m == 1, "???").when(m == 2, "MAYBE").otherwise("KEEP").alias("decision"), F.lit(0.9).alias("confidence"), F.lit("@@ none @@").alias("evidence_quote")))
+    out = screening.apply_review(first, second)
+    fixed = F.col("Evidence_Repaired") | ((F.col("Agreement_Status") == "reviewer_resolved") & (F.col("Evidence_Quote") == F.col("Title")))
+    return out.select(F.col("row_id").alias("doc_id"), F.col("Decision").alias("decision"), F.col("Agreement_Status").alias("agreement"), F.col("Failure_Class").alias("failure"), fixed.alias("repaired"))
