@@ -51,4 +51,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     starts = F.concat(F.array(F.lit(-1)), F.col("gone"))
     kept = F.flatten(F.transform(starts, lambda s, i: F.slice(F.col("lines"), s + 2, F.coalesce(F.get(F.col("gone"), i), F.size("lines")) - s - 1)))
     new = {"text": F.array_join(kept, "\n"), "n_lines": F.size("lines").cast("long"), "n_dropped": F.size("gone").cast("long")}
-    return own.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in new], *[v.alias(c) for c, v in new.items()])
+    made = own.select("d", F.struct(*[v.alias(c) for c, v in new.items()]).alias("made"))  # apart, so that no column of docs hides one
+    return made.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in new], *[F.col(f"made.{c}") for c in new])

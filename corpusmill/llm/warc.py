@@ -148,7 +148,7 @@ def parse_record(data: bytes) -> dict:
     """Fields of one whole WARC record; raises BadRecord if any check fails."""
     head, found, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not found or not lines[0].startswith("WARC/1."):
+    if not found or not re.fullmatch(r"WARC/1\.\d+", lines[0]) or not all(re.match(r"[^\s:]+:", x) or x[:1] in " \t" for x in lines[1:]):
         raise BadRecord("no WARC header")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     if not fields.get("content-length", "").isdigit():
