@@ -38,12 +38,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialise, ship
+from corpusmill.llm.common import forget, materialise, ship
 
 COORDINATES = 32
 MIN_MATCHES = 14
 #: Documents under a key of which all pairs are compared, if in different components.
 SMALL_KEY = 40
+#: Preceding tokens that a posting carries to tell whether a pair has met already.
+LOOK_BACK = 8
+#: Longs of a set's parity map.
+PARITY_LONGS = 8
+PARITY_BITS = (64 * PARITY_LONGS).bit_length() - 1
 #: Slots of the shingle frequency sketch, which bounds the broadcast to 4 MB.
 SKETCH_BITS = 20
 #: Words whose hashes a worker holds.
@@ -148,11 +153,13 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, width:
 
 
 def rare_shingles(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, rep, n_shingles, component, at): the shingles in the prefix of each text.
+    """(token, rep, n_shingles, component, at, before, parity): the shingles in the prefix of each text.
 
     The prefix takes the rarest shingles first, by a frequency sketch over all
     ``rows`` of rep, component and text (any order that all texts share is exact).
-    Shingles that only one text has are skipped; ``at`` is the place in the order.
+    Shingles that only one text has are skipped; ``at`` is the place in the order,
+    ``before`` the last few of the shingles before it, and ``parity`` tells of each
+    slot of the hash whether an odd number of the set's shingles fall into it.
     """
     held = materialise(rows.select("rep", "component", "text").dropDuplicates(["rep"]), "near-crowded")
     spark = held.sparkSession
@@ -177,17 +184,30 @@ def rare_shingles(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 often = shipped.value[s >> np.uint64(64 - SKETCH_BITS)]
                 order = np.lexsort((s, often))[: len(s) - (percent * len(s) + 99) // 100 + 1]
                 at = np.flatnonzero(often[order] > 1)
-                yield pd.DataFrame({"token": s[order[at]].view(np.int64), "rep": rep, "n_shingles": len(s), "component": component, "at": at})
+                tokens = s[order[at]].view(np.int64)
+                odd = np.bincount((s >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1
+                parity = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+                before = [tokens[max(0, k - LOOK_BACK) : k].tolist() for k in range(len(tokens))]
+                yield pd.DataFrame({"token": tokens, "rep": rep, "n_shingles": len(s), "component": component, "at": at, "before": pd.Series(before, dtype=object), "parity": pd.Series([parity] * len(tokens), dtype=object)})
 
-    return held.mapInPandas(prefix, "token long, rep long, n_shingles long, component long, at long")
+    return held.mapInPandas(prefix, "token long, rep long, n_shingles long, component long, at long, before array<long>, parity array<long>")
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) in different components under one token that may still reach the similarity."""
+    """Distinct (a, b) in different components under one token that may still reach the similarity.
+
+    Tokens that both sides have just before show that the pair met there already.
+    A slot of odd parity on one side only holds a shingle that the other lacks, so
+    the number of such slots bounds the difference of the sets from below.
+    """
     x, y = rows.alias("x"), rows.alias("y")
     sizes = F.col("x.n_shingles"), F.col("y.n_shingles")
     left = F.least(sizes[0] - F.col("x.at"), sizes[1] - F.col("y.at"))  # they have no more in common
     wanted = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
+    wanted = wanted & ~F.arrays_overlap("x.before", "y.before")
+    if "parity" in rows.columns:
+        apart = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(PARITY_LONGS)), F.lit(0))
+        wanted = wanted & ((100 + percent) * apart <= (100 - percent) * (sizes[0] + sizes[1]))
     joined = x.join(y, wanted & similar_enough(*sizes, percent) & ((100 + percent) * left >= percent * (sizes[0] + sizes[1])))
     return joined.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
@@ -203,9 +223,11 @@ def components(edges: DataFrame) -> DataFrame:
         jump = state.select(F.col("node").alias("next"), F.col("component").alias("jumped"))
         following = stepped.join(jump, "next", "left").select("node", F.col("component").alias("was"), F.least("next", F.coalesce("jumped", "next")).alias("component"))
         following = materialise(following, "near-labels")
+        forget(state)
         changed = following.where("component <> was").limit(1).count()
         state = following.select("node", "component")
         if not changed:
+            forget(both)
             return state
 
 
@@ -230,7 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # pairs under a key in different components; keys with one component are done
     placed = materialise(posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    small = placed.join(several.where(F.col("n") <= SMALL_KEY), "key").select(F.col("key").alias("token"), "rep", "n_shingles", "component", F.lit(0).alias("at"))
+    small = placed.join(several.where(F.col("n") <= SMALL_KEY), "key").select(F.col("key").alias("token"), "rep", "n_shingles", "component", F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"))
     crowded = placed.join(several.where(F.col("n") > SMALL_KEY), "key").select("rep", "component").distinct()
     rare = rare_shingles(crowded.join(texts, "rep"), width, percent)
     pairs = cross_pairs(small, percent).union(cross_pairs(rare, percent)).distinct().join(first, ["a", "b"], "left_anti")
@@ -239,5 +261,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # classes, links of both rounds
     edges = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).union(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")).union(more)
     final = components(edges)
+    for done in (members, reps, posted, links, placed, more):
+        forget(done)
     rows = own.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
