@@ -3,8 +3,10 @@
 Units are words and, as back-off for inflected or unseen forms, their first five
 and four characters. Each unit gets a log-odds ratio between toxic and clean
 labelled documents with a Dirichlet prior in proportion to the pooled counts; a
-unit counts only if the ratio is significant (``MIN_Z``), and a word takes the
-score of its most specific unit, any other word the (negative) mean of the rest.
+unit counts only if it is in ``MIN_DOCS`` documents and its z score passes the
+universal threshold sqrt(2 ln n) of the n units tested, which keeps chance out at
+any vocabulary size. A word takes the score of its most specific unit, any other
+word the (negative) mean of the rest.
 The linear scan of Ruzzo and Tompa over these scores yields every maximal
 segment. Extreme-value statistics of clean training documents turn a segment
 score s in a text of n words into s' = lambda * s - ln(K n); the best s' and the
@@ -37,9 +39,10 @@ from corpusmill.llm.common import id_remainder, label_sample, ship
 
 SAMPLE_ROWS = 40_000
 MAX_UNITS = 100_000
-MIN_Z = 3.0
 #: Weight of the Dirichlet prior, as a share of the pooled counts.
 PRIOR = 0.1
+#: Documents that a unit must be in to be tested.
+MIN_DOCS = 5
 #: A segment is a passage if by chance fewer than this many are expected in its text.
 MAX_EXPECTED = 0.05
 CACHE_WORDS = 300_000
@@ -151,7 +154,7 @@ def _unit_counts(rows: DataFrame) -> DataFrame:
 def _log_odds(counts: DataFrame) -> tuple[dict[str, float], float]:
     """Scores of the significant units, and the score of all other words."""
     words = ~F.col("unit").endswith("\x01")
-    total = counts.agg(F.sum(F.when(words, F.col("toxic"))).alias("t"), F.sum(F.when(words, F.col("clean"))).alias("c")).first()
+    total = counts.agg(F.sum(F.when(words, F.col("toxic"))).alias("t"), F.sum(F.when(words, F.col("clean"))).alias("c"), F.count_if(F.col("toxic") + F.col("clean") >= MIN_DOCS).alias("n")).first()
     t, c = float(total["t"] or 0), float(total["c"] or 0)
     if not t or not c:
         return {}, -0.02
@@ -159,21 +162,37 @@ def _log_odds(counts: DataFrame) -> tuple[dict[str, float], float]:
     a, b, more = F.col("toxic") + prior, F.col("clean") + prior, PRIOR * (t + c)
     odds = F.log(a / (F.lit(t + more) - a)) - F.log(b / (F.lit(c + more) - b))
     scored = counts.select("unit", "toxic", "clean", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    kept = scored.where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "unit").limit(MAX_UNITS).toPandas()
+    kept = scored.where(F.col("toxic") + F.col("clean") >= MIN_DOCS).where(F.abs("z") >= float(np.sqrt(2 * np.log(max(2, total["n"]))))).orderBy(F.abs("z").desc(), "unit").limit(MAX_UNITS).toPandas()
     plain = kept[~kept["unit"].str.endswith("\x01")]
     rest = (max(1.0, t - plain["toxic"].sum()) / t) / (max(1.0, c - plain["clean"].sum()) / c)
     return dict(zip(kept["unit"], kept["odds"], strict=True)), float(min(-0.005, np.log(rest)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    one = np.column_stack([np.ones(len(x)), x])
-    w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(one @ w, -30, 30)))
-        hess = (one * (p * (1 - p))[:, None]).T @ one + ridge
-        step = np.linalg.solve(hess, one.T @ (y - p) - ridge @ w)
-        w += np.clip(step, -2, 2)
-    return float(w[0]), float(max(0, w[1])), float(max(0, w[2]))
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
+    """Intercept and two weights by damped Newton steps; a feature of negative weight is left out."""
+    used = list(range(x.shape[1]))
+    while True:
+        one = np.column_stack([np.ones(len(x)), x[:, used]])
+        w, eye = np.zeros(one.shape[1]), ridge * np.eye(one.shape[1])
+
+        def loss(v, one=one):
+            raw = one @ v
+            return np.logaddexp(0, raw).sum() - y @ raw + ridge / 2 * v @ v
+
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(one @ w, -30, 30)))
+            step = np.linalg.solve((one * (p * (1 - p))[:, None]).T @ one + eye, one.T @ (y - p) - ridge * w)
+            size = 1.0
+            while size > 1e-6 and loss(w + size * step) > loss(w):
+                size /= 2
+            w = w + size * step
+        worst = int(np.argmin(w[1:])) if len(used) else -1
+        if worst < 0 or w[1 + worst] >= 0:
+            break
+        used.pop(worst)
+    out = np.zeros(x.shape[1])
+    out[used] = w[1:]
+    return float(w[0]), float(out[0]), float(out[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
