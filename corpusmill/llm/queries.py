@@ -135,4 +135,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op4_chat_format": CHAT_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
+WARC_SQL = r"""
+WITH s AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ h AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS first FROM s)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(list_transform(range(8), lambda g: ('0x' || substr(hex, g::INT * 5 + 1, 5))::BIGINT),
+    lambda v: list_extract('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> 15)::INT + 1) || list_extract('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31)::INT + 1)
+      || list_extract('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31)::INT + 1) || list_extract('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31)::INT + 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h
+"""
+
+#: Counts common shingles of all pairs of like size, so it is for small tables.
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w WHERE len(ws) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ k AS (SELECT s.doc_id, s.g, n.n FROM s JOIN n USING (doc_id)),
+ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+       GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a WHERE r.c < e.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
+"""
+
+ORACLE_SQL = {"op4_chat_format": CHAT_SQL, "op6_minhash_near_dup": NEAR_DUP_SQL, "op7_warc": WARC_SQL, "op8_line_dedup": LINE_DEDUP_SQL}

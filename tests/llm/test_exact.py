@@ -372,14 +372,14 @@ def brute_tiles_fast(doc, item):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op4_chat_format", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op4_chat_format", "op6_minhash_near_dup", "op7_warc", "op8_line_dedup"])
 def test_sql_agrees(spark, name):
     import duckdb
 
     from corpusmill.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ours = QUERIES[name](spark, SF)
     theirs = con.execute(ORACLE_SQL[name])
