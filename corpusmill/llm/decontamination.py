@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,39 +142,54 @@ def matches(text: str | None, block: Block, cache: TokenHashes) -> Iterator[tupl
             yield block.ids[i], sum(n for *_, n in found) / len(item), len(found)
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, width: int = MIN_TILE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, coverage, n_tiles) of all pairs at ``min_coverage`` or more."""
-    spark = docs.sparkSession
-    ship(spark)
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_bytes``, each small enough to ship to every executor."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(total) // block_bytes))
-    out = None
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        rows = [(r["item_id"], r["text"]) for r in own.toLocalIterator()]  # one block: about block_bytes
+        yield [(r["item_id"], r["text"]) for r in own.toLocalIterator()]
+
+
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, width: int = MIN_TILE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, coverage, n_tiles) of all pairs at ``min_coverage`` or more."""
+    spark = docs.sparkSession
+    ship(spark)
+    out = None
+    for rows in item_blocks(benchmark, block_bytes):
         shipped = spark.sparkContext.broadcast(rows)
 
         def run(batches, shipped=shipped):
             block, cache = Block(shipped.value, width), TokenHashes()
             for pdf in batches:
-                best: dict = {}
                 found = []
                 for at, text in enumerate(pdf["text"]):
-                    best.clear()
+                    best: dict = {}
                     for item, coverage, n in matches(text, block, cache):
                         if coverage >= min_coverage and coverage > best.get(item, (0.0, 0))[0]:
                             best[item] = (coverage, n)
                     found += [(at, item, c, n) for item, (c, n) in best.items()]
-                ids = pdf["doc_id"].astype("Int64")
-                yield pd.DataFrame({"doc_id": ids.iloc[[f[0] for f in found]].to_numpy() if found else pd.array([], dtype="Int64"), "item_id": pd.array([f[1] for f in found], dtype="Int64"), "coverage": [float(f[2]) for f in found], "n_tiles": pd.array([f[3] for f in found], dtype="Int64")})
+                ids = pdf["doc_id"].astype("Int64").array
+                yield pd.DataFrame({"doc_id": ids.take([f[0] for f in found]), "item_id": pd.array([f[1] for f in found], dtype="Int64"), "coverage": pd.array([f[2] for f in found], dtype="float64"), "n_tiles": pd.array([f[3] for f in found], dtype="Int64")})
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, item_id long, coverage double, n_tiles long")
         out = part if out is None else out.union(part)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated documents (rows with a null doc_id stay)."""
-    hit = contaminated_pairs(docs, benchmark, **options).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("hit_id"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, width: int = MIN_TILE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text no item contaminates: one pass for each block, without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    for rows in item_blocks(benchmark, block_bytes):
+        shipped = spark.sparkContext.broadcast(rows)
+
+        def run(batches, shipped=shipped):
+            block, cache = Block(shipped.value, width), TokenHashes()
+            for batch in batches:
+                clean = [all(c < min_coverage for _, c, _ in matches(t, block, cache)) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
