@@ -107,7 +107,7 @@ def test_word_scores_are_kneser_ney():
 
 def test_language_edges(frame):
     rows = [(i, "the cat and the hat" if i % 2 else "die katze und der hut", "en" if i % 2 else "de") for i in range(30)]
-    rows += [(100, None, "en"), (101, "123 ... 45", None), (102, "THE HAT", None), (None, "und die katze", None)]
+    rows += [(100, None, "en"), (101, "123 ... 45 ²", None), (102, "THE HAT", None), (None, "und die katze", None)]
     docs = frame(rows, "doc_id long, text string, lang string")
     out = {r["doc_id"]: r for r in lang.identify(docs).collect()}
     assert out[100]["lang_pred"] == out[101]["lang_pred"] == "und" and out[100]["score"] == 0
