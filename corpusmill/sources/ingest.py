@@ -94,7 +94,8 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     import pandas as pd
 
     try:
-        table = pd.read_excel(path, sheet_name=0, dtype=str, keep_default_na=False)
+        engine = "xlrd" if path.lower().endswith(".xls") else "openpyxl"
+        table = pd.read_excel(path, sheet_name=0, dtype=str, keep_default_na=False, engine=engine)
     except ImportError as e:
         raise RuntimeError("reading workbooks needs the optional openpyxl or xlrd") from e
     return spark.createDataFrame(table.astype(str))

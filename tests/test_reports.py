@@ -185,3 +185,27 @@ def test_sql_agrees(spark, name):
     rows = lambda it, cols: sorted(str([r[cols.index(c)] for c in order]) for r in it)
     assert sorted(ours.columns) == order
     assert rows([tuple(r) for r in ours.collect()], ours.columns) == rows(theirs.fetchall(), columns)
+
+
+def test_workbooks(spark, tmp_path):
+    pd = pytest.importorskip("pandas")
+    path = str(tmp_path / "x.xlsx")
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError:
+        open(path, "wb").write(b"PK")
+        with pytest.raises(RuntimeError, match="optional"):
+            ingest.read_excel(spark, path)
+        return
+    pd.DataFrame({"Title": ["a"], "Cited by": ["0"]}).to_excel(path, index=False)
+    assert ingest.read_excel(spark, path).first()["Cited by"] == "0"
+
+
+def test_json_documents(spark, tmp_path):
+    path = tmp_path / "d.json"
+    path.write_text('{"a": 1, "b": {"c": "x"}}')
+    schema = "a int, b struct<c:string>"
+    assert ingest.read_json_document(spark, str(path), schema).first()["b"]["c"] == "x"
+    path.write_text("{broken")
+    assert ingest.read_json_document(spark, str(path), schema).first()["a"] is None
+    assert ingest.read_json_document(spark, str(tmp_path / "none.json"), schema).first()["a"] is None
