@@ -52,8 +52,11 @@ def consolidate(records: DataFrame, place: list[str], unify_doi: bool = False) -
     at = F.struct(*[F.col(c) for c in place])
     key = match_key(F.col("DOI") if "DOI" in fields else F.lit(""), F.col("Title") if "Title" in fields else F.lit(""), F.concat_ws("/", *[F.col(c) for c in place]), unify_doi)
     payload = F.struct(*[text(F.col(f"`{c}`")).alias(c) for c in fields])
-    row = F.struct((-_count([c for c in CORE if c in fields])).alias("r1"), (-_count(fields)).alias("r2"), at.alias("at"), payload.alias("v"))
-    groups = records.select(key.alias("match_key"), row.alias("row")).groupBy("match_key").agg(F.array_sort(F.collect_list("row")).alias("rows"), F.min("row.at").alias("first_place"))
+    # equal records count once: folding one a second time changes nothing, and a group
+    # of exact copies shrinks before it is shuffled
+    once = records.select(key.alias("match_key"), payload.alias("v"), (-_count([c for c in CORE if c in fields])).alias("r1"), (-_count(fields)).alias("r2"), at.alias("at")).groupBy("match_key", "r1", "r2", "v").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    row = F.struct("r1", "r2", "at", "v")
+    groups = once.groupBy("match_key").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("at").alias("first_place"), F.sum("n").alias("group_size"))
 
     def fold(acc: Column, r: Column) -> Column:
         out = []
@@ -67,7 +70,7 @@ def consolidate(records: DataFrame, place: list[str], unify_doi: bool = False) -
 
     base = F.get("rows", F.lit(0))["v"]
     merged = F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), base, fold)
-    out = groups.select("match_key", F.size("rows").cast("long").alias("group_size"), "first_place", merged.alias("m"))
+    out = groups.select("match_key", "group_size", "first_place", merged.alias("m"))
     return out.select("match_key", "group_size", *[F.col(f"first_place.{c}").alias(c) for c in place], "m.*")
 
 
