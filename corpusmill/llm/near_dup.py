@@ -8,7 +8,7 @@
    pair agrees on one of the ``COORDINATES - MIN_MATCHES + 1`` rarest keys of
    either document, so only this prefix is posted, and keys that no other document
    has are skipped. A pair of Jaccard similarity 0.8 misses the threshold with a
-   probability below 1e-5.
+   probability of 1.2e-6.
 3. Hub round: under each key every document is paired with one hub, the document
    whose keys are the most frequent (in a group of copies the one closest to all
    others). This is linear in the postings however large a group is. Candidates
@@ -17,8 +17,9 @@
    add anything. Under keys of at most ``SMALL_KEY`` documents they are compared
    as they are, which is linear in the postings. The documents under larger keys
    that hold several components (a group of copies and its outsiders) go through
-   an exact join on the rarest shingles with the positional bound: a pair that
-   may reach the similarity has an early rare shingle in common. So no link is
+   an exact join on the rarest shingles. A pair that may reach the similarity has
+   an early rare shingle in common (positional bound), and its sets differ in few
+   slots of a parity map (a bound of the difference from below). So no link is
    lost, and a group is never expanded into all its pairs.
 5. Components come from label propagation with pointer jumping; each round is
    written to the shared folder.
@@ -26,8 +27,8 @@
 Defined cases: a null text or one without words has the empty set, links with
 nothing and is its own component; with fewer words than a shingle has, the whole
 sequence is the one shingle; rows with a null doc_id link with nothing; rows that
-share a doc_id are one document with the union of their links, each row with its
-own set size; an empty table gives no rows; extra columns are ignored.
+share a doc_id are one document, which any of their texts may link, each row with
+its own set size; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
