@@ -209,3 +209,20 @@ def test_json_documents(spark, tmp_path):
     path.write_text("{broken")
     assert ingest.read_json_document(spark, str(path), schema).first()["a"] is None
     assert ingest.read_json_document(spark, str(tmp_path / "none.json"), schema).first()["a"] is None
+
+
+def test_questions_of_any_words():
+    import random
+
+    from corpusmill.operators.question import RELATIONS, VERBS
+
+    words = [*VERBS, *sorted(RELATIONS), *"how does what is the effect of alpha betas and or , ( ) ? . versus compared used GPS Global Positioning Systems combined 2020 review".split()]
+    rng = random.Random(1)
+    for k in range(3000):
+        q = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 16)))
+        q = f"How does {q}?" if k % 2 else q
+        try:
+            groups = parse(q)
+        except ValueError:
+            continue
+        assert all(q[g.start : g.end] == g.text and g.components and g.terms for g in groups)
