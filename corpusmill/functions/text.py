@@ -40,8 +40,14 @@ def has_value(c: Column | str) -> Column:
 
 
 def norm_dedup(c: Column | str) -> Column:
-    """Matching key text: stripped, lower case, white space runs as one space."""
-    return F.regexp_replace(F.lower(stripped(c)), r"(?U)\s+", " ")
+    """Matching key text: stripped, lower case, white space runs as one space.
+
+    Texts of ASCII only take the plain patterns, which are several times faster.
+    """
+    s = text(c)
+    plain = F.regexp_replace(F.lower(F.btrim(s, F.lit(" \t\n\x0b\f\r"))), r"\s+", " ")
+    wide = F.regexp_replace(F.lower(ustrip(s)), r"(?U)\s+", " ")
+    return F.when(F.length(s) == F.octet_length(s), plain).otherwise(wide)
 
 
 def norm_query(c: Column | str) -> Column:

@@ -75,6 +75,10 @@ def consolidate(records: DataFrame, place: list[str], unify_doi: bool = False) -
 
 
 def group_counts(records: DataFrame, key: Column) -> DataFrame:
-    """records_identified, groups and duplicates_removed; counted with map-side combining."""
-    sizes = records.select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    """records_identified, groups and duplicates_removed; counted with map-side combining.
+
+    A key may be a whole text, so 128 bits of its hash are shuffled instead.
+    """
+    k = records.select(key.alias("k")).select(F.xxhash64("k").alias("k1"), F.xxhash64(F.lit("second"), "k").alias("k2"))
+    sizes = k.groupBy("k1", "k2").agg(F.count("*").alias("n"))
     return sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("records_identified"), F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates_removed"))
