@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 LOCAL_SHARED = "/tmp/checkpoints/corpusmill"
 
 
+#: Spark's default for the bytes of an Arrow batch, and what it becomes.
+BATCH_BYTES = ("67108864b", "16777216b")
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver runs elsewhere."""
+    """Let Python workers import this package even if the driver runs elsewhere.
+
+    Whole texts are large, so unless the session names another size, batches of
+    16 MB keep the workers small.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) == BATCH_BYTES[0]:
+        spark.conf.set(key, BATCH_BYTES[1])
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(":") if p]
