@@ -1,21 +1,23 @@
 """Lexical retrieval packing of whole documents into windows of 1024 tokens.
 
-Each input split is packed on its own, in index shards of at most ``SHARD_DOCS``
-documents: no shuffle, bounded memory, no key that could be hot, and a lost task
-packs its split again with the same result. A document fills windows of its own
-as long as it can; what is left, its tail, goes to the shard. There an inverted
-index over the token ids of the whole documents, with BM25 weights, answers for
-each seed (the longest unused tail) with its unused neighbours, best first. They
-fill the seed's window whole while they fit; the best one that does not fit is
-cut to fill the rest, and its remainder goes back to the pool. Terms in more than
-half of a shard's documents have no positive BM25 weight and are left out, which
-changes no result. Tails over from a shard wait for the next; the last window of
-a split is cut into sequences whose lengths are powers of two, so that nothing
-is padded.
-
-Defined cases: a null text is empty and has only the closing id; repeated rows
-and ties keep their input order; an empty table gives no rows; extra columns are
-ignored; a null doc_id stays null.
+A document fills windows of its own as long as it can; what is left is its tail.
+The longest tails are the seeds of windows: as many as the other tails can fill.
+A seed's neighbours are searched among all unused tails of the table, by BM25 over
+the token ids of whole documents with the document frequencies and the mean length
+of the whole table. The unused tails lie in index blocks in the shared folder, and
+each block of seeds is scored against every one of them, so no neighbour is out of
+reach; the cost grows with the square of the number of documents. A tail goes to
+the seed that it scores best with. Tails fill a window whole while they fit, best
+first; the best one that does not fit is cut to fill the rest, and its remainder
+goes back to the pool. What is unclaimed goes to the next seed that found it; then
+windows that are not full search the whole pool again, for more neighbours. The last ``shard_docs`` tails are packed by one task in the
+same way; what fills no window there is cut into sequences whose lengths are powers
+of two, so that nothing is padded. Terms in more than half of the documents have no
+positive BM25 weight and are left out, which changes no result.
+
+Defined cases: a null text is empty and has only the closing id; ties have a fixed
+order; an empty table gives no rows; extra columns are ignored; a null doc_id stays
+null.
 """
 
 from __future__ import annotations
@@ -23,17 +25,24 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+from pyarrow import dataset, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ship
+from corpusmill.llm.common import forget, materialise, ship
 
 WINDOW = 1024
+#: So many tails at last are packed by one task.
 SHARD_DOCS = 512
+#: Seeds and tails of a block of scores; neighbours of a seed in the first search.
+SEED_BLOCK, INDEX_BLOCK, NEIGHBOURS = 256, 2048, 64
+#: Rounds of claims among the neighbours of one search.
+CLAIMS = 8
 K1, B = 1.2, 0.75
 CLOSING = 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,39 +83,60 @@ def token_ids(text: str | None, name: str = TOKENIZER) -> np.ndarray:
 class Tail:
     """What is left of a document, and the terms of all of it."""
 
-    __slots__ = ("counts", "doc_id", "ids", "start", "terms", "total")
+    __slots__ = ("counts", "doc_id", "left", "start", "terms", "total")
 
     def __init__(self, doc_id, ids: np.ndarray, start: int):
-        self.doc_id, self.ids, self.start, self.total = doc_id, ids[start:].copy(), start, len(ids)
+        self.doc_id, self.start, self.left, self.total = doc_id, start, len(ids) - start, len(ids)
         self.terms, self.counts = np.unique(ids, return_counts=True)
 
+    @classmethod
+    def of(cls, row) -> Tail:
+        out = cls.__new__(cls)
+        out.doc_id, out.start, out.left, out.total = row.uid, row.start, row.left, row.total
+        out.terms, out.counts = np.frombuffer(row.terms, "<u4"), np.frombuffer(row.counts, "<u4")
+        return out
+
     def cut(self, n: int) -> tuple:
         """Take the first ``n`` ids away as a piece."""
-        ids, self.ids = self.ids[:n], self.ids[n:]
         self.start += n
-        return self.doc_id, self.start - n, ids, self.total
+        self.left -= n
+        return self.doc_id, self.start - n, n
+
+
+class Statistics:
+    """Document frequencies and mean length of a whole table."""
+
+    def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        self.n, self.mean = n, mean
+        self.idf = np.zeros(int(terms.max()) + 1 if len(terms) else 1)
+        self.idf[terms] = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
+        #: Columns of the terms common enough for a dense product; -1 for the rest.
+        common = terms[(32 * df >= n) & (self.idf[terms] > 0)]
+        self.column = np.full(len(self.idf), -1)
+        self.column[common] = np.arange(len(common))
+        self.width = len(common)
+
+    def weights(self, terms, counts, totals) -> np.ndarray:
+        return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * totals / self.mean))
 
 
 class Index:
-    """BM25 postings of one shard: by term, the tails and their weights."""
+    """BM25 postings: by term, the tails and their weights; statistics of the tails themselves if none are given."""
 
-    def __init__(self, tails: list[Tail]):
-        n = len(tails)
-        sizes = [len(t.terms) for t in tails]
+    def __init__(self, tails: list[Tail], statistics: Statistics | None = None):
         terms = np.concatenate([t.terms for t in tails])
         counts = np.concatenate([t.counts for t in tails]).astype(np.float64)
-        owner = np.repeat(np.arange(n), sizes)
+        owner = np.repeat(np.arange(len(tails)), [len(t.terms) for t in tails])
         lengths = np.array([t.total for t in tails], dtype=np.float64)
         order = np.argsort(terms, kind="stable")
-        self.terms, first, df = np.unique(terms[order], return_index=True, return_counts=True)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
-        norm = counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[owner] / lengths.mean()))
-        self.owner, self.weight = owner[order], norm[order] * np.repeat(idf, df)
-        self.first, self.df, self.useful, self.n = first, df, idf > 0, n
+        self.terms, self.first, self.df = np.unique(terms[order], return_index=True, return_counts=True)
+        s = statistics or Statistics(len(tails), lengths.mean(), self.terms, self.df)
+        self.owner, self.weight = owner[order], s.weights(terms, counts, lengths[owner])[order]
+        self.useful, self.n = s.idf[self.terms] > 0, len(tails)
 
     def scores(self, tail: Tail) -> np.ndarray:
-        at = np.searchsorted(self.terms, tail.terms)
-        at = at[self.useful[at]]
+        at = np.minimum(np.searchsorted(self.terms, tail.terms), len(self.terms) - 1)
+        at = at[(self.terms[at] == tail.terms) & self.useful[at]]
         if not len(at):
             return np.zeros(self.n)
         df = self.df[at]
@@ -115,104 +145,323 @@ class Index:
         return np.bincount(self.owner[spots], self.weight[spots], self.n)
 
 
-def fill(tails: list[Tail]) -> Iterator[list[tuple]]:
-    """Full windows (lists of pieces) from the tails; those that cannot fill one stay in the list."""
-    index = Index(tails)
-    left = np.array([len(t.ids) for t in tails])
-    total = int(left.sum())
-    while total >= WINDOW:
-        seed = int(np.argmax(left))
-        scores = index.scores(tails[seed])
-        room = WINDOW - int(left[seed])
-        window = [tails[seed].cut(int(left[seed]))]
-        left[seed] = 0
-        if room:
-            unused = np.flatnonzero(left)
-            for k in unused[np.argsort(-scores[unused], kind="stable")].tolist():
-                if left[k] <= room:
-                    room -= int(left[k])
-                    window.append(tails[k].cut(int(left[k])))
-                    left[k] = 0
-                    if not room:
-                        break
-            if room:
-                unused = np.flatnonzero(left)
-                k = int(unused[np.argmax(scores[unused])])
-                window.append(tails[k].cut(room))
-                left[k] -= room
-        total -= WINDOW
-        yield window
-    tails[:] = [t for t in tails if len(t.ids)]
-
-
-def last_windows(tails: list[Tail]) -> Iterator[list[tuple]]:
-    """Sequences of decreasing powers of two from tails of less than a window in all."""
-    total = sum(len(t.ids) for t in tails)
+def fill(tails: list[Tail], statistics: Statistics | None = None, open_windows: list[tuple] = ()) -> Iterator[tuple]:
+    """(window, offset, piece) of full windows from the tails, those left ``open_windows`` (seed, room) first.
+
+    Tails that cannot fill a window stay in the list.
+    """
+    waiting = sorted(open_windows, key=lambda w: w[1])
+    if not tails:
+        return
+    index = Index(tails, statistics)
+    left = np.array([t.left for t in tails])
+    while waiting or int(left.sum()) >= WINDOW:
+        if waiting:
+            seed, room = waiting.pop(0)
+            scores = index.scores(seed)
+        else:
+            k = int(np.argmax(left))
+            seed, room = tails[k], WINDOW - int(left[k])
+            scores = index.scores(seed)
+            left[k] = 0
+            yield seed.doc_id, 0, seed.cut(seed.left)
+        unused = np.flatnonzero(left)
+        ranked = unused[np.argsort(-scores[unused], kind="stable")]
+        for k, piece in fit([tails[k] for k in ranked], room):
+            yield seed.doc_id, WINDOW - room, piece
+            room -= piece[2]
+            left[ranked[k]] -= piece[2]
+    tails[:] = [t for t in tails if t.left]
+
+
+def fit(ranked: list[Tail], room: int) -> Iterator[tuple[int, tuple]]:
+    """(place, piece) of ranked tails: whole ones while they fit, then the best other one, cut."""
+    for k, t in enumerate(ranked):
+        if not room:
+            return
+        if t.left <= room:
+            room -= t.left
+            yield k, t.cut(t.left)
+    if room:
+        for k, t in enumerate(ranked):
+            if t.left:
+                yield k, t.cut(room)
+                return
+
+
+def last_windows(tails: list[Tail]) -> Iterator[tuple]:
+    """(window, offset, piece) of sequences of decreasing powers of two from tails of less than a window in all."""
+    total = sum(t.left for t in tails)
     queue = list(tails)
     for bit in range(total.bit_length() - 1, -1, -1):
-        room, window = total & (1 << bit), []
+        size = room = total & (1 << bit)
         while room:
-            piece = queue[0].cut(min(room, len(queue[0].ids)))
-            room -= len(piece[2])
-            window.append(piece)
-            if not len(queue[0].ids):
+            piece = queue[0].cut(min(room, queue[0].left))
+            yield bit, size - room, piece
+            room -= piece[2]
+            if not queue[0].left:
                 queue.pop(0)
-        if window:
-            yield window
-
-
-def sequences(rows: Iterator[tuple], name: str = TOKENIZER, shard_docs: int = SHARD_DOCS) -> Iterator[list[tuple]]:
-    """All windows of a stream of (doc_id, text)."""
-    pool: list[Tail] = []
-    for doc_id, text in rows:
-        ids = token_ids(text, name)
-        whole = len(ids) // WINDOW * WINDOW
-        for start in range(0, whole, WINDOW):
-            yield [(doc_id, start, ids[start : start + WINDOW], len(ids))]
-        if whole < len(ids):
-            pool.append(Tail(doc_id, ids, whole))
-        if len(pool) >= shard_docs:
-            yield from fill(pool)
-    if pool:
-        yield from fill(pool)
-        yield from last_windows(pool)
+
+
+def block_scores(seeds: list[Tail], tails: list[Tail], s: Statistics) -> np.ndarray:
+    """BM25 of every tail for every seed: common terms by a dense product, the others by postings."""
+
+    def entries(rows):
+        return np.repeat(np.arange(len(rows)), [len(t.terms) for t in rows]), np.concatenate([t.terms for t in rows])
+
+    row, term = entries(seeds)
+    owner, term_of = entries(tails)
+    totals = np.array([t.total for t in tails], dtype=np.float64)
+    weight = s.weights(term_of, np.concatenate([t.counts for t in tails]).astype(np.float64), totals[owner])
+    q, d = np.zeros((len(seeds), s.width), np.float32), np.zeros((len(tails), s.width), np.float32)
+    c = s.column[term]
+    q[row[c >= 0], c[c >= 0]] = 1
+    rare = (c < 0) & (s.idf[term] > 0)
+    c = s.column[term_of]
+    d[owner[c >= 0], c[c >= 0]] = weight[c >= 0]
+    out = q @ d.T
+    keep = (c < 0) & (weight > 0)
+    order = np.argsort(term_of[keep], kind="stable")
+    sorted_terms, owner, weight = term_of[keep][order], owner[keep][order], weight[keep][order]
+    row, term = row[rare], term[rare]
+    first = np.searchsorted(sorted_terms, term)
+    n = np.searchsorted(sorted_terms, term, side="right") - first
+    ends = np.cumsum(n)
+    if len(ends) and ends[-1]:
+        spots = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
+        flat = np.repeat(row, n) * len(tails) + owner[spots]
+        out += np.bincount(flat, weight[spots], out.size).reshape(out.shape).astype(np.float32)
+    return out
+
+
+def _blocks(path: str, size: int) -> Iterator[list[Tail]]:
+    """The tails of a folder of Parquet files, from any store that pyarrow can open."""
+    store, at = fs.FileSystem.from_uri(path)
+    for batch in dataset.dataset(at, format="parquet", filesystem=store).to_batches(batch_size=size, batch_readahead=1, fragment_readahead=1):
+        if batch.num_rows:
+            yield [Tail.of(r) for r in batch.to_pandas().itertuples(index=False)]
+
+
+def nearest(seeds: list[Tail], blocks: Iterator[list[Tail]], s: Statistics, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and (uid, start, left) of the ``k`` best of all tails for each seed, -1 where there are fewer.
+
+    Equal scores, as those of exact copies, are dealt to the seeds by a hash.
+    """
+    best, who = np.full((len(seeds), k), -1, np.float32), np.full((len(seeds), k, 3), -1, np.int64)
+    mix = lambda rows, by: (np.array([t.doc_id for t in rows], np.int64) * by).astype(np.uint32) | np.uint32(1)
+    a = mix(seeds, 2654435761)
+    for tails in blocks:
+        scores = block_scores(seeds, tails, s)
+        scores += (a[:, None] * mix(tails, 2246822519)[None, :] >> np.uint32(16)).astype(np.float32) * np.float32(1e-9)
+        m = min(k, len(tails))
+        at = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m < len(tails) else np.tile(np.arange(m), (len(seeds), 1))
+        facts = np.array([(t.doc_id, t.start, t.left) for t in tails], np.int64)
+        both = np.concatenate([best, np.take_along_axis(scores, at, 1)], axis=1)
+        names = np.concatenate([who, facts[at]], axis=1)
+        at = np.argsort(-both, axis=1, kind="stable")[:, :k]
+        best, who = np.take_along_axis(both, at, 1), np.take_along_axis(names, at[:, :, None], 1)
+    return best, who
+
+
+TAIL = "uid long, start int, left int, total int, terms binary, counts binary"
+PIECE = "uid long, start int, length int, window long, offset int"
+
+
+def _tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """A row per document with a number of its own: its ids, and the terms of all of it."""
+
+    def run(batches):
+        task = TaskContext.get()
+        uid = (task.partitionId() if task else 0) << 36
+        for pdf in batches:
+            held: list[tuple] = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                ids = token_ids(text, tokenizer)
+                terms, counts = np.unique(ids, return_counts=True)
+                start = len(ids) // WINDOW * WINDOW
+                held.append((uid, None if pd.isna(doc_id) else int(doc_id), start, len(ids) - start, len(ids), terms.tobytes(), counts.astype("<u4").tobytes(), ids.tobytes()))
+                uid += 1
+            out = pd.DataFrame(held, columns=["uid", "doc_id", "start", "left", "total", "terms", "counts", "ids"])
+            out["doc_id"] = pd.array([h[1] for h in held], dtype="Int64")
+            yield out
+
+    return docs.select("doc_id", "text").mapInPandas(run, TAIL + ", doc_id long, ids binary")
+
+
+def _statistics(tokens: DataFrame) -> Statistics:
+    """From one count per term and task; the vocabulary bounds what reaches the driver."""
+
+    def run(batches):
+        df = np.zeros(0, np.int64)
+        for pdf in batches:
+            got = np.bincount(np.concatenate([np.frombuffer(t, "<u4") for t in pdf["terms"]])) if len(pdf) else df[:0]
+            wide = np.zeros(max(len(df), len(got)), np.int64)
+            wide[: len(df)] += df
+            wide[: len(got)] += got
+            df = wide
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"term": at, "df": df[at]})
+
+    df = tokens.select("terms").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    n, mean = tokens.agg(F.count("*"), F.avg("total")).first()
+    return Statistics(n, mean or 1.0, df["term"].to_numpy(np.int64), df["df"].to_numpy(np.int64))
+
+
+def _seeds(pool: DataFrame) -> DataFrame:
+    """The uids of the longest tails, as many as the others can fill."""
+    sizes = {r["left"]: r["count"] for r in pool.groupBy("left").count().collect()}  # at most 1,023
+    rest = sum(n * k for n, k in sizes.items())
+    for size in sorted(sizes, reverse=True):
+        # m seeds of this size take m windows from what is left
+        m = min(sizes[size], rest // WINDOW)
+        rest -= m * WINDOW
+        if m < sizes[size]:
+            part = pool.where(F.col("left") == size).orderBy(F.xxhash64("uid"), "uid").select("uid").limit(m)
+            return pool.where(F.col("left") > size).select("uid").unionByName(part)
+    return pool.select("uid")
+
+
+def _search(windows: DataFrame, pool: DataFrame, s: Statistics, k: int) -> DataFrame:
+    """uid, start, left, window, room, score: the ``k`` best of the pool for each open window."""
+    path = pool.inputFiles()[0].rsplit("/", 1)[0] if pool.inputFiles() else ""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), SEED_BLOCK):
+                part = pdf.iloc[at : at + SEED_BLOCK]
+                best, who = nearest([Tail.of(r) for r in part.itertuples(index=False)], _blocks(path, INDEX_BLOCK), s, k)
+                out = pd.DataFrame(who.reshape(-1, 3), columns=["uid", "start", "left"])
+                out["window"], out["room"] = np.repeat(part["uid"].to_numpy(), k), np.repeat(part["room"].to_numpy(), k)
+                out["score"] = best.ravel()
+                yield out[out["uid"] >= 0]
+
+    return windows.mapInPandas(run, "uid long, start int, left int, window long, room int, score float")
+
+
+def _claim(found: DataFrame) -> DataFrame:
+    """Pieces: each tail goes to the window that it scores best with, each window takes what fits."""
+    tail = F.max_by(F.struct("start", "left", "window", "room", "score"), F.struct("score", "window")).alias("x")
+    own = found.groupBy("uid").agg(tail).select("uid", "x.*")
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "uid", "start", "left")))
+    groups = own.groupBy("window").agg(F.first("room").alias("room"), F.count("*").alias("n"), ranked.alias("r"))
+    groups = groups.select("window", "room", F.transform("r", lambda x: x["uid"]).alias("uid"), F.transform("r", lambda x: x["start"]).alias("start"), F.transform("r", lambda x: x["left"]).alias("left"))
+
+    def run(batches):
+        for pdf in batches:
+            held = []
+            for g in pdf.itertuples(index=False):
+                tails, room = [], int(g.room)
+                for uid, start, left in zip(g.uid, g.start, g.left, strict=True):
+                    t = Tail.__new__(Tail)
+                    t.doc_id, t.start, t.left = int(uid), int(start), int(left)
+                    tails.append(t)
+                # one with claims that fit whole stays open for more
+                for _, (uid, start, n) in fit(tails, room):
+                    held.append((uid, start, n, g.window, WINDOW - room))
+                    room -= n
+            yield pd.DataFrame(held, columns=["uid", "start", "length", "window", "offset"])
+
+    return groups.mapInPandas(run, PIECE)
+
+
+def _less(rows: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
+    """``rows`` of tails (by uid) or windows without what the pieces take; used up ones go."""
+    taken = pieces.groupBy(key).agg(F.sum("length").cast("int").alias("n"))
+    out = rows.join(taken, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if key == "uid":
+        out = out.withColumn("left", F.col("left") - F.col("n")).withColumn("start", F.col("start") + F.col("n")).where("left > 0")
+    else:
+        out = out.withColumn("room", F.col("room") - F.col("n")).where("room > 0")
+    return out.drop("n").select(*rows.columns)
+
+
+def _finish(windows: DataFrame, pool: DataFrame, s: Statistics) -> DataFrame:
+    """Pieces of the last open windows and tails, few enough for one task."""
+    both = windows.withColumn("kind", F.lit(0)).unionByName(pool.withColumn("room", F.lit(0)).withColumn("kind", F.lit(1)))
+
+    def run(batches):
+        frames = list(batches)
+        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.uid)
+        tails = [Tail.of(r) for r in rows if r.kind]
+        held = [(*piece, window, offset) for window, offset, piece in fill(tails, s, [(Tail.of(r), r.room) for r in rows if not r.kind])]
+        held += [(*piece, (1 << 61) + bit, offset) for bit, offset, piece in last_windows(tails)]
+        yield pd.DataFrame(held, columns=["uid", "start", "length", "window", "offset"])
+
+    return both.coalesce(1).mapInPandas(run, PIECE)
 
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def _tail_pieces(tokens: DataFrame, shard_docs: int) -> list[DataFrame]:
+    """Materialised pieces of all tails, a frame per search."""
+    spark = tokens.sparkSession
+    s = _statistics(tokens)
+    pool = materialise(tokens.where("left > 0").select("uid", "start", "left", "total", "terms", "counts"), "packing-pool")
+    waiting = pool.count()
+    windows, open_, done, k = pool.limit(0).withColumn("room", F.lit(0)), 0, [], NEIGHBOURS
+    if waiting > shard_docs:
+        seeds = materialise(_seeds(pool), "packing-seeds")
+        seeding = pool.join(seeds, "uid")
+        done.append(materialise(seeding.select("uid", "start", F.col("left").alias("length"), F.col("uid").alias("window"), F.lit(0).alias("offset")), "packing-pieces"))
+        windows = materialise(seeding.withColumn("room", WINDOW - F.col("left")).where("room > 0"), "packing-windows")
+        rest = materialise(pool.join(seeds, "uid", "left_anti"), "packing-pool")
+        forget(pool)
+        forget(seeds)
+        pool, open_, waiting = rest, windows.count(), rest.count()
+    while open_ and waiting and open_ + waiting > shard_docs:
+        blocks = max(1, min(-(-open_ // 64), max(spark.sparkContext.defaultParallelism, -(-open_ // 4096))))
+        found, mine = materialise(_search(windows.repartition(blocks), pool, s, min(k, waiting)), "packing-found"), []
+        for _ in range(CLAIMS):
+            mine.append(materialise(_claim(found), "packing-pieces"))
+            found, last = materialise(_less(_less(found, mine[-1], "uid"), mine[-1], "window"), "packing-found"), found
+            forget(last)
+            if mine[-1].count() * 50 < open_:
+                break
+        forget(found)
+        done += mine
+        placed = reduce(DataFrame.unionByName, mine)
+        rest = materialise(_less(pool, placed, "uid"), "packing-pool")
+        still = materialise(_less(windows.withColumnRenamed("uid", "window"), placed, "window").withColumnRenamed("window", "uid"), "packing-windows")
+        forget(pool)
+        forget(windows)
+        pool, windows = rest, still
+        open_, waiting, k = windows.count(), pool.count(), 4 * k
+    if waiting:
+        done.append(materialise(_finish(windows, pool, s), "packing-pieces"))
+    forget(pool)
+    return done
+
+
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, shard_docs: int = SHARD_DOCS, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on demand)."""
     ship(docs.sparkSession)
+    tokens = materialise(_tokens(docs, tokenizer), "packing-tokens")
+    frames = _tail_pieces(tokens, shard_docs)
+    schema = ", ".join(f"{c} long" for c in COLUMNS) + ", ids array<int>" * with_ids
+    if not frames:
+        return docs.sparkSession.createDataFrame([], schema)
+    spans = reduce(DataFrame.unionByName, frames).groupBy("uid").agg(F.collect_list(F.struct("start", "length", "window", "offset")).alias("p"))
+    part = lambda c: F.transform("p", lambda x: x[c]).alias(f"p_{c}")
+    spans = spans.select("uid", *[part(c) for c in ("start", "length", "window", "offset")])
+    ready = tokens.select("uid", "doc_id", "total", "ids").join(spans, "uid", "left")
 
     def run(batches):
         task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 40
-        held: list[tuple] = []
-
-        def rows():
-            for pdf in batches:
-                for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                    yield None if pd.isna(doc_id) else int(doc_id), text
-
-        def frame():
-            out = pd.DataFrame([h[: len(COLUMNS)] for h in held], columns=COLUMNS)
+        number = -1 - ((task.partitionId() if task else 0) << 40)  # below zero: windows of one document
+        for pdf in batches:
+            held: list[tuple] = []
+            for r in pdf.itertuples(index=False):
+                ids = np.frombuffer(r.ids, "<u4")
+                spots = [(x, WINDOW, number - x // WINDOW, 0) for x in range(0, len(ids) // WINDOW * WINDOW, WINDOW)]
+                number -= len(spots)
+                if r.p_start is not None:
+                    spots += zip(r.p_start, r.p_length, r.p_window, r.p_offset, strict=True)
+                for start, n, window, offset in spots:
+                    own = ids[start : start + n]
+                    held.append((None if pd.isna(r.doc_id) else int(r.doc_id), int(start), int(n), zlib.crc32(own.tobytes()), len(ids), int(window), int(offset), *([own.astype(np.int32)] * with_ids)))
+            out = pd.DataFrame(held, columns=[*COLUMNS, *["ids"] * with_ids])
             out["doc_id"] = pd.array([h[0] for h in held], dtype="Int64")
-            if with_ids:
-                out["ids"] = [h[-1].astype(np.int32) for h in held]
-            held.clear()
-            return out
-
-        for window in sequences(rows(), tokenizer, shard_docs):
-            offset = 0
-            for doc_id, start, ids, total in window:
-                held.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, number, offset, ids))
-                offset += len(ids)
-            number += 1
-            if len(held) >= 5_000:
-                yield frame()
-        if held:
-            yield frame()
+            yield out
 
-    schema = ", ".join(f"{c} long" for c in COLUMNS) + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return ready.mapInPandas(run, schema)

@@ -84,6 +84,41 @@ def test_bm25_scores():
         assert np.allclose(index.scores(seed), want)
 
 
+@pytest.mark.parametrize("shard_docs", [512, 4])
+def test_packing_finds_neighbours_in_other_splits(frame, shard_docs):
+    rng, topics = random.Random(5), 24
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(16)] for _ in range(topics)]
+
+    def text(t, tokens):
+        out = rng.choice(words[t])
+        while len(packing.token_ids(out)) < tokens:
+            out += " " + rng.choice(words[t])
+        return out
+
+    texts = {k * topics + t: text(t, (680, 290)[k]) for k in (0, 1) for t in range(topics)}
+    docs = frame(sorted(texts.items()), "doc_id long, text string").repartition(topics, "doc_id")
+    rows = packing.pack(docs, shard_docs=shard_docs).collect()
+    assert check_pieces(rows, texts) == 0
+    windows = defaultdict(list)
+    for r in rows:
+        windows[r["sequence_id"]].append((r["offset"], r["doc_id"]))
+    seeded = [[i for _, i in sorted(w)] for w in windows.values() if len(w) > 1 and min(w)[1] < topics]
+    assert len(seeded) >= topics // 2
+    assert sum(w[1] % topics == w[0] for w in seeded) >= 0.8 * len(seeded)
+
+
+def test_block_scores_use_the_whole_table():
+    rng = random.Random(4)
+    tails = [packing.Tail(i, np.array([min(int(rng.expovariate(0.02)), 900) for _ in range(rng.randrange(5, 90))], dtype="<u4"), 0) for i in range(300)]
+    index = packing.Index(tails)
+    s = packing.Statistics(300, np.mean([t.total for t in tails]), index.terms, index.df)
+    assert s.width and (s.column[index.terms] < 0).any()
+    want = np.array([index.scores(t) for t in tails[:20]])
+    assert np.allclose(packing.block_scores(tails[:20], tails, s), want, atol=1e-3)
+    best, who = packing.nearest(tails[:20], iter([tails[:128], tails[128:256], tails[256:]]), s, 8)
+    assert np.allclose(best, -np.sort(-want, axis=1)[:, :8], atol=1e-3) and np.allclose(np.take_along_axis(want, who[:, :, 0], 1), best, atol=1e-3)
+
+
 # --- decontamination
 
 
