@@ -203,6 +203,20 @@ def test_format_and_read_back(frame):
     assert [(t["role"], t["text"]) for t in out[2]["back"]] == [("", "")] and len(out[3]["back"]) == 2 and out[3]["loss"] == ""
 
 
+def test_texts_that_are_json(frame):
+    texts = ['{"a":1}', '{"a":1} and more', '[{"a":{"b":"c\\\\"}}]', '["x"]', 'say "k": \\"', "it's {'a': 1}\n" * 3000]
+    said = {k: [("user", t), ("assistant", texts[k - 1])] for k, t in enumerate(texts)}
+    said |= {10 + k: [("system", t), ("user", t), ("assistant", t)] for k, t in enumerate(texts)}
+    said |= {20 + k: [("user", t), ("tool", t), ("assistant", t), ("tool", "x")] for k, t in enumerate(texts)}
+    rows = [(i, k, r, t) for i, turns in said.items() for k, (r, t) in enumerate(turns)]
+    records = chat.conversation_records(frame(rows, "conv_id long, turn long, role string, text string"))
+    out = chat.format_turns(chat.canonical_turns(records)).select("conv_id", "layout", chat.read_back(F.col("formatted")).alias("back")).collect()
+    assert {r["layout"] for r in out} == {"prompt", "system_prompt", "messages", "conversations"}
+    assert {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in out} == said
+    real = frame([(1, '{"prompt":{"a":1},"completion":"c"}'), (2, r'{"prompt":"\x","completion":"c"}'), (3, """{'prompt':'5" {','completion':"it's"}""")], "id int, record string")
+    assert {r["id"]: r["layout"] for r in chat.canonical_turns(real).collect()} == {1: None, 2: None, 3: "prompt"}
+
+
 # --- line dedup
 
 
