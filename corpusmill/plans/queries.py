@@ -572,9 +572,16 @@ def confusion(spark, sf_dir):
  l AS (SELECT 'recall' AS metric, recall AS v FROM e UNION ALL SELECT 'false_reject_rate', false_reject_rate FROM e UNION ALL SELECT 'keep_precision', keep_precision FROM e)
 SELECT metric, round(quantile_cont(v, 0.025), 4) AS lower, round(quantile_cont(v, 0.975), 4) AS upper FROM l GROUP BY metric""")
 def bootstrap_ci(spark, sf_dir):
+    """50 resamples, to compare with SQL; ``bootstrap_ci_whole`` runs all of the operator's."""
     return gold.bootstrap(_judged(spark, sf_dir), "seed", 50)
 
 
+@query()
+def bootstrap_ci_whole(spark, sf_dir):
+    """The operator's own 2,000 resamples; a test compares it with brute force."""
+    return gold.bootstrap(_judged(spark, sf_dir), "seed")
+
+
 @query(f"""SELECT count(*) AS total_rows, round((count(*) FILTER (WHERE Validation_Status = 'validated'))::DOUBLE / count(*), 4) AS structurally_validated_rate, round((count(*) FILTER (WHERE Escalated = 'true'))::DOUBLE / count(*), 4) AS repair_call_rate,
   round(((count(*) FILTER (WHERE doc_id % 4 = 0 AND trim(Title) <> '')) + (count(*) FILTER (WHERE doc_id % 4 = 0 AND length(trim(substr(Abstract, 1, 20))) > 0)))::DOUBLE / (count(*) FILTER (WHERE doc_id % 4 = 0) * 2 + count(*) FILTER (WHERE doc_id % 4 = 1)), 4) AS exact_evidence_rate,
   count(*) FILTER (WHERE doc_id % 4 = 2) AS invalid_evidence_payloads, 0::BIGINT AS invalid_definitive_count FROM {SCREENED}""")

@@ -187,6 +187,31 @@ def test_sql_agrees(spark, name):
     assert rows([tuple(r) for r in ours.collect()], ours.columns) == rows(theirs.fetchall(), columns)
 
 
+def test_bootstrap_runs_all_resamples(spark):
+    import hashlib
+
+    import numpy as np
+
+    from corpusmill.plans.queries import QUERIES, _judged
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables")
+    strata = {}
+    for r in sorted(_judged(spark, sf).collect(), key=lambda r: r["row_id"]):
+        strata.setdefault(r["model_decision"], []).append((r["human_decision"], r["model_decision"], r["w"]))
+    values = []
+    for it in range(2000):
+        draw = [rows[int(hashlib.sha256(f"seed:{it}:{d}:{k}".encode()).hexdigest()[:8], 16) % len(rows)] for d, rows in strata.items() for k in range(len(rows))]
+        weight = lambda f, draw=draw: sum(w for h, m, w in draw if f(h, m))
+        keep, said = weight(lambda h, m: h == "KEEP"), weight(lambda h, m: m == "KEEP")
+        values.append((weight(lambda h, m: h == "KEEP" and m != "REJECT") / keep, weight(lambda h, m: h == "KEEP" and m == "REJECT") / keep, weight(lambda h, m: h == m == "KEEP") / said))
+    low, high = np.percentile(np.array(values), [2.5, 97.5], axis=0)
+    got = {r["metric"]: (r["lower"], r["upper"]) for r in QUERIES["bootstrap_ci_whole"](spark, sf).collect()}
+    for k, name in enumerate(("recall", "false_reject_rate", "keep_precision")):
+        assert got[name] == pytest.approx((low[k], high[k]), abs=1e-4)
+
+
 def test_workbooks(spark, tmp_path):
     pd = pytest.importorskip("pandas")
     path = str(tmp_path / "x.xlsx")
