@@ -212,6 +212,17 @@ def test_bootstrap_runs_all_resamples(spark):
         assert got[name] == pytest.approx((low[k], high[k]), abs=1e-4)
 
 
+def test_short_quotes_are_evidence(spark, tmp_path):
+    from corpusmill.plans.queries import QUERIES
+
+    texts = [(0, "the unbroken line"), (1, "a broken line, then"), (2, "x"), (3, None)]
+    quotes = [(1, "broken"), (2, "broken line"), (3, "line, then"), (4, "a broken line, then"), (5, "absent"), (6, '"broken"')]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(quotes, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = sorted((r["doc_id"], r["item_id"]) for r in QUERIES["exact_evidence"](spark, str(tmp_path)).collect())
+    assert out == [(d, i) for d, t in texts for i, q in quotes if t and q.strip('"') in t]
+
+
 def test_workbooks(spark, tmp_path):
     pd = pytest.importorskip("pandas")
     path = str(tmp_path / "x.xlsx")
