@@ -1,106 +1,100 @@
 """Lexical retrieval packing of whole documents into windows of 1024 tokens.
 
 A document fills windows of its own as long as it can; what is left is its tail.
-The longest tails are the seeds of windows: as many as the other tails can fill.
-A seed's neighbours are searched among all unused tails of the table, by BM25 over
-the token ids of whole documents with the document frequencies and the mean length
-of the whole table. The unused tails lie in index blocks in the shared folder, and
-each block of seeds is scored against every one of them, so no neighbour is out of
-reach; the cost grows with the square of the number of documents. A tail goes to
-the seed that it scores best with. Tails fill a window whole while they fit, best
-first; the best one that does not fit is cut to fill the rest, and its remainder
-goes back to the pool. What is unclaimed goes to the next seed that found it; then
-windows that are not full search the whole pool again, for more neighbours. The last ``shard_docs`` tails are packed by one task in the
-same way; what fills no window there is cut into sequences whose lengths are powers
-of two, so that nothing is padded. Terms in more than half of the documents have no
-positive BM25 weight and are left out, which changes no result.
+Tails are packed by BM25 over the token ids of whole documents, with the document
+frequencies and the mean length of the whole table:
+
+1. Every document becomes the counts of its token ids. Document frequencies are
+   summed by Spark over all rows; the vocabulary bounds what reaches the driver.
+2. The inverted index is sharded by content. A tail's key is the terms that weigh the
+   most in its document among those that others share. Tails are dealt by ranges of
+   this key and sorted, and each run of ``shard_docs`` tails is one shard, so documents
+   with the same weighty terms lie in one shard wherever they were stored, and a hot
+   key is cut into many shards. Work is linear in the documents.
+3. In a shard the longest tails are the seeds of as many windows as all tails fill,
+   the others its neighbours to be. The index returns each seed's unused neighbours,
+   best first. They fill the window whole while they fit; the best one that does not
+   fit is cut, and its remainder stays unused. What fills no window goes to the next
+   shard; at the end of a range it is cut into sequences whose lengths are powers of
+   two, so nothing is padded.
+
+Terms in more than half of the documents have no positive BM25 weight and are left
+out, which changes no result.
 
 Defined cases: a null text is empty and has only the closing id; ties have a fixed
-order; an empty table gives no rows; extra columns are ignored; a null doc_id stays
-null.
+order (score, then key and place in the table); repeated rows are packed one by one;
+a text of any length is taken whole (a run of a million equal characters as well);
+an empty table gives no rows; extra columns are ignored, whatever their names; a null
+doc_id stays null.
 """
 
 from __future__ import annotations
 
 import base64
+import os
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyarrow import dataset, fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget, materialise, ship
+from corpusmill.llm.common import materialise, ship
 
 WINDOW = 1024
-#: So many tails at last are packed by one task.
-SHARD_DOCS = 512
-#: Seeds and tails of a block of scores; neighbours of a seed in the first search.
-SEED_BLOCK, INDEX_BLOCK, NEIGHBOURS = 256, 2048, 64
-#: Rounds of claims among the neighbours of one search.
-CLAIMS = 8
+#: Tails of an index shard; seeds scored at a time; neighbours looked at first.
+SHARD_DOCS, SEED_BLOCK, NEIGHBOURS = 4096, 512, 64
+#: Terms of a key, and shards of a range at most.
+KEY_TERMS, RANGE_SHARDS = 4, 64
 K1, B = 1.2, 0.75
 CLOSING = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: The same vocabulary as ranks, for the faster library; the ids are equal.
+#: The same vocabulary as ranks, for the library that is four times as fast; the ids are equal.
 RANKS = {"byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
+#: White space on which the fast library's pattern could run out of stack.
+LONG_RUN = re.compile(r"\s{10000}")
+
+
+class Encoder:
+    """Ids of texts by the tokenizer file, through its ranks where both are known to agree."""
+
+    def __init__(self, name: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals out the cores
+        import public_tokenizers
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = tuple(added[i].content for i in added)
+        self.fast = None
+        if name in RANKS:
+            with open(public_tokenizers.path(RANKS[name]), "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text and the closing id. Texts with special tokens or very long white space go to the tokenizer itself."""
+        if not text:
+            ids = []
+        elif self.fast is None or any(s in text for s in self.special) or LONG_RUN.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        out = np.empty(len(ids) + 1, dtype="<u4")
+        out[:-1] = ids
+        out[-1] = CLOSING
+        return out
 
 
 @lru_cache(maxsize=2)
-def _encoders(name: str):
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(public_tokenizers.path(name))
-    fast = None
-    if name in RANKS:
-        with open(public_tokenizers.path(RANKS[name]), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return slow, fast, tuple(slow.get_added_tokens_decoder()[i].content for i in slow.get_added_tokens_decoder())
-
-
-def token_ids(text: str | None, name: str = TOKENIZER) -> np.ndarray:
-    """Ids of a whole text and the closing id. Texts with a special token go to the tokenizer itself."""
-    slow, fast, special = _encoders(name)
-    if not text:
-        ids = []
-    elif fast is None or any(s in text for s in special):
-        ids = slow.encode(text, add_special_tokens=False).ids
-    else:
-        ids = fast.encode_ordinary(text)
-    out = np.empty(len(ids) + 1, dtype="<u4")
-    out[:-1] = ids
-    out[-1] = CLOSING
-    return out
-
-
-class Tail:
-    """What is left of a document, and the terms of all of it."""
-
-    __slots__ = ("counts", "doc_id", "left", "start", "terms", "total")
-
-    def __init__(self, doc_id, ids: np.ndarray, start: int):
-        self.doc_id, self.start, self.left, self.total = doc_id, start, len(ids) - start, len(ids)
-        self.terms, self.counts = np.unique(ids, return_counts=True)
-
-    @classmethod
-    def of(cls, row) -> Tail:
-        out = cls.__new__(cls)
-        out.doc_id, out.start, out.left, out.total = row.uid, row.start, row.left, row.total
-        out.terms, out.counts = np.frombuffer(row.terms, "<u4"), np.frombuffer(row.counts, "<u4")
-        return out
-
-    def cut(self, n: int) -> tuple:
-        """Take the first ``n`` ids away as a piece."""
-        self.start += n
-        self.left -= n
-        return self.doc_id, self.start - n, n
+def encoder(name: str) -> Encoder:
+    """The encoder that a worker keeps from task to task."""
+    return Encoder(name)
 
 
 class Statistics:
@@ -108,91 +102,134 @@ class Statistics:
 
     def __init__(self, n: int, mean: float, terms: np.ndarray, df: np.ndarray):
         self.n, self.mean = n, mean
-        self.idf = np.zeros(int(terms.max()) + 1 if len(terms) else 1)
+        size = int(terms.max()) + 1 if len(terms) else 1
+        self.df, self.idf = np.zeros(size, np.int64), np.zeros(size)
+        self.df[terms] = df
         self.idf[terms] = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
         #: Columns of the terms common enough for a dense product; -1 for the rest.
         common = terms[(32 * df >= n) & (self.idf[terms] > 0)]
-        self.column = np.full(len(self.idf), -1)
+        self.column = np.full(size, -1)
         self.column[common] = np.arange(len(common))
         self.width = len(common)
 
     def weights(self, terms, counts, totals) -> np.ndarray:
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * totals / self.mean))
 
+    def key(self, terms: np.ndarray, counts: np.ndarray, total: int) -> list[int]:
+        """The terms that other documents share and that weigh the most in this one; -1 where there are fewer."""
+        weight = self.weights(terms, counts.astype(np.float64), float(total))
+        shared = np.flatnonzero((self.df[terms] > 1) & (weight > 0))
+        first = terms[shared[np.lexsort((terms[shared], -weight[shared]))[:KEY_TERMS]]].tolist()
+        return first + [-1] * (KEY_TERMS - len(first))
+
+
+class Tail:
+    """What is left of a document, and the terms of all of it."""
+
+    __slots__ = ("counts", "doc_id", "ids", "start", "taken", "terms", "total")
+
+    def __init__(self, doc_id, start: int, total: int, terms: bytes, counts: bytes, ids: bytes):
+        self.doc_id, self.start, self.total, self.taken = doc_id, start, total, 0
+        self.terms, self.counts, self.ids = np.frombuffer(terms, "<u4"), np.frombuffer(counts, "<u2"), ids
 
-class Index:
-    """BM25 postings: by term, the tails and their weights; statistics of the tails themselves if none are given."""
+    @classmethod
+    def of(cls, doc_id, ids: np.ndarray) -> Tail:
+        terms, counts = np.unique(ids, return_counts=True)
+        start = len(ids) // WINDOW * WINDOW
+        return cls(doc_id, start, len(ids), terms.tobytes(), np.minimum(counts, 65_535).astype("<u2").tobytes(), ids[start:].tobytes())
 
-    def __init__(self, tails: list[Tail], statistics: Statistics | None = None):
-        terms = np.concatenate([t.terms for t in tails])
-        counts = np.concatenate([t.counts for t in tails]).astype(np.float64)
-        owner = np.repeat(np.arange(len(tails)), [len(t.terms) for t in tails])
-        lengths = np.array([t.total for t in tails], dtype=np.float64)
-        order = np.argsort(terms, kind="stable")
-        self.terms, self.first, self.df = np.unique(terms[order], return_index=True, return_counts=True)
-        s = statistics or Statistics(len(tails), lengths.mean(), self.terms, self.df)
-        self.owner, self.weight = owner[order], s.weights(terms, counts, lengths[owner])[order]
-        self.useful, self.n = s.idf[self.terms] > 0, len(tails)
+    @property
+    def left(self) -> int:
+        return len(self.ids) // 4 - self.taken
 
-    def scores(self, tail: Tail) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.terms, tail.terms), len(self.terms) - 1)
-        at = at[(self.terms[at] == tail.terms) & self.useful[at]]
-        if not len(at):
-            return np.zeros(self.n)
-        df = self.df[at]
-        ends = np.cumsum(df)
-        spots = np.arange(ends[-1]) - np.repeat(ends - df, df) + np.repeat(self.first[at], df)
-        return np.bincount(self.owner[spots], self.weight[spots], self.n)
+    def cut(self, n: int) -> tuple:
+        """Take the next ``n`` ids away: (doc_id, start, length, total, ids)."""
+        at, self.taken = self.taken, self.taken + n
+        return self.doc_id, self.start + at, n, self.total, self.ids[4 * at : 4 * self.taken]
+
+
+class Shard:
+    """Inverted index of some tails: dense columns for common terms, postings for the others."""
+
+    def __init__(self, tails: list[Tail], s: Statistics):
+        self.s, self.n = s, len(tails)
+        owner, term = _entries(tails)
+        totals = np.array([t.total for t in tails], dtype=np.float64)
+        weight = s.weights(term, np.concatenate([t.counts for t in tails]).astype(np.float64), totals[owner])
+        c = s.column[term]
+        self.dense = np.zeros((len(tails), s.width), np.float32)
+        self.dense[owner[c >= 0], c[c >= 0]] = weight[c >= 0]
+        rare = (c < 0) & (weight > 0)
+        order = np.argsort(term[rare], kind="stable")
+        self.terms, self.owner, self.weight = term[rare][order], owner[rare][order], weight[rare][order]
+
+    def scores(self, seeds: list[Tail]) -> np.ndarray:
+        """BM25 of every tail (columns) for every seed (rows)."""
+        row, term = _entries(seeds)
+        c = self.s.column[term]
+        asked = np.zeros((len(seeds), self.s.width), np.float32)
+        asked[row[c >= 0], c[c >= 0]] = 1
+        out = asked @ self.dense.T
+        row, term = row[c < 0], term[c < 0]
+        first = np.searchsorted(self.terms, term)
+        n = np.searchsorted(self.terms, term, side="right") - first
+        ends = np.cumsum(n)
+        if len(ends) and ends[-1]:
+            spots = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
+            flat = np.repeat(row, n) * self.n + self.owner[spots]
+            out += np.bincount(flat, self.weight[spots], out.size).reshape(out.shape).astype(np.float32)
+        return out
 
 
-def fill(tails: list[Tail], statistics: Statistics | None = None, open_windows: list[tuple] = ()) -> Iterator[tuple]:
-    """(window, offset, piece) of full windows from the tails, those left ``open_windows`` (seed, room) first.
+def _entries(tails: list[Tail]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(tails)), [len(t.terms) for t in tails]), np.concatenate([t.terms for t in tails])
 
-    Tails that cannot fill a window stay in the list.
-    """
-    waiting = sorted(open_windows, key=lambda w: w[1])
-    if not tails:
+
+def fill(tails: list[Tail], s: Statistics) -> Iterator[tuple[int, int, tuple]]:
+    """(window, offset, piece) of as many full windows as the tails fill; the rest stays in the list."""
+    left = np.array([t.left for t in tails], dtype=np.int64)
+    windows = int(left.sum()) // WINDOW
+    if not windows:
         return
-    index = Index(tails, statistics)
-    left = np.array([t.left for t in tails])
-    while waiting or int(left.sum()) >= WINDOW:
-        if waiting:
-            seed, room = waiting.pop(0)
-            scores = index.scores(seed)
-        else:
-            k = int(np.argmax(left))
-            seed, room = tails[k], WINDOW - int(left[k])
-            scores = index.scores(seed)
-            left[k] = 0
-            yield seed.doc_id, 0, seed.cut(seed.left)
-        unused = np.flatnonzero(left)
-        ranked = unused[np.argsort(-scores[unused], kind="stable")]
-        for k, piece in fit([tails[k] for k in ranked], room):
-            yield seed.doc_id, WINDOW - room, piece
+    by_length = np.argsort(-left, kind="stable")
+    seeds, others = by_length[:windows], np.sort(by_length[windows:])
+    left = left[others]
+    shard = Shard([tails[k] for k in others], s) if len(others) else None
+    for at in range(0, windows, SEED_BLOCK):
+        block = seeds[at : at + SEED_BLOCK]
+        scores = shard.scores([tails[k] for k in block]) if shard else np.zeros((len(block), 0), np.float32)
+        for row, k in enumerate(block.tolist()):
+            seed, room = tails[k], WINDOW
+            piece = seed.cut(seed.left)
+            yield at + row, 0, piece
             room -= piece[2]
-            left[ranked[k]] -= piece[2]
+            while room:
+                # the best unused ones: whole while they fit, then the best other one, cut
+                unused = np.flatnonzero(left)
+                own = scores[row, unused]
+                if len(unused) > NEIGHBOURS:
+                    near = np.argpartition(-own, NEIGHBOURS - 1)[:NEIGHBOURS]
+                    unused, own = unused[near], own[near]
+                ranked = unused[np.lexsort((unused, -own))].tolist()
+                whole = []
+                for j in ranked:
+                    if left[j] <= room - sum(left[i] for i in whole):
+                        whole.append(j)
+                rest = next((j for j in ranked if j not in whole), None)
+                taken = [(j, int(left[j])) for j in whole]
+                over = room - sum(n for _, n in taken)
+                if rest is not None and over:
+                    taken.append((rest, over))
+                for j, n in taken:
+                    yield at + row, WINDOW - room, tails[others[j]].cut(n)
+                    left[j] -= n
+                    room -= n
     tails[:] = [t for t in tails if t.left]
 
 
-def fit(ranked: list[Tail], room: int) -> Iterator[tuple[int, tuple]]:
-    """(place, piece) of ranked tails: whole ones while they fit, then the best other one, cut."""
-    for k, t in enumerate(ranked):
-        if not room:
-            return
-        if t.left <= room:
-            room -= t.left
-            yield k, t.cut(t.left)
-    if room:
-        for k, t in enumerate(ranked):
-            if t.left:
-                yield k, t.cut(room)
-                return
-
-
-def last_windows(tails: list[Tail]) -> Iterator[tuple]:
+def last_windows(tails: list[Tail]) -> Iterator[tuple[int, int, tuple]]:
     """(window, offset, piece) of sequences of decreasing powers of two from tails of less than a window in all."""
-    total = sum(t.left for t in tails)
-    queue = list(tails)
+    total, queue = sum(t.left for t in tails), list(tails)
     for bit in range(total.bit_length() - 1, -1, -1):
         size = room = total & (1 << bit)
         while room:
@@ -203,265 +240,116 @@ def last_windows(tails: list[Tail]) -> Iterator[tuple]:
                 queue.pop(0)
 
 
-def block_scores(seeds: list[Tail], tails: list[Tail], s: Statistics) -> np.ndarray:
-    """BM25 of every tail for every seed: common terms by a dense product, the others by postings."""
-
-    def entries(rows):
-        return np.repeat(np.arange(len(rows)), [len(t.terms) for t in rows]), np.concatenate([t.terms for t in rows])
-
-    row, term = entries(seeds)
-    owner, term_of = entries(tails)
-    totals = np.array([t.total for t in tails], dtype=np.float64)
-    weight = s.weights(term_of, np.concatenate([t.counts for t in tails]).astype(np.float64), totals[owner])
-    q, d = np.zeros((len(seeds), s.width), np.float32), np.zeros((len(tails), s.width), np.float32)
-    c = s.column[term]
-    q[row[c >= 0], c[c >= 0]] = 1
-    rare = (c < 0) & (s.idf[term] > 0)
-    c = s.column[term_of]
-    d[owner[c >= 0], c[c >= 0]] = weight[c >= 0]
-    out = q @ d.T
-    keep = (c < 0) & (weight > 0)
-    order = np.argsort(term_of[keep], kind="stable")
-    sorted_terms, owner, weight = term_of[keep][order], owner[keep][order], weight[keep][order]
-    row, term = row[rare], term[rare]
-    first = np.searchsorted(sorted_terms, term)
-    n = np.searchsorted(sorted_terms, term, side="right") - first
-    ends = np.cumsum(n)
-    if len(ends) and ends[-1]:
-        spots = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
-        flat = np.repeat(row, n) * len(tails) + owner[spots]
-        out += np.bincount(flat, weight[spots], out.size).reshape(out.shape).astype(np.float32)
-    return out
-
-
-def _blocks(path: str, size: int) -> Iterator[list[Tail]]:
-    """The tails of a folder of Parquet files, from any store that pyarrow can open."""
-    store, at = fs.FileSystem.from_uri(path)
-    for batch in dataset.dataset(at, format="parquet", filesystem=store).to_batches(batch_size=size, batch_readahead=1, fragment_readahead=1):
-        if batch.num_rows:
-            yield [Tail.of(r) for r in batch.to_pandas().itertuples(index=False)]
-
-
-def nearest(seeds: list[Tail], blocks: Iterator[list[Tail]], s: Statistics, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and (uid, start, left) of the ``k`` best of all tails for each seed, -1 where there are fewer.
-
-    Equal scores, as those of exact copies, are dealt to the seeds by a hash.
-    """
-    best, who = np.full((len(seeds), k), -1, np.float32), np.full((len(seeds), k, 3), -1, np.int64)
-    mix = lambda rows, by: (np.array([t.doc_id for t in rows], np.int64) * by).astype(np.uint32) | np.uint32(1)
-    a = mix(seeds, 2654435761)
-    for tails in blocks:
-        scores = block_scores(seeds, tails, s)
-        scores += (a[:, None] * mix(tails, 2246822519)[None, :] >> np.uint32(16)).astype(np.float32) * np.float32(1e-9)
-        m = min(k, len(tails))
-        at = np.argpartition(-scores, m - 1, axis=1)[:, :m] if m < len(tails) else np.tile(np.arange(m), (len(seeds), 1))
-        facts = np.array([(t.doc_id, t.start, t.left) for t in tails], np.int64)
-        both = np.concatenate([best, np.take_along_axis(scores, at, 1)], axis=1)
-        names = np.concatenate([who, facts[at]], axis=1)
-        at = np.argsort(-both, axis=1, kind="stable")[:, :k]
-        best, who = np.take_along_axis(both, at, 1), np.take_along_axis(names, at[:, :, None], 1)
-    return best, who
+TAIL = "place long, doc_id long, start int, total int, first_window long, crcs array<long>, terms binary, counts binary, tail binary"
+COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-TAIL = "uid long, start int, left int, total int, terms binary, counts binary"
-PIECE = "uid long, start int, length int, window long, offset int"
+def _number(shift: int) -> int:
+    task = TaskContext.get()
+    return (task.partitionId() if task else 0) << shift
 
 
-def _tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """A row per document with a number of its own: its ids, and the terms of all of it."""
+def _nullable(values: list) -> pd.Series:
+    return pd.array([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
+
+
+def _tails(docs: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
+    """A row per document: checksums of its full windows, the terms of all of it, its tail; all ids on demand."""
 
     def run(batches):
-        task = TaskContext.get()
-        uid = (task.partitionId() if task else 0) << 36
+        encode, place, window = encoder(tokenizer), _number(36), _number(40)
         for pdf in batches:
             held: list[tuple] = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = token_ids(text, tokenizer)
-                terms, counts = np.unique(ids, return_counts=True)
-                start = len(ids) // WINDOW * WINDOW
-                held.append((uid, None if pd.isna(doc_id) else int(doc_id), start, len(ids) - start, len(ids), terms.tobytes(), counts.astype("<u4").tobytes(), ids.tobytes()))
-                uid += 1
-            out = pd.DataFrame(held, columns=["uid", "doc_id", "start", "left", "total", "terms", "counts", "ids"])
-            out["doc_id"] = pd.array([h[1] for h in held], dtype="Int64")
+            for doc_id, ids in zip(pdf["doc_id"], map(encode, pdf["text"]), strict=True):
+                t = Tail.of(doc_id, ids)
+                crcs = [zlib.crc32(ids[a : a + WINDOW].tobytes()) for a in range(0, t.start, WINDOW)]
+                held.append((place, doc_id, t.start, t.total, window, crcs, t.terms.tobytes(), t.counts.tobytes(), t.ids, *([ids[: t.start].tobytes()] * with_ids)))
+                place, window = place + 1, window + len(crcs)
+            out = pd.DataFrame(held, columns=["place", "doc_id", "start", "total", "first_window", "crcs", "terms", "counts", "tail", *["head"] * with_ids])
+            out["doc_id"] = _nullable([h[1] for h in held])
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, TAIL + ", doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInPandas(run, TAIL + ", head binary" * with_ids)
 
 
-def _statistics(tokens: DataFrame) -> Statistics:
-    """From one count per term and task; the vocabulary bounds what reaches the driver."""
+def statistics(tails: DataFrame) -> Statistics:
+    """From one count per term and task over all documents."""
 
     def run(batches):
         df = np.zeros(0, np.int64)
         for pdf in batches:
-            got = np.bincount(np.concatenate([np.frombuffer(t, "<u4") for t in pdf["terms"]])) if len(pdf) else df[:0]
-            wide = np.zeros(max(len(df), len(got)), np.int64)
-            wide[: len(df)] += df
-            wide[: len(got)] += got
-            df = wide
+            if len(pdf):
+                got = np.bincount(np.concatenate([np.frombuffer(t, "<u4") for t in pdf["terms"]]))
+                wide = np.zeros(max(len(df), len(got)), np.int64)
+                wide[: len(df)] += df
+                wide[: len(got)] += got
+                df = wide
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": at, "df": df[at]})
 
-    df = tokens.select("terms").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
-    n, mean = tokens.agg(F.count("*"), F.avg("total")).first()
+    df = tails.select("terms").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row per id of the vocabulary
+    n, mean = tails.agg(F.count("*"), F.avg("total")).first()
     return Statistics(n, mean or 1.0, df["term"].to_numpy(np.int64), df["df"].to_numpy(np.int64))
 
 
-def _seeds(pool: DataFrame) -> DataFrame:
-    """The uids of the longest tails, as many as the others can fill."""
-    sizes = {r["left"]: r["count"] for r in pool.groupBy("left").count().collect()}  # at most 1,023
-    rest = sum(n * k for n, k in sizes.items())
-    for size in sorted(sizes, reverse=True):
-        # m seeds of this size take m windows from what is left
-        m = min(sizes[size], rest // WINDOW)
-        rest -= m * WINDOW
-        if m < sizes[size]:
-            part = pool.where(F.col("left") == size).orderBy(F.xxhash64("uid"), "uid").select("uid").limit(m)
-            return pool.where(F.col("left") > size).select("uid").unionByName(part)
-    return pool.select("uid")
-
-
-def _search(windows: DataFrame, pool: DataFrame, s: Statistics, k: int) -> DataFrame:
-    """uid, start, left, window, room, score: the ``k`` best of the pool for each open window."""
-    path = pool.inputFiles()[0].rsplit("/", 1)[0] if pool.inputFiles() else ""
+def _dealt(tails: DataFrame, s: Statistics, shard_docs: int) -> DataFrame:
+    """The tails in ranges of their content keys, each sorted."""
+    spark = tails.sparkSession
+    shipped = spark.sparkContext.broadcast(s)  # bounded by the vocabulary
+    keys = [f"k{i}" for i in range(KEY_TERMS)]
+    columns = ["place", "doc_id", "start", "total", "terms", "counts", "tail"]
 
-    def run(batches):
+    def keyed(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), SEED_BLOCK):
-                part = pdf.iloc[at : at + SEED_BLOCK]
-                best, who = nearest([Tail.of(r) for r in part.itertuples(index=False)], _blocks(path, INDEX_BLOCK), s, k)
-                out = pd.DataFrame(who.reshape(-1, 3), columns=["uid", "start", "left"])
-                out["window"], out["room"] = np.repeat(part["uid"].to_numpy(), k), np.repeat(part["room"].to_numpy(), k)
-                out["score"] = best.ravel()
-                yield out[out["uid"] >= 0]
+            rows = zip(pdf["terms"], pdf["counts"], pdf["total"], strict=True)
+            key = np.array([shipped.value.key(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u2"), n) for t, c, n in rows], dtype=np.int64).reshape(-1, KEY_TERMS)
+            yield pdf.assign(doc_id=_nullable(pdf["doc_id"]), **{c: key[:, i] for i, c in enumerate(keys)})
 
-    return windows.mapInPandas(run, "uid long, start int, left int, window long, room int, score float")
+    own = tails.select(*columns).where("octet_length(tail) > 0")
+    own = own.mapInPandas(keyed, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in own.schema] + [f"{c} long" for c in keys]))
+    wanted = max(1, -(-s.n // shard_docs))
+    ranges = max(-(-wanted // RANGE_SHARDS), min(wanted, 2 * spark.sparkContext.defaultParallelism))
+    return own.repartitionByRange(ranges, *keys, "place").sortWithinPartitions(*keys, "place").select(*columns)
 
 
-def _claim(found: DataFrame) -> DataFrame:
-    """Pieces: each tail goes to the window that it scores best with, each window takes what fits."""
-    tail = F.max_by(F.struct("start", "left", "window", "room", "score"), F.struct("score", "window")).alias("x")
-    own = found.groupBy("uid").agg(tail).select("uid", "x.*")
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "uid", "start", "left")))
-    groups = own.groupBy("window").agg(F.first("room").alias("room"), F.count("*").alias("n"), ranked.alias("r"))
-    groups = groups.select("window", "room", F.transform("r", lambda x: x["uid"]).alias("uid"), F.transform("r", lambda x: x["start"]).alias("start"), F.transform("r", lambda x: x["left"]).alias("left"))
+def _tail_pieces(dealt: DataFrame, s: Statistics, shard_docs: int, schema: str, with_ids: bool) -> DataFrame:
+    shipped = dealt.sparkSession.sparkContext.broadcast(s)
 
-    def run(batches):
-        for pdf in batches:
-            held = []
-            for g in pdf.itertuples(index=False):
-                tails, room = [], int(g.room)
-                for uid, start, left in zip(g.uid, g.start, g.left, strict=True):
-                    t = Tail.__new__(Tail)
-                    t.doc_id, t.start, t.left = int(uid), int(start), int(left)
-                    tails.append(t)
-                # one with claims that fit whole stays open for more
-                for _, (uid, start, n) in fit(tails, room):
-                    held.append((uid, start, n, g.window, WINDOW - room))
-                    room -= n
-            yield pd.DataFrame(held, columns=["uid", "start", "length", "window", "offset"])
-
-    return groups.mapInPandas(run, PIECE)
-
-
-def _less(rows: DataFrame, pieces: DataFrame, key: str) -> DataFrame:
-    """``rows`` of tails (by uid) or windows without what the pieces take; used up ones go."""
-    taken = pieces.groupBy(key).agg(F.sum("length").cast("int").alias("n"))
-    out = rows.join(taken, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    if key == "uid":
-        out = out.withColumn("left", F.col("left") - F.col("n")).withColumn("start", F.col("start") + F.col("n")).where("left > 0")
-    else:
-        out = out.withColumn("room", F.col("room") - F.col("n")).where("room > 0")
-    return out.drop("n").select(*rows.columns)
-
-
-def _finish(windows: DataFrame, pool: DataFrame, s: Statistics) -> DataFrame:
-    """Pieces of the last open windows and tails, few enough for one task."""
-    both = windows.withColumn("kind", F.lit(0)).unionByName(pool.withColumn("room", F.lit(0)).withColumn("kind", F.lit(1)))
+    def frame(pieces: list[tuple]) -> pd.DataFrame:
+        rows = [(doc_id, start, n, zlib.crc32(ids), total, window, offset, *([ids] * with_ids)) for window, offset, (doc_id, start, n, total, ids) in pieces]
+        out = pd.DataFrame(rows, columns=[*COLUMNS, *["ids"] * with_ids])
+        out["doc_id"] = _nullable([r[0] for r in rows])
+        return out
 
     def run(batches):
-        frames = list(batches)
-        rows = sorted((r for f in frames for r in f.itertuples(index=False)), key=lambda r: r.uid)
-        tails = [Tail.of(r) for r in rows if r.kind]
-        held = [(*piece, window, offset) for window, offset, piece in fill(tails, s, [(Tail.of(r), r.room) for r in rows if not r.kind])]
-        held += [(*piece, (1 << 61) + bit, offset) for bit, offset, piece in last_windows(tails)]
-        yield pd.DataFrame(held, columns=["uid", "start", "length", "window", "offset"])
-
-    return both.coalesce(1).mapInPandas(run, PIECE)
-
-
-COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
-
+        waiting, number = [], _number(40)
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                waiting.append(Tail(r.doc_id, int(r.start), int(r.total), r.terms, r.counts, r.tail))
+                if len(waiting) >= shard_docs:
+                    yield frame([(number + w, offset, piece) for w, offset, piece in fill(waiting, shipped.value)])
+                    number += shard_docs
+        yield frame([(number + w, offset, piece) for w, offset, piece in fill(waiting, shipped.value)])
+        number += shard_docs
+        yield frame([(number + bit, offset, piece) for bit, offset, piece in last_windows(waiting)])
 
-def _tail_pieces(tokens: DataFrame, shard_docs: int) -> list[DataFrame]:
-    """Materialised pieces of all tails, a frame per search."""
-    spark = tokens.sparkSession
-    s = _statistics(tokens)
-    pool = materialise(tokens.where("left > 0").select("uid", "start", "left", "total", "terms", "counts"), "packing-pool")
-    waiting = pool.count()
-    windows, open_, done, k = pool.limit(0).withColumn("room", F.lit(0)), 0, [], NEIGHBOURS
-    if waiting > shard_docs:
-        seeds = materialise(_seeds(pool), "packing-seeds")
-        seeding = pool.join(seeds, "uid")
-        done.append(materialise(seeding.select("uid", "start", F.col("left").alias("length"), F.col("uid").alias("window"), F.lit(0).alias("offset")), "packing-pieces"))
-        windows = materialise(seeding.withColumn("room", WINDOW - F.col("left")).where("room > 0"), "packing-windows")
-        rest = materialise(pool.join(seeds, "uid", "left_anti"), "packing-pool")
-        forget(pool)
-        forget(seeds)
-        pool, open_, waiting = rest, windows.count(), rest.count()
-    while open_ and waiting and open_ + waiting > shard_docs:
-        blocks = max(1, min(-(-open_ // 64), max(spark.sparkContext.defaultParallelism, -(-open_ // 4096))))
-        found, mine = materialise(_search(windows.repartition(blocks), pool, s, min(k, waiting)), "packing-found"), []
-        for _ in range(CLAIMS):
-            mine.append(materialise(_claim(found), "packing-pieces"))
-            found, last = materialise(_less(_less(found, mine[-1], "uid"), mine[-1], "window"), "packing-found"), found
-            forget(last)
-            if mine[-1].count() * 50 < open_:
-                break
-        forget(found)
-        done += mine
-        placed = reduce(DataFrame.unionByName, mine)
-        rest = materialise(_less(pool, placed, "uid"), "packing-pool")
-        still = materialise(_less(windows.withColumnRenamed("uid", "window"), placed, "window").withColumnRenamed("window", "uid"), "packing-windows")
-        forget(pool)
-        forget(windows)
-        pool, windows = rest, still
-        open_, waiting, k = windows.count(), pool.count(), 4 * k
-    if waiting:
-        done.append(materialise(_finish(windows, pool, s), "packing-pieces"))
-    forget(pool)
-    return done
+    return dealt.mapInPandas(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, shard_docs: int = SHARD_DOCS, with_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids on demand)."""
-    ship(docs.sparkSession)
-    tokens = materialise(_tokens(docs, tokenizer), "packing-tokens")
-    frames = _tail_pieces(tokens, shard_docs)
-    schema = ", ".join(f"{c} long" for c in COLUMNS) + ", ids array<int>" * with_ids
-    if not frames:
-        return docs.sparkSession.createDataFrame([], schema)
-    spans = reduce(DataFrame.unionByName, frames).groupBy("uid").agg(F.collect_list(F.struct("start", "length", "window", "offset")).alias("p"))
-    part = lambda c: F.transform("p", lambda x: x[c]).alias(f"p_{c}")
-    spans = spans.select("uid", *[part(c) for c in ("start", "length", "window", "offset")])
-    ready = tokens.select("uid", "doc_id", "total", "ids").join(spans, "uid", "left")
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    def run(batches):
-        task = TaskContext.get()
-        number = -1 - ((task.partitionId() if task else 0) << 40)  # below zero: windows of one document
-        for pdf in batches:
-            held: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                ids = np.frombuffer(r.ids, "<u4")
-                spots = [(x, WINDOW, number - x // WINDOW, 0) for x in range(0, len(ids) // WINDOW * WINDOW, WINDOW)]
-                number -= len(spots)
-                if r.p_start is not None:
-                    spots += zip(r.p_start, r.p_length, r.p_window, r.p_offset, strict=True)
-                for start, n, window, offset in spots:
-                    own = ids[start : start + n]
-                    held.append((None if pd.isna(r.doc_id) else int(r.doc_id), int(start), int(n), zlib.crc32(own.tobytes()), len(ids), int(window), int(offset), *([own.astype(np.int32)] * with_ids)))
-            out = pd.DataFrame(held, columns=[*COLUMNS, *["ids"] * with_ids])
-            out["doc_id"] = pd.array([h[0] for h in held], dtype="Int64")
-            yield out
-
-    return ready.mapInPandas(run, schema)
+    With ``with_ids`` also ids, as little-endian unsigned 32-bit numbers.
+    """
+    ship(docs.sparkSession)
+    tails = materialise(_tails(docs, tokenizer, with_ids), "packing-tails")
+    s = statistics(tails)
+    schema = ", ".join(f"{c} long" for c in COLUMNS) + ", ids binary" * with_ids
+    parts = _tail_pieces(_dealt(tails, s, shard_docs), s, shard_docs, schema, with_ids)
+    full = tails.select("doc_id", "total", "first_window", *["head"] * with_ids, F.posexplode("crcs").alias("k", "crc"))
+    full = full.select(
+        "doc_id", (F.col("k") * WINDOW).cast("long").alias("start"), F.lit(WINDOW).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), F.col("total").cast("long").alias("doc_tokens"),
+        (-1 - F.col("first_window") - F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),  # below zero: windows of one document
+        *[F.substring("head", F.col("k") * (4 * WINDOW) + 1, F.lit(4 * WINDOW)).alias("ids")] * with_ids,
+    )
+    return full.unionByName(parts)

@@ -51,53 +51,103 @@ def check_pieces(rows, texts):
 
 def test_packing_edges(frame):
     texts = {1: None, 2: "", 3: "a <|endoftext|> b", 4: "word " * 5000, 5: "é" * 100, 6: "x"}
-    docs = frame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, length int").repartition(2)
+    docs = frame([(i, t, 0, "t") for i, t in texts.items()], "doc_id long, text string, length int, tail string").repartition(2)
     assert check_pieces(packing.pack(docs).collect(), texts) == 0
     assert packing.pack(docs.limit(0)).count() == 0
-    with_ids = packing.pack(docs.where("doc_id = 5"), with_ids=True).collect()
-    assert sum((r["ids"] for r in with_ids), []) == packing.token_ids("é" * 100).tolist()
+    with_ids = packing.pack(docs, with_ids=True).where("doc_id = 4").orderBy("start").collect()
+    assert np.array_equal(np.frombuffer(b"".join(bytes(r["ids"]) for r in with_ids), "<u4"), packing.encoder(packing.TOKENIZER)("word " * 5000))
     assert packing.pack(frame([(7, "a"), (7, "a"), (None, "b")], "doc_id long, text string")).count() >= 3
 
 
+def test_packing_long_runs(frame):
+    texts = {1: " " * 2_000_000, 2: "\n" * 2_000_000, 3: "a" * 2_000_000}
+    assert check_pieces(packing.pack(frame(sorted(texts.items()), "doc_id long, text string")).collect(), texts) == 0
+
+
 @needs_data
-def test_packing_table(spark):
+@pytest.mark.parametrize("shard_docs", [64, 4096])
+def test_packing_table(spark, shard_docs):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert check_pieces(packing.pack(docs, shard_docs=64).collect(), texts) == 0
-
-
-def test_bm25_scores():
-    rng = random.Random(3)
-    tails = [packing.Tail(i, np.array([rng.randrange(40) for _ in range(rng.randrange(5, 60))], dtype="<u4"), 0) for i in range(30)]
-    index = packing.Index(tails)
-    mean = np.mean([t.total for t in tails])
-    for seed in tails[:5]:
-        want = []
-        for d in tails:
-            s = 0.0
-            for term in seed.terms:
-                df = sum(term in t.terms for t in tails)
-                idf = np.log((30 - df + 0.5) / (df + 0.5))
-                tf = int((np.repeat(d.terms, d.counts) == term).sum())
-                s += max(0.0, idf) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d.total / mean))
-            want.append(s)
-        assert np.allclose(index.scores(seed), want)
-
-
-@pytest.mark.parametrize("shard_docs", [512, 4])
-def test_packing_finds_neighbours_in_other_splits(frame, shard_docs):
+    assert check_pieces(packing.pack(docs, shard_docs=shard_docs).collect(), texts) == 0
+
+
+def random_tails(n, rng, top):
+    return [packing.Tail.of(i, np.array([min(int(rng.expovariate(4 / top)), top) for _ in range(rng.randrange(5, 90))], dtype="<u4")) for i in range(n)]
+
+
+def bm25(seed, tails, everything):
+    """Scores by the formula, with the statistics of all of ``everything``."""
+    n, mean, out = len(everything), np.mean([t.total for t in everything]), []
+    for d in tails:
+        s = 0.0
+        for term in seed.terms:
+            df = sum(term in t.terms for t in everything)
+            tf = int((np.repeat(d.terms, d.counts) == term).sum())
+            s += max(0.0, np.log((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d.total / mean))
+        out.append(s)
+    return out
+
+
+def table_statistics(tails):
+    terms, df = np.unique(np.concatenate([t.terms for t in tails]), return_counts=True)
+    return packing.Statistics(len(tails), np.mean([t.total for t in tails]), terms, df)
+
+
+def test_shards_score_with_the_statistics_of_the_table():
+    tails = random_tails(120, random.Random(4), 400)
+    s = table_statistics(tails)
+    assert s.width and (s.column[np.concatenate([t.terms for t in tails])] < 0).any()
+    part = tails[10:60]
+    assert np.allclose(packing.Shard(part, s).scores(tails[:5]), [bm25(t, part, tails) for t in tails[:5]], atol=1e-3)
+
+
+def test_fill_takes_the_best_unused():
+    """Against a plain greedy over brute-force scores."""
+    tails = random_tails(90, random.Random(7), 300)
+    s = table_statistics(tails)
+    left = {t.doc_id: t.left for t in tails}
+    order = sorted(tails, key=lambda t: (-t.left, t.doc_id))
+    windows = sum(left.values()) // packing.WINDOW
+    assert windows >= 3
+    others, want = [t for t in tails if t in order[windows:]], []
+    for seed in order[:windows]:
+        scores = dict(zip([t.doc_id for t in others], np.round(bm25(seed, others, tails), 4), strict=True))
+        room, got = packing.WINDOW - seed.left, [(seed.doc_id, seed.left)]
+        while room:
+            ranked = sorted((i for i in scores if left[i]), key=lambda i: -scores[i])[: packing.NEIGHBOURS]
+            taken = []
+            for i in ranked:
+                if left[i] <= room - sum(n for _, n in taken):
+                    taken.append((i, left[i]))
+            over = room - sum(n for _, n in taken)
+            if over and len(taken) < len(ranked):
+                taken.append((next(i for i in ranked if i not in dict(taken)), over))
+            for i, n in taken:
+                left[i] -= n
+                room -= n
+            got += taken
+        want.append(got)
+    found = defaultdict(list)
+    for window, _, (doc_id, _, n, *_) in packing.fill(list(tails), s):
+        found[window].append((doc_id, n))
+    assert [found[w] for w in range(windows)] == want
+
+
+def test_packing_finds_neighbours_in_other_splits(frame):
     rng, topics = random.Random(5), 24
     words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(16)] for _ in range(topics)]
+    encode = packing.encoder(packing.TOKENIZER)
 
     def text(t, tokens):
         out = rng.choice(words[t])
-        while len(packing.token_ids(out)) < tokens:
+        while len(encode(out)) < tokens:
             out += " " + rng.choice(words[t])
         return out
 
     texts = {k * topics + t: text(t, (680, 290)[k]) for k in (0, 1) for t in range(topics)}
     docs = frame(sorted(texts.items()), "doc_id long, text string").repartition(topics, "doc_id")
-    rows = packing.pack(docs, shard_docs=shard_docs).collect()
+    rows = packing.pack(docs).collect()
     assert check_pieces(rows, texts) == 0
     windows = defaultdict(list)
     for r in rows:
@@ -107,18 +157,6 @@ def test_packing_finds_neighbours_in_other_splits(frame, shard_docs):
     assert sum(w[1] % topics == w[0] for w in seeded) >= 0.8 * len(seeded)
 
 
-def test_block_scores_use_the_whole_table():
-    rng = random.Random(4)
-    tails = [packing.Tail(i, np.array([min(int(rng.expovariate(0.02)), 900) for _ in range(rng.randrange(5, 90))], dtype="<u4"), 0) for i in range(300)]
-    index = packing.Index(tails)
-    s = packing.Statistics(300, np.mean([t.total for t in tails]), index.terms, index.df)
-    assert s.width and (s.column[index.terms] < 0).any()
-    want = np.array([index.scores(t) for t in tails[:20]])
-    assert np.allclose(packing.block_scores(tails[:20], tails, s), want, atol=1e-3)
-    best, who = packing.nearest(tails[:20], iter([tails[:128], tails[128:256], tails[256:]]), s, 8)
-    assert np.allclose(best, -np.sort(-want, axis=1)[:, :8], atol=1e-3) and np.allclose(np.take_along_axis(want, who[:, :, 0], 1), best, atol=1e-3)
-
-
 # --- decontamination
 
 
