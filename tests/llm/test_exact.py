@@ -6,6 +6,7 @@ import io
 import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -187,10 +188,21 @@ def brute_tiles(doc, item, width):
 def test_tiling(doc, item):
     width = 2
     cache = dec.TokenHashes()
-    block = dec.Block([(1, " ".join(map(str, item)))], width)
-    tokens = dec.tokens_of(" ".join(map(str, doc)), cache)
-    seeds = block.seeds(tokens).get(0, [])
-    assert sorted(dec.tiles(tokens, block.tokens[0], seeds, width)) == sorted(brute_tiles(doc, item, width))
+    a, b = (dec.tokens_of(" ".join(map(str, x)), cache) for x in (doc, item))
+    want = sorted(brute_tiles(doc, item, width))
+    assert sorted(dec.tiles(a, b, width)) == want
+    with pytest.MonkeyPatch.context() as m:  # the way of repetitive texts, in small blocks
+        m.setattr(dec, "LISTED", 0)
+        m.setattr(dec, "CELLS", 40)
+        assert sorted(dec.tiles(a, b, width)) == want
+
+
+def test_tiling_of_repetitive_texts_is_quick():
+    cache, began = dec.TokenHashes(), time.monotonic()
+    doc, item = (dec.tokens_of("tick tock " * n, cache) for n in (20_000, 400))
+    assert sum(n for *_, n in dec.tiles(doc, item, 5)) == 800
+    item = dec.tokens_of("tick tock " * 399 + "boom", cache)
+    assert sum(n for *_, n in dec.tiles(doc, item, 5)) == 798 and time.monotonic() - began < 20
 
 
 def test_decontamination_edges(frame):
@@ -200,10 +212,36 @@ def test_decontamination_edges(frame):
     bench = frame([(10, item), (11, "too short item"), (12, None), (10, "other words of no text at all")], "item_id long, text string")
     got = sorted((r["doc_id"] or -1, r["item_id"], r["coverage"], r["n_tiles"]) for r in dec.contaminated_pairs(docs, bench).collect())
     assert got == [(-1, 10, 1.0, 1), (1, 10, 1.0, 1), (2, 10, 1.0, 2), (2, 10, 1.0, 2)]
-    small = dec.contaminated_pairs(docs, bench, block_bytes=80)  # several blocks
-    assert sorted((r["doc_id"] or -1, r["item_id"], r["coverage"], r["n_tiles"]) for r in small.collect()) == got
-    assert sorted(r["doc_id"] or -1 for r in dec.decontaminate(docs, bench).collect()) in ([3, 4, 5], [-1, 3, 4, 5])
+    assert sorted(r["doc_id"] or -1 for r in dec.decontaminate(docs, bench).collect()) == [3, 4, 5]
     assert dec.contaminated_pairs(docs.limit(0), bench).count() == 0 and dec.contaminated_pairs(docs, bench.limit(0)).count() == 0
+    assert dec.decontaminate(docs, bench.limit(0)).count() == 7 and dec.decontaminate(docs.limit(0), bench).count() == 0
+    short = frame([(20, "Too short!"), (21, "..."), (22, "high"), (None, "jumps high")], "item_id long, text string")
+    got = dec.contaminated_pairs(frame([(1, "far too short"), (2, "too; SHORT"), (3, "too high jumps"), (4, "he jumps high")], "doc_id long, text string"), short)
+    assert sorted((r["doc_id"], r["item_id"] or 0) for r in got.collect()) == [(1, 20), (2, 20), (3, 22), (4, 0), (4, 22)]
+    wide = docs.selectExpr("*", "'x' as t1", "1 as d", "2 as row", "array(1) as hits")
+    assert dec.decontaminate(wide, bench).columns == wide.columns and dec.decontaminate(wide, bench).count() == 3 and dec.contaminated_pairs(wide, bench).count() == 4
+
+
+def test_decontamination_by_brute_force(frame):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randrange(3, 30)))) for k in range(25)]
+    docs = []
+    for i in range(150):
+        parts = [rng.choices(words, k=rng.randrange(0, 40))]
+        for _ in range(rng.randrange(3)):
+            item = rng.choice(items)[1].split()
+            cut = rng.randrange(len(item))
+            parts += [item[cut:], rng.choices(words, k=rng.randrange(4)), item[:cut]]
+        docs.append((i, " ".join(sum(parts, []))))
+    want = []
+    for i, t in docs:
+        for k, b in items:
+            found = brute_tiles(t.split(), b.split(), min(5, len(b.split())))
+            if sum(n for *_, n in found) >= 0.8 * len(b.split()):
+                want.append((i, k, sum(n for *_, n in found) / len(b.split()), len(found)))
+    got = dec.contaminated_pairs(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
 
 
 # --- chat
