@@ -39,12 +39,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget, materialise, ship
+from corpusmill.llm.common import forget, materialise, ship, with_facts
 
 COORDINATES = 32
 MIN_MATCHES = 14
 #: Documents under a key of which all pairs are compared, if in different components.
 SMALL_KEY = 40
+#: Pairs for which the text of a hub is sent once.
+PAIRS_A_TEXT = 256
 #: Preceding tokens that a posting carries to tell whether a pair has met already.
 LOOK_BACK = 8
 #: Longs of a set's parity map.
@@ -97,7 +99,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (128-bit hash of the set) and keys (the signature)."""
+    """doc_id, th (hash of the text), n_shingles, set_id (128-bit hash of the set) and keys (the signature)."""
     ship(docs.sparkSession)
 
     def run(batches):
@@ -106,22 +108,28 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t, width, cache) for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"),
+                "th": pdf["th"],
                 "n_shingles": [len(s) for s in sets],
                 "set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                 "keys": [signature(s) if len(s) else np.zeros(0, dtype=np.int64) for s in sets],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_id binary, keys array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return rows.mapInPandas(run, "doc_id long, th long, n_shingles long, set_id binary, keys array<long>")
 
 
 def postings(reps: DataFrame) -> DataFrame:
     """(key, rep, n_shingles, weight): the prefix of each signature under keys that others share."""
     each = reps.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # a missing n means a key of one document: the rarest of all, to be skipped
-    shared = each.join(often, "key").groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("ks"), F.sum("n").alias("weight"))
+    often = materialise(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-keys")
+    # no n means a key of one document: the rarest of all, to be skipped
+    counted = with_facts(each, often.withColumn("rows", F.col("n")), ["key"], "rows").where("n is not null")
+    shared = counted.groupBy("rep", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("ks"), F.sum("n").alias("weight"))
     prefix = F.greatest(F.lit(0), F.size("ks") - F.lit(MIN_MATCHES - 1))
-    return shared.where(F.size("ks") >= MIN_MATCHES).select("rep", "n_shingles", "weight", F.explode(F.slice("ks", F.lit(1), prefix)).alias("k")).select("k.key", "rep", "n_shingles", "weight")
+    out = shared.where(F.size("ks") >= MIN_MATCHES).select("rep", "n_shingles", "weight", F.explode(F.slice("ks", F.lit(1), prefix)).alias("k")).select("k.key", "rep", "n_shingles", "weight")
+    out = materialise(out, "near-postings")
+    forget(often)
+    return out
 
 
 def similar_enough(a: Column, b: Column, percent: int) -> Column:
@@ -129,13 +137,30 @@ def similar_enough(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the distinct (a, b) that agree on enough coordinates and on their full sets."""
-    left = signatures.select(F.col("rep").alias("a"), F.col("keys").alias("ka"))
-    right = signatures.select(F.col("rep").alias("b"), F.col("keys").alias("kb"))
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, text) of the distinct ``nodes`` (rep): the text of each one's first document."""
+    heads = classes.join(nodes, "rep", "left_semi").select("rep", "doc_id", "th")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    found = rows.join(heads, ["doc_id", "th"]).select("rep", "text").dropDuplicates(["rep"])
+    return materialise(found, "near-texts")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the distinct (a, b) that agree on enough coordinates and on their full sets.
+
+    The text of ``b``, of which a hub has many pairs, is sent once for about
+    ``PAIRS_A_TEXT`` of them, in as many tasks as that makes.
+    """
+    keys = classes.select("rep", "keys")
+    pairs = materialise(pairs, "near-pairs")
+    degree = materialise(pairs.groupBy("b").agg(F.count("*").alias("n")).join(keys.withColumnsRenamed({"rep": "b", "keys": "kb"}), "b"), "near-degrees")
+    near = with_facts(pairs.join(keys.withColumnsRenamed({"rep": "a", "keys": "ka"}), "a"), degree, ["b"], "n")
     agree = F.size(F.array_intersect("ka", "kb"))  # a key holds its coordinate, so equal keys agree
-    likely = pairs.join(left, "a").join(right, "b").where(agree >= MIN_MATCHES).select("a", "b")
-    both = likely.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
+    split = F.ceil(F.col("n") / PAIRS_A_TEXT)
+    likely = materialise(near.where(agree >= MIN_MATCHES).select("a", "b", F.pmod(F.xxhash64("a"), split).alias("part")), "near-likely")
+    texts = texts_of(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct(), classes, docs)
+    right = likely.select("b", "part").distinct().join(texts.withColumnsRenamed({"rep": "b", "text": "tb"}), "b")
+    both = likely.join(texts.withColumnsRenamed({"rep": "a", "text": "ta"}), "a").join(right, ["b", "part"])
 
     def run(batches):
         cache = WordHashes()
@@ -150,7 +175,10 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, width:
                 keep.append(100 * same >= percent * (len(x) + len(y) - same) > 0)
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    out = materialise(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "near-links")
+    for done in (pairs, degree, likely, texts):
+        forget(done)
+    return out
 
 
 def rare_shingles(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -162,8 +190,7 @@ def rare_shingles(rows: DataFrame, width: int, percent: int) -> DataFrame:
     ``before`` the last few of the shingles before it, and ``parity`` tells of each
     slot of the hash whether an odd number of the set's shingles fall into it.
     """
-    held = materialise(rows.select("rep", "component", "text").dropDuplicates(["rep"]), "near-crowded")
-    spark = held.sparkSession
+    held, spark = rows.select("rep", "component", "text"), rows.sparkSession
 
     def count(batches):
         cache = WordHashes()
@@ -216,53 +243,96 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): smallest node reachable over the undirected ``edges`` (a, b)."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct().toDF("node", "other"), "near-edges")
-    state = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "near-labels")
+    state = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component"), F.count("*").alias("n")), "near-labels")
     while True:
         # the smallest label around, then the label of that label
-        around = both.join(state.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        stepped = state.join(around, "node").select("node", "component", F.least("component", "near").alias("next"))
-        jump = state.select(F.col("node").alias("next"), F.col("component").alias("jumped"))
-        following = stepped.join(jump, "next", "left").select("node", F.col("component").alias("was"), F.least("next", F.coalesce("jumped", "next")).alias("component"))
+        around = with_facts(both, state.withColumnRenamed("node", "other"), ["other"], "n").groupBy("node").agg(F.min("component").alias("near"))
+        stepped = state.join(around, "node").select("node", "n", "component", F.least("component", "near").alias("next"))
+        stepped = materialise(stepped, "near-steps")
+        # so many rows ask for the label of one node
+        asked = stepped.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("rows"))
+        jump = materialise(asked.join(state.select("node", F.col("component").alias("jumped")), "node").withColumnRenamed("node", "next"), "near-jumps")
+        following = with_facts(stepped, jump, ["next"], "rows").select("node", "n", F.col("component").alias("was"), F.least("next", F.coalesce("jumped", "next")).alias("component"))
         following = materialise(following, "near-labels")
-        forget(state)
+        for done in (state, stepped, jump):
+            forget(done)
         changed = following.where("component <> was").limit(1).count()
-        state = following.select("node", "component")
+        state = following.select("node", "n", "component")
         if not changed:
             forget(both)
-            return state
+            return state.select("node", "component")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Materialised: the sketch of every row, and (set_id, n, component_id) of every class of equal sets."""
     own = materialise(sketches(docs, width), "near-sketches")
     sound = own.where("n_shingles > 0 and doc_id is not null")
-    classes = sound.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    members = materialise(sound.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "rep").distinct(), "near-members")
-    heads = sound.join(classes, (sound.set_id == classes.set_id) & (sound.doc_id == classes.rep)).select("rep", "n_shingles", "keys").dropDuplicates(["rep", "n_shingles"])
-    reps = materialise(heads, "near-reps")
-    posted = materialise(postings(reps), "near-postings")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text")
+    head = F.min(F.struct("doc_id", "th")).alias("head")
+    grouped = sound.groupBy("set_id").agg(head, F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    classes = materialise(grouped.select(F.monotonically_increasing_id().alias("rep"), "set_id", "n", "head.doc_id", "head.th", "n_shingles", "keys"), "near-classes")
+    posted = postings(classes)
 
     # a hub is the most central document under a key
-    hub = posted.groupBy("key").agg(F.max(F.struct("weight", F.negative("rep").alias("minus"), "n_shingles")).alias("h")).select("key", F.negative("h.minus").alias("hub"), F.col("h.n_shingles").alias("n_hub"))
-    star = posted.join(hub, "key").where((F.col("rep") != F.col("hub")) & similar_enough(F.col("n_shingles"), F.col("n_hub"), percent))
-    first = star.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = materialise(confirmed(first, reps, texts, width, percent), "near-links")
+    hub = posted.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.struct("weight", F.negative("rep").alias("minus"), "n_shingles")).alias("h"))
+    hub = materialise(hub.select("key", "rows", F.negative("h.minus").alias("hub"), F.col("h.n_shingles").alias("n_hub")), "near-hubs")
+    star = with_facts(posted, hub, ["key"], "rows").where((F.col("rep") != F.col("hub")) & similar_enough(F.col("n_shingles"), F.col("n_hub"), percent))
+    first = materialise(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "near-first")
+    links = confirmed(first.where("a < b").union(first.where("a > b").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")), classes, docs, width, percent)
     found = components(links)
 
     # pairs under a key in different components; keys with one component are done
     placed = materialise(posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-placed")
     several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    small = placed.join(several.where(F.col("n") <= SMALL_KEY), "key").select(F.col("key").alias("token"), "rep", "n_shingles", "component", F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"))
-    crowded = placed.join(several.where(F.col("n") > SMALL_KEY), "key").select("rep", "component").distinct()
+    several = materialise(several, "near-several")
+    open_keys = materialise(with_facts(placed, several, ["key"], "n").where("n is not null"), "near-open")
+    small = open_keys.where(F.col("n") <= SMALL_KEY).select(F.col("key").alias("token"), "rep", "n_shingles", "component", F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"))
+    crowded = materialise(open_keys.where(F.col("n") > SMALL_KEY).select("rep", "component").distinct(), "near-crowded")
+    texts = texts_of(crowded.select("rep"), classes, docs)
     rare = rare_shingles(crowded.join(texts, "rep"), width, percent)
-    pairs = cross_pairs(small, percent).union(cross_pairs(rare, percent)).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(confirmed(pairs, reps, texts, width, percent), "near-links")
-
-    # classes, links of both rounds
-    edges = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).union(found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")).union(more)
-    final = components(edges)
-    for done in (members, reps, posted, links, placed, more):
+    done_before = first.union(first.select("b", "a"))
+    pairs = cross_pairs(small, percent).union(cross_pairs(rare, percent)).distinct().join(done_before, ["a", "b"], "left_anti")
+    more = confirmed(pairs, classes, docs, width, percent)
+
+    # classes that share a doc_id, and the links of both rounds
+    members = sound.select("doc_id", "set_id").distinct()
+    shared = members.groupBy("doc_id").agg(F.collect_set("set_id").alias("sets")).where("size(sets) > 1")
+    ids = classes.select("set_id", "rep")
+    same = shared.select("doc_id", F.explode("sets").alias("set_id")).join(ids, "set_id").select("doc_id", "rep")
+    same = same.join(same.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more).union(same)
+    labels = components(edges)
+    labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "n", "doc_id", F.coalesce("component", "rep").alias("component"))
+    labelled = materialise(labelled, "near-labelled")
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    least = materialise(least, "near-least")
+    out = materialise(with_facts(labelled.drop("doc_id"), least, ["component"], "rows").select("set_id", "n", "component_id"), "near-components")
+    for done in (classes, posted, hub, first, links, found, placed, several, open_keys, crowded, texts, more, labels, labelled, least):
         forget(done)
-    rows = own.select("doc_id", "n_shingles").join(final.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return own, out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
+    own, components_of = _classified(docs, width, percent)
+    asked = own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id"))
+    rows = with_facts(asked, components_of, ["set_id"], "n")
+    mine = F.coalesce("component_id", "doc_id")
+    return rows.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce(mine == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, that of the smallest doc_id, with the columns of ``docs``.
+
+    Of rows with equal doc_id and text one stays; other rows of a doc_id that stays
+    and rows without one are all kept.
+    """
+    own, components_of = _classified(docs, width, percent)
+    asked = own.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_id")
+    gone = with_facts(asked, components_of, ["set_id"], "n").where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit("second"), "text").alias("_t2"))
+    rows = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    repeated = materialise(own.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_t1")).count().where("count > 1").drop("count"), "near-repeated")
+    if repeated.limit(1).count():
+        again = rows.join(repeated, ["_id", "_t1"], "left_semi").dropDuplicates(["_id", "_t1", "_t2"])
+        rows = rows.join(repeated, ["_id", "_t1"], "left_anti").unionByName(again)
+    return rows.select("d.*")
