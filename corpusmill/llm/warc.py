@@ -13,8 +13,9 @@ searches for the next position that passes, goes on there, and logs the bytes
 between as a quarantined gap.
 
 Defined cases: a null html is an empty payload; rows with equal id and payload
-are all responses if the id is the largest; a null id loses to any other id; an
-empty table gives no rows; extra columns are ignored.
+are all responses if the id is the largest; a null id loses to any other id; very long
+payloads are written and read whole, up to ``MAX_RECORD`` bytes a record; an empty table
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +32,17 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import materialise, shared_dir, ship
+from corpusmill.llm.common import forget, materialise, shared_dir, ship, with_facts
 
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 18
+#: A member that inflates to more is taken for a broken one, so that a bomb cannot take a worker.
+MAX_RECORD = 1 << 30
 LEVEL = 4
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+#: Bytes in which the header of an uncompressed record must end; a version line without such an end is quarantined.
+MAX_HEADER = 1 << 26
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -76,8 +81,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
     ship(spark)
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    largest = rows.groupBy("sha").agg(F.max("page_id").alias("first"))
-    linked = rows.join(largest, "sha")
+    largest = materialise(rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")), "warc-digests")
+    linked = with_facts(rows, largest, ["sha"], "n")  # the page that a third of all rows repeat is met everywhere
     base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def run(batches):
@@ -104,7 +109,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
 
     manifest = linked.select("page_id", "url", "payload", "sha", "first").mapInPandas(run, "path string, bytes long, records long")
     prefix = base.split("://")[0] + "://" if "://" in base else "file://"
-    return materialise(manifest.select(F.concat(F.lit(prefix), "path").alias("path"), "bytes", "records"), "warc-manifest")
+    done = materialise(manifest.select(F.concat(F.lit(prefix), "path").alias("path"), "bytes", "records"), "warc-manifest")
+    forget(largest)
+    return done
 
 
 class _Window:
@@ -176,14 +183,21 @@ def parse_record(data: bytes) -> dict:
 
 def _member_at(window: _Window, at: int) -> tuple[bytes, int]:
     """Content of the gzip member at ``at``, and where it ends."""
-    unpack, out, here = zlib.decompressobj(31), [], at
+    unpack, out, here, size = zlib.decompressobj(31), [], at, 0
     try:
         while not unpack.eof:
             part = window.get(here, CHUNK)
             if not part:
                 raise BadRecord("truncated member")
-            out.append(unpack.decompress(part))
-            here += len(part) - len(unpack.unused_data)
+            here += len(part)
+            while True:
+                out.append(unpack.decompress(part, CHUNK))
+                size, part = size + len(out[-1]), unpack.unconsumed_tail
+                if size > MAX_RECORD:
+                    raise BadRecord("a member larger than any record")
+                if not part and len(out[-1]) < CHUNK:
+                    break
+            here -= len(unpack.unused_data)
     except zlib.error as e:
         raise BadRecord(f"broken member: {e}") from None
     return b"".join(out), here
@@ -193,7 +207,7 @@ def _plain_at(window: _Window, at: int) -> tuple[bytes, int]:
     """The uncompressed record at ``at``, and where it ends."""
     size = 1 << 12
     while (cut := window.get(at, size).find(b"\r\n\r\n")) < 0:
-        if size >= 1 << 20 or len(window.get(at, size)) < size:
+        if size >= MAX_HEADER or len(window.get(at, size)) < size:
             raise BadRecord("no end of header")
         size *= 2
     length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", window.get(at, cut).replace(b"\r", b""))
