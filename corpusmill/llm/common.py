@@ -117,3 +117,14 @@ def label_sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
+
+
+def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``limit`` labelled documents, one row an id.
+
+    Of different texts under one id the one with the largest hash counts.
+    """
+    chosen = label_sample(labels, label, limit)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` ids
+    one = F.max_by("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit("second"), "text"))).alias("text")
+    return rows.groupBy("doc_id").agg(one, F.max("label").alias("label"))

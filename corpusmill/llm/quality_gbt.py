@@ -6,9 +6,11 @@ numpy node arrays. Scoring is one mapInPandas pass over the whole table without
 a shuffle: each batch walks all trees at once, one level per step.
 
 Defined cases: null, empty and white-space texts have no words and fail the base
-rules; repeated rows are scored one by one; an empty table gives no rows; extra
-columns are ignored; a null doc_id stays null. Without labels of both classes
-every document gets the base rate (or 1.0), so the base rules decide alone.
+rules; repeated rows are scored one by one; a label whose id has several texts counts
+for the one with the largest hash; a score of exactly ``keep_from`` is kept; a text of
+any length is described whole; an empty table gives no rows; extra columns are ignored,
+whatever their names; a null doc_id stays null. Without labels of both classes every
+document gets the base rate (or 1.0), so the base rules decide alone.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusmill.llm import stats
-from corpusmill.llm.common import label_sample, ship
+from corpusmill.llm.common import sampled_texts, ship
 
 #: Labelled rows used for fitting, at most.
 SAMPLE_ROWS = 20_000
@@ -142,15 +143,14 @@ def _flat(grown: list, base: float, depth: int) -> Forest:
 def sample_features(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``limit`` labelled documents, on the driver."""
     ship(docs.sparkSession)
-    chosen = label_sample(labels, label, limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``limit`` small rows
+    rows = sampled_texts(docs, labels, label, limit)
 
     def run(batches):
         for pdf in batches:
             _, x = stats.table(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": list(x)})
 
-    got = rows.mapInPandas(run, "doc_id long, label int, x array<double>").limit(2 * limit).toPandas()
+    got = rows.mapInPandas(run, "doc_id long, label int, x array<double>").toPandas()  # at most ``limit`` rows
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(-1, len(stats.FEATURES))
     order = np.lexsort((*x.T[::-1], got["doc_id"].to_numpy()))
     return x[order], got["label"].to_numpy(dtype=np.float64)[order]

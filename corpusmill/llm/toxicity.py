@@ -3,23 +3,26 @@
 Units are words and, as back-off for inflected or unseen forms, their first five
 and four characters. Each unit gets a log-odds ratio between toxic and clean
 labelled documents with a Dirichlet prior in proportion to the pooled counts; a
-unit counts only if it is in ``MIN_DOCS`` documents and its z score passes the
-universal threshold sqrt(2 ln n) of the n units tested, which keeps chance out at
-any vocabulary size. A word takes the score of its most specific unit, any other
+unit counts only if its z score passes the universal threshold sqrt(2 ln n) of the n
+units tested, which keeps chance out at any vocabulary size. A word takes the score of its most specific unit, any other
 word the (negative) mean of the rest.
 The linear scan of Ruzzo and Tompa over these scores yields every maximal
-segment. Extreme-value statistics of clean training documents turn a segment
-score s in a text of n words into s' = lambda * s - ln(K n); the best s' and the
-sum of the significant ones go through a logistic curve fitted on the sample.
+segment. Extreme-value statistics of clean training documents, lambda from the mean
+excess of their segments over the upper quartile and K from how many reach it, turn a
+segment score s in a text of n words into s' = lambda * s - ln(K n); the best s' and
+the sum of the significant ones go through a logistic curve fitted on the sample.
 
 At most ``SAMPLE_ROWS`` labelled documents (in hash order, equal texts once) fit
-the model, and at most ``MAX_UNITS`` units are kept, which bounds the broadcast.
-Scoring is one mapInPandas pass over whole texts without a shuffle.
+the model; all their significant units are kept, so the sample bounds the broadcast.
+Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: a text that is null, empty or has no word has no segment and the
-score of a clean text; repeated rows are scored one by one; an empty table gives
-no rows; extra columns are ignored; without labels of both classes every score
-is the base rate, or 0 without any label.
+score of a clean text; repeated rows are scored one by one; a label whose id has
+several texts counts for the one with the largest hash, and of labels for equal texts
+the toxic one counts; a score of exactly 0.5 is predicted 1; segments of equal score are
+all reported; a text of any length is scanned whole; an empty table gives no rows; extra
+columns are ignored or, by :func:`without_toxic`, kept whatever their names; without
+labels of both classes every score is the base rate, or 0 without any label.
 """
 
 from __future__ import annotations
@@ -33,16 +36,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusmill.llm.common import id_remainder, label_sample, ship
+from corpusmill.llm.common import forget, id_remainder, materialise, sampled_texts, ship
 
 SAMPLE_ROWS = 40_000
-MAX_UNITS = 100_000
 #: Weight of the Dirichlet prior, as a share of the pooled counts.
 PRIOR = 0.1
-#: Documents that a unit must be in to be tested.
-MIN_DOCS = 5
 #: A segment is a passage if by chance fewer than this many are expected in its text.
 MAX_EXPECTED = 0.05
 CACHE_WORDS = 300_000
@@ -123,6 +122,16 @@ def summary(n: int, segments: list, model: Model) -> tuple[list[float], list[tup
     return [float(np.clip(best, 0, 60)), float(np.log1p(sum(x[2] for x in passages)))], passages
 
 
+def extreme_values(scores: np.ndarray, words: int) -> tuple[float, float]:
+    """lambda and ln K of the tail: n words have n K exp(-lambda s) segments of s or more by chance."""
+    if len(scores) < 20:
+        return 1.0, -2.0
+    at = float(np.quantile(scores, 0.75))
+    over = scores[scores >= at] - at
+    scale = float(np.clip(1 / max(over.mean(), 1e-9), 0.05, 20.0))
+    return scale, float(np.log(len(over) / max(1, words)) + scale * at)
+
+
 def _unit_counts(rows: DataFrame) -> DataFrame:
     """(unit, toxic, clean): counts over all given rows."""
 
@@ -154,7 +163,7 @@ def _unit_counts(rows: DataFrame) -> DataFrame:
 def _log_odds(counts: DataFrame) -> tuple[dict[str, float], float]:
     """Scores of the significant units, and the score of all other words."""
     words = ~F.col("unit").endswith("\x01")
-    total = counts.agg(F.sum(F.when(words, F.col("toxic"))).alias("t"), F.sum(F.when(words, F.col("clean"))).alias("c"), F.count_if(F.col("toxic") + F.col("clean") >= MIN_DOCS).alias("n")).first()
+    total = counts.agg(F.sum(F.when(words, F.col("toxic"))).alias("t"), F.sum(F.when(words, F.col("clean"))).alias("c"), F.count("*").alias("n")).first()
     t, c = float(total["t"] or 0), float(total["c"] or 0)
     if not t or not c:
         return {}, -0.02
@@ -162,7 +171,7 @@ def _log_odds(counts: DataFrame) -> tuple[dict[str, float], float]:
     a, b, more = F.col("toxic") + prior, F.col("clean") + prior, PRIOR * (t + c)
     odds = F.log(a / (F.lit(t + more) - a)) - F.log(b / (F.lit(c + more) - b))
     scored = counts.select("unit", "toxic", "clean", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    kept = scored.where(F.col("toxic") + F.col("clean") >= MIN_DOCS).where(F.abs("z") >= float(np.sqrt(2 * np.log(max(2, total["n"]))))).orderBy(F.abs("z").desc(), "unit").limit(MAX_UNITS).toPandas()
+    kept = scored.where(F.abs("z") >= float(np.sqrt(2 * np.log(max(2, total["n"]))))).toPandas().sort_values("unit")  # units of the sample
     plain = kept[~kept["unit"].str.endswith("\x01")]
     rest = (max(1.0, t - plain["toxic"].sum()) / t) / (max(1.0, c - plain["clean"].sum()) / c)
     return dict(zip(kept["unit"], kept["odds"], strict=True)), float(min(-0.005, np.log(rest)))
@@ -198,10 +207,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn the model from at most ``sample_rows`` labelled documents."""
     ship(docs.sparkSession)
-    chosen = label_sample(labels, label, sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample_rows`` ids
-    once = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"))
-    distinct = rows.drop("label").join(F.broadcast(once.select("doc_id", "label").dropDuplicates(["doc_id"])), "doc_id")
+    rows = materialise(sampled_texts(docs, labels, label, sample_rows), "toxicity-sample")
+    distinct = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("label").alias("label"), F.max("text").alias("text"))
     model = Model()
     model.scores, model.neutral = _log_odds(_unit_counts(distinct))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -212,55 +219,56 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
             seen = [examine(t, cache) for t in pdf["text"]]
             yield pd.DataFrame({"label": pdf["label"], "n": [n for n, _ in seen], "segments": [[s for *_, s in x] for _, x in seen]})
 
-    got = rows.mapInPandas(run, "label int, n long, segments array<double>").limit(2 * sample_rows).toPandas()
+    got = rows.mapInPandas(run, "label int, n long, segments array<double>").toPandas()  # at most ``sample_rows`` rows
+    forget(rows)
     if got.empty or got["label"].nunique() < 2:
         p = float(got["label"].mean()) if len(got) else 0.0
         model.weights = (float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))), 0.0, 0.0)
         return model
     got = got.assign(best=[max(s, default=0.0) for s in got["segments"]]).sort_values(["label", "n", "best"])
-    # K of the tail n K exp(-lambda s): clean segments over their upper quartile; log-odds have lambda 1
     clean = got[got["label"] == 0]
-    scores = np.sort(np.concatenate([np.asarray(s, dtype=float) for s in clean["segments"]] + [np.zeros(0)]))
-    if len(scores) >= 20:
-        at = scores[int(0.75 * len(scores))]
-        model.log_k = float(np.log((scores >= at).sum() / max(1, clean["n"].sum())) + at)
+    scores = np.concatenate([np.asarray(s, dtype=float) for s in clean["segments"]] + [np.zeros(0)])
+    model.scale, model.log_k = extreme_values(scores, int(clean["n"].sum()))
     x = np.array([summary(n, [(0, 0, v) for v in s], model)[0] for n, s in zip(got["n"], got["segments"], strict=True)])
     model.weights = _logistic(x, got["label"].to_numpy(dtype=float))
     return model
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS, pass_through: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted and the passages of every row; held-out labels are never read.
-
-    With ``pass_through`` the rows of ``docs`` and score and predicted (which
-    replace columns of these names), in the same pass.
-    """
-    seen = labels.where(id_remainder("doc_id", folds) != held_fold)
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, seen, label, sample_rows))
+def _judge(texts, cache: WordScores, model: Model) -> tuple[np.ndarray, list]:
+    """Score and passages of each text."""
+    rows = [summary(*examine(t, cache), model) for t in texts]
+    return model.probability(np.array([r[0] for r in rows]).reshape(-1, 2)), [r[1] for r in rows]
 
-    def judge(texts, cache: WordScores) -> tuple[np.ndarray, list]:
-        rows = [summary(*examine(t, cache), model.value) for t in texts]
-        return model.value.probability(np.array([r[0] for r in rows]).reshape(-1, 2)), [r[1] for r in rows]
 
-    if pass_through:
-        keep = [c for c in docs.columns if c not in ("score", "predicted")]
-        fields = [f for f in docs.schema.fields if f.name in keep]
+def _learned(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, sample_rows: int):
+    seen = labels.where(id_remainder("doc_id", folds) != held_fold)
+    return docs.sparkSession.sparkContext.broadcast(fit(docs, seen, label, sample_rows))
 
-        def extend(batches):
-            cache = WordScores(model.value)
-            for batch in batches:
-                score, _ = judge(batch.column("text").to_pylist(), cache)
-                own = [batch.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-        return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(extend, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted and the passages of every row; held-out labels are never read."""
+    model = _learned(docs, labels, label, folds, held_fold, sample_rows)
 
     def run(batches):
         cache = WordScores(model.value)
         for pdf in batches:
-            score, found = judge(pdf["text"], cache)
+            score, found = _judge(pdf["text"], cache, model.value)
             passages = [[{"first_word": a, "end_word": b, "significance": float(s)} for a, b, s in x] for x in found]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "score": score, "predicted": (score >= 0.5).astype(np.int32), "passages": passages})
 
     rows = docs.select("doc_id", "text", (id_remainder("doc_id", folds) == held_fold).alias("held_out"))
     return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<first_word:long,end_word:long,significance:double>>")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_fold: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns, in one pass over the texts."""
+    model = _learned(docs, labels, label, folds, held_fold, sample_rows)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        cache = WordScores(model.value)
+        for batch in batches:
+            score, _ = _judge(batch.column(at).to_pylist(), cache, model.value)
+            yield batch.filter(pa.array(score < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

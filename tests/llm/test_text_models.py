@@ -55,8 +55,30 @@ def test_toxicity_on_edges(frame):
     assert out[1]["passages"][-1]["end_word"] == 14
     assert tox.toxicity_scores(docs.limit(0), labels).count() == 0
     assert max(r["score"] for r in tox.toxicity_scores(docs, labels.where("toxic = 0")).collect()) < 1e-6
-    wide = tox.toxicity_scores(docs.selectExpr("*", "1 as score", "'x' as kept"), labels, pass_through=True)
-    assert wide.columns == ["doc_id", "text", "kept", "score", "predicted"] and wide.count() == 84
+    wide = docs.selectExpr("*", "1 as score", "'x' as predicted", "2 as label")
+    kept = tox.without_toxic(wide, labels)
+    assert kept.columns == wide.columns and {(r["score"], r["predicted"], r["label"]) for r in kept.collect()} == {(1, "x", 2)}
+    assert {r["doc_id"] for r in kept.collect()} - {None} == {i for i in range(80) if i % 2 == 0} | {100, 101, 102}
+    assert tox.without_toxic(wide.limit(0), labels).count() == 0
+    again = tox.toxicity_scores(docs.union(docs).union(docs), labels.union(labels)).where("doc_id < 80").collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in again)
+    long = frame([(1, "scum " * 400_000), (2, "mill " * 400_000)], "doc_id long, text string").union(docs.where("doc_id between 3 and 79"))
+    assert [r["predicted"] for r in tox.toxicity_scores(long, labels.where("doc_id > 2")).where("doc_id < 3").orderBy("doc_id").collect()] == [1, 0]
+
+
+def test_extreme_values_of_a_known_tail():
+    rng = np.random.default_rng(2)
+    scale, log_k = tox.extreme_values(rng.exponential(1 / 1.7, 4_000), 100_000)
+    assert abs(scale - 1.7) < 0.15 and abs(log_k - np.log(4_000 / 100_000)) < 0.15
+    assert tox.extreme_values(np.zeros(3), 10) == (1.0, -2.0)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_significance_holds_on_clean_held_out_texts(spark):
+    """Of clean documents that the model has not seen, no more have a passage than the level says."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    out = tox.toxicity_scores(docs, labels).join(labels.where("toxic = 0"), "doc_id").where("held_out").toPandas()
+    assert (out["passages"].map(len) > 0).mean() <= 2 * tox.MAX_EXPECTED
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
