@@ -4,11 +4,15 @@
 returns a DataFrame. ``run`` writes what a stage returns as Parquet into the shared
 folder and reads it again as the docs of the next one, so a lost executor never
 makes an earlier stage run again. All stages but the last return the columns of
-documents; packing returns a row per piece.
-
-Defined cases: rows with a null doc_id are kept by every filter that needs an id;
-a null text is clean, has one empty line, no near-duplicate and one closing token;
-empty tables give no rows.
+documents, with their values: columns of the user that bear the name of a result
+(score, n_lines, kept, ...) stay as they are. Packing returns a row per piece.
+
+Defined cases: a null text is clean, has one empty line, no near-duplicate and one
+closing token; a null doc_id keeps its row in every filter but the one of benchmark
+items, which goes by the text; of rows with equal doc_id and text near-dedup keeps
+one, of rows with equal doc_id and different texts each text once; ties (equal
+texts) keep the smallest doc_id; very long texts are handled whole; empty tables give
+no rows.
 """
 
 from __future__ import annotations
@@ -19,27 +23,25 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import forget, materialise, read_table
 from corpusmill.llm.decontamination import decontaminate
 from corpusmill.llm.line_dedup import dedup_lines
-from corpusmill.llm.near_dup import near_duplicates
+from corpusmill.llm.near_dup import drop_near_duplicates as keep_one_of_each
 from corpusmill.llm.packing import pack
-from corpusmill.llm.toxicity import toxicity_scores
+from corpusmill.llm.toxicity import without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject, in one pass over the texts."""
-    labels = read_table(spark, sf_dir, "labels", "doc_id", "toxic")
-    scored = toxicity_scores(docs, labels, pass_through=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return without_toxic(docs, read_table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many others hold; n_chars follows the text."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    changed = dedup_lines(docs, counts=False)
+    return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: shingles of five words, similarity 0.8."""
-    gone = near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """One document of each near-duplicate group, by the definition of op6: shingles of two words, similarity 0.8."""
+    return keep_one_of_each(docs, width=2, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
