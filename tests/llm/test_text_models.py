@@ -118,15 +118,40 @@ def kneser_ney(words, order, discount):
     return lambda w: sum(np.log(p(s[i - order + 1 : i + 1])) for s in ["\x00" * (order - 1) + w + "\x01"] for i in range(order - 1, len(s)))
 
 
-def test_word_scores_are_kneser_ney():
+def trained(spark, words):
+    return lang.build(lang.model_rows(spark.createDataFrame(lang.ngram_counts(words).assign(lang="x"))))
+
+
+def test_word_scores_are_kneser_ney(spark):
     words = Counter({"abra": 3, "cadabra": 1, "barca": 2, "éa": 1})
-    models = lang.build(lang.ngram_counts(words).assign(lang="x"))
+    models = trained(spark, words)
     score = kneser_ney(words, lang.ORDER, lang.DISCOUNT)
     asked = ["abra", "cab", "barca", "aaé", "éa"]
     got = lang.WordModel(models).word_scores(asked)[:, 0]
     assert np.allclose(got, [score(w) for w in asked], rtol=1e-4)
 
 
+def test_models_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    words = Counter("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(3_000))
+    monkeypatch.setattr(lang, "MODEL_CELLS", 0)  # then 1,000 n-grams a language and order
+    rows = lang.model_rows(spark.createDataFrame(lang.ngram_counts(words).assign(lang="x")))
+    assert rows.groupby("order").size().max() <= 1_000 and (rows["order"] == 4).any()
+    small = lang.WordModel(lang.build(rows)).word_scores(["abcd", "jihg"])
+    monkeypatch.undo()
+    whole = lang.WordModel(trained(spark, words)).word_scores(["abcd", "jihg"])
+    assert np.isfinite(small).all() and np.abs(small - whole).max() < 6
+
+
+def test_languages_of_many_signs(frame):
+    """Thousands of characters and mostly new n-grams in every text."""
+    rng = np.random.default_rng(3)
+    text = lambda base: "".join(chr(base + int(x)) for x in rng.zipf(1.3, 400) % 2_500)
+    docs = frame([(i, text(0x4E00 if i % 2 else 0xAC00), "zh" if i % 2 else "ko") for i in range(120)], "doc_id long, text string, lang string")
+    out = lang.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in out)
+
+
 def test_language_edges(frame):
     rows = [(i, "the cat and the hat" if i % 2 else "die katze und der hut", "en" if i % 2 else "de") for i in range(30)]
     rows += [(100, None, "en"), (101, "123 ... 45 ²", None), (102, "THE HAT", None), (None, "und die katze", None)]
@@ -144,3 +169,4 @@ def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = lang.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (out["lang_pred"] == out["lang"]).mean() > 0.99
+    assert abs(out["score"].mean() - (out["lang_pred"] == out["lang"]).mean()) < 0.02  # the score says how often it is right
