@@ -1,7 +1,7 @@
 """Chat formatting, with DataFrame functions only.
 
 A record is JSON of any layout. Its schema fingerprint is a hash of its sorted
-nested field paths (array steps marked ``[]``); the fingerprint selects a
+nested field paths, read from the typed values to any depth; the fingerprint selects a
 declarative mapping to canonical turns. The template frames each turn with
 control strings; in texts and roles every control string is broken by an escape
 code, which is reversible since an escape character is always written as a code
@@ -10,16 +10,16 @@ marked as counted or not: only assistant texts are counted.
 
 Defined cases: a null text or role is empty; turns are ordered by turn, then role
 and text (a null turn first), repeated rows stay; a record with an unknown
-fingerprint, invalid JSON or null keeps its row with null outputs and a null
-layout; an empty table gives no rows; other columns of ``records`` are kept unless
-they bear the name of an output.
+fingerprint, invalid JSON, a repeated key or null keeps its row with null outputs and a
+null layout; very long texts are formatted whole; an empty table gives no rows; other
+columns of ``records`` are kept unless they bear the name of an output (fingerprint,
+layout, turns, loss_segments, formatted), which replaces them.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +44,11 @@ class Layout:
     text_field: str = ""
     roles: dict = field(default_factory=dict, hash=False)
 
-    def paths(self) -> list[str]:
-        if self.list_field:
-            return sorted(f"{self.list_field}[].{x}" for x in (self.role_field, self.text_field))
-        return sorted(x for _, names in self.fields for x in names)
+    def paths(self) -> str:
+        """What :func:`nested_paths` says of a record of this layout."""
+        names = (self.role_field, self.text_field) if self.list_field else [x for _, names in self.fields for x in names]
+        single = "OBJECT<" + ", ".join(f"{x}: _" for x in sorted(names)) + ">"
+        return f"OBJECT<{self.list_field}: ARRAY<{single}>>" if self.list_field else single
 
 
 LAYOUTS = (
@@ -60,40 +61,21 @@ LAYOUTS = (
 )
 
 
-def _paths_below(value: Column, depth: int) -> Column:
-    """Relative paths below a raw JSON value: empty for scalars."""
-    none = F.array().cast("array<string>")
-    if not depth:
-        return none
-    element = F.when(value.rlike(r"^\s*\["), F.from_json(value, "array<string>", JSON))
-    in_list = F.transform(F.array_distinct(F.flatten(F.transform(element, lambda e: _object_paths(e, depth - 1)))), lambda p: F.concat(F.lit("[]."), p))
-    in_object = F.transform(_object_paths(value, depth - 1), lambda p: F.concat(F.lit("."), p))
-    return F.coalesce(F.when(value.rlike(r"^\s*\["), in_list), F.when(value.rlike(r"^\s*\{"), in_object), none)
+#: Kinds of single values in the schema of a variant; which one it is makes no difference to a layout.
+SINGLE = r"(?<=: |ARRAY<|^)(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
 
 
-def _object_paths(value: Column, depth: int) -> Column:
-    entries = F.map_entries(F.when(value.rlike(r"^\s*\{"), F.from_json(value, "map<string,string>", JSON)))
+def nested_paths(record: Column) -> Column:
+    """The sorted nested field paths of a JSON record, to any depth, as the schema of its variant writes them.
 
-    def of(entry: Column) -> Column:
-        below = _paths_below(entry["value"], depth)
-        return F.when(F.size(below) > 0, F.transform(below, lambda p: F.concat(entry["key"], p))).otherwise(F.array(entry["key"]))
+    They come from the types of the values, so a text that looks like JSON is a text.
+    """
+    return F.regexp_replace(F.schema_of_variant(F.from_json(record, "variant", JSON)), SINGLE, "_")
 
-    return F.coalesce(F.flatten(F.transform(entries, of)), F.array().cast("array<string>"))
 
-
-#: A key with its colon, or any other JSON string; possessive, so long texts need no stack.
-STRING = r"""(["'])((?:(?!\1)[^\\]|\\[\s\S])*+)\1(\s*:)|(["'])(?:(?!\4)[^\\]|\\[\s\S])*+\4"""
-
-
-def _shape(record: Column) -> Column:
-    """A valid record with all string values empty, so that a text is never taken for an object or a list."""
-    valid = F.from_json(record, "map<string,string>", JSON).isNotNull()
-    return F.when(valid, F.regexp_replace(record, STRING, "$1$2$1$3$4$4"))
-
-
-def fingerprint(record: Column, depth: int = 2) -> Column:
-    """Hash of the sorted nested field paths of a JSON record."""
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(_object_paths(_shape(record), depth))), "\n"), 256)
+def fingerprint(record: Column) -> Column:
+    """Hash of the sorted nested field paths of a JSON record; null if it is none."""
+    return F.sha2(nested_paths(record), 256)
 
 
 def _turns(record: Column, layout: Layout) -> Column:
@@ -116,7 +98,7 @@ def _turns(record: Column, layout: Layout) -> Column:
 
 def canonical_turns(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """``records`` with layout (null if unknown) and turns."""
-    known = {layout: F.sha2(F.lit("\n".join(layout.paths())), 256) for layout in layouts}
+    known = {layout: F.sha2(F.lit(layout.paths()), 256) for layout in layouts}
     marked = records.withColumn("fingerprint", fingerprint(F.col(column)))
     name = F.coalesce(*[F.when(F.col("fingerprint") == h, F.lit(x.name)) for x, h in known.items()])
     turns = F.coalesce(*[F.when(F.col("layout") == x.name, _turns(F.col(column), x)) for x in layouts])

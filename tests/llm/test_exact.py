@@ -293,6 +293,23 @@ def test_texts_that_are_json(frame):
     assert {r["id"]: r["layout"] for r in chat.canonical_turns(real).collect()} == {1: None, 2: None, 3: "prompt"}
 
 
+def test_deep_records_and_clashing_columns(frame):
+    deep = '{"a":' * 40 + '"x"' + "}" * 40
+    rows = [(1, '{"prompt":{"a":{"b":{"c":1}}},"completion":"c"}'), (2, '{"prompt":{"a":{"b":{"d":1}}},"completion":"c"}'), (3, deep), (4, deep.replace('"x"', '{"y":1}')), (5, '{"prompt":null,"completion":"c"}'), (6, '{"messages":[{"role":"user","content":{"text":"a"}}]}'), (7, '{"STRING":1}'), (8, '{"VOID":1}')]
+    wide = frame(rows, "id int, record string").selectExpr("*", "'f' as fingerprint", "'l' as layout", "0 as turns", "1 as formatted")
+    out = {r["id"]: r for r in chat.format_turns(chat.canonical_turns(wide)).collect()}
+    assert len({r["fingerprint"] for r in out.values()}) == 8 and None not in {r["fingerprint"] for r in out.values()}
+    assert {i: r["layout"] for i, r in out.items() if r["layout"]} == {5: "prompt"} and [t["text"] for t in out[5]["turns"]] == ["", "c"]
+    assert chat.conversation_records(frame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_very_long_chat_texts(frame):
+    said = [("user", "[INST]<\\" * 300_000), ("assistant", '{"a": "' * 300_000)]
+    records = chat.conversation_records(frame([(1, k, r, t) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string"))
+    back = chat.format_turns(chat.canonical_turns(records)).select(chat.read_back(F.col("formatted")).alias("back")).first()["back"]
+    assert [(t["role"], t["text"]) for t in back] == said
+
+
 # --- line dedup
 
 
@@ -477,7 +494,7 @@ def test_pipeline(spark):
     second = {r["doc_id"]: r["text"] for r in frames[2].collect()}
     assert sorted(second.items()) == [(i, t) for i, t, *_ in brute_lines(sorted(first.items()))]
     assert all(r["n_chars"] == len(r["text"]) for r in frames[2].collect())
-    heads = {i for i, (_, c) in brute_components(sorted(second.items()), 5).items() if c == i}
+    heads = {i for i, (_, c) in brute_components(sorted(second.items()), 2).items() if c == i}
     third = {r["doc_id"]: r["text"] for r in frames[3].collect()}
     assert set(third) == heads
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -496,6 +513,44 @@ def brute_tiles_fast(doc, item):
     return brute_tiles(doc, item, 5) if any(tuple(doc[k : k + 5]) in grams for k in range(len(doc) - 4)) else []
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted int, n_lines int, n_dropped int, kept string, gone_id int, d string, t1 int, th int"
+
+
+def stage_rows():
+    line, item = "a shared line of twenty signs and more", "one two three four five six seven eight nine ten"
+    base = " ".join(f"word{k}" for k in range(60))
+    texts = [(1, f"{line}\n{base} x"), (2, f"{line}\n{base} y"), (3, f"{line}\n{base} x"), (3, f"{line}\n{base} x"), (4, None), (4, None), (None, "no id"), (None, "no id"), (5, ""), (6, f"pre {item} post"), (6, "another text under the same id"), (7, "x" * 300_000 + " " + "y z " * 100_000)]
+    return [(i, t, "en", "s", 3, "mine", 7, 8, 9, "k", 10, "d", 11, 12) for i, t in texts], item
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_stages_on_edges(spark, frame, tmp_path, at):
+    """Nulls, repeats, ties, empty and very long texts, empty tables and clashing columns."""
+    import corpus_pipeline as cp
+
+    rows, item = stage_rows()
+    frame([(10, item), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame([(1, 0, 0), (2, 1, 0), (3, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int").where("doc_id <> 3").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(rows, SCHEMA)
+    name, stage = cp.STAGES[at]
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    got = out.collect()
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    assert {tuple(r[c] for c in own) for r in got} == {tuple(dict(zip(docs.columns, rows[0], strict=True))[c] for c in own)}
+    ids = sorted(r["doc_id"] or 0 for r in got)
+    everything = sorted(r[0] or 0 for r in rows)
+    if name == "toxicity":
+        assert ids == everything
+    elif name == "line_dedup":
+        assert ids == everything and sorted(r["doc_id"] for r in got if (r["text"] or "").startswith("a shared")) == [3, 3]
+        assert all(r["n_chars"] == len(r["text"]) for r in got)
+    elif name == "minhash_near_dup":
+        assert ids == [0, 0, 1, 4, 5, 6, 6, 7]
+    else:
+        assert ids == sorted(r[0] or 0 for r in rows if item not in (r[1] or ""))
+
+
 @needs_data
 @pytest.mark.parametrize("name", ["op4_chat_format", "op6_minhash_near_dup", "op7_warc", "op8_line_dedup"])
 def test_sql_agrees(spark, name):
