@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Words that stand for a missing DOI or URL.
 PLACEHOLDERS = ("", "-", "n/a", "na", "none", "null", "unavailable")
 
+#: Words that carry no content in a question or a full form.
+STOPWORDS = frozenset("a an and are as at be been being by do does did for from how in is it of on or that the their these this those to was were what when where which who why with within under among between can could should would used using use".split())
+
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -50,6 +53,11 @@ def norm_dedup(c: Column | str) -> Column:
     return F.when(F.length(s) == F.octet_length(s), plain).otherwise(wide)
 
 
+def norm_casefold(c: Column | str) -> Column:
+    """Without regard to case in any script (ß is ss, both small sigmas are one), white space runs as one space."""
+    return F.regexp_replace(F.lower(F.upper(ustrip(text(c)))), r"(?U)\s+", " ")
+
+
 def norm_query(c: Column | str) -> Column:
     """Lower case, every run of other characters than letters and digits as one space."""
     return ustrip(F.regexp_replace(F.lower(text(c)), r"[^a-z0-9]+", " "))
@@ -180,7 +188,7 @@ def dehyphenate(c: Column | str) -> Column:
 
 def initials(c: Column | str) -> Column:
     """First letters of the words that count for an acronym."""
-    words = F.filter(F.regexp_extract_all(text(c), F.lit("([A-Za-z0-9]+)"), F.lit(1)), lambda w: ~F.lower(w).isin("of", "the", "and", "for", "in", "on", "to", "a", "an", "with"))
+    words = F.filter(F.regexp_extract_all(text(c), F.lit("([A-Za-z0-9]+)"), F.lit(1)), lambda w: ~F.lower(w).isin(*sorted(STOPWORDS)))
     return F.upper(F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
 
 

@@ -11,13 +11,20 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import stripped, text
+from corpusmill.functions.text import clean_term, stripped, text
 
 #: Confidence of a triage decision by its risk.
 RISK_CONFIDENCE = {"LOW": 0.95, "BORDERLINE": 0.75, "HIGH": 0.5}
 #: Seconds to wait at each throttle level.
 THROTTLE_SECONDS = (60, 120, 300, 600, 900, 1800)
-TEMPORAL = r"(?i)\b(?:from|since|between|before|after|until|during)\s+(?:\d{4}|the\s+(?:last|past)\b)|\b(?:19|20)\d{2}\s*(?:-|–|to|and)\s*(?:19|20)\d{2}\b"
+#: Shapes of a span of time, each of which must be the whole text.
+YEAR = r"(?:19|20)\d{2}"
+TEMPORAL_SHAPES = (
+    rf"{YEAR}(?:\s*(?:-|–|—|/|to|and)\s*(?:19|20)?\d{{2}})?",
+    r"\d{1,4}\s+(?:days?|weeks?|months?|years?|hours?|minutes?)",
+    r"\d{1,2}[-/]\d{1,2}[-/]\d{2,4}",
+    rf"(?:before|after|during)\s+{YEAR}",
+)
 
 
 def safe_int(c: Column | str) -> Column:
@@ -62,7 +69,8 @@ def throttle_seconds(level: Column) -> Column:
 
 
 def is_temporal(c: Column | str) -> Column:
-    return text(c).rlike(TEMPORAL)
+    """Whether all of a term is a span of time: years, a duration, a date."""
+    return clean_term(c).rlike("(?i)^(?:" + "|".join(TEMPORAL_SHAPES) + ")$")
 
 
 def utc_iso(ts: Column) -> Column:

@@ -86,7 +86,7 @@ def batches_of(papers: list[dict], size: int, max_chars: int) -> Iterator[list[d
 
 
 def screening_udf(adapter: ModelAdapter, size: int = 4, max_chars: int = 14_000, budget_seconds: float = 1_800.0):
-    """mapInPandas function: (paper_id, title, abstract) -> (paper_id, raw); blank raw after the time budget."""
+    """mapInPandas function: (paper_id, title, abstract) -> (ids, raw), a row per answer; blank raw after the time budget."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = time.monotonic() + budget_seconds
@@ -95,9 +95,9 @@ def screening_udf(adapter: ModelAdapter, size: int = 4, max_chars: int = 14_000,
             rows = []
             for batch in batches_of(papers, size, max_chars):
                 if time.monotonic() > end:
-                    rows += [(p["paper_id"], "") for p in batch]
+                    rows.append(([p["paper_id"] for p in batch], ""))
                     continue
-                rows += [(i, raw) for ids, raw in answer_with_retry(adapter, batch, settled) for i in ids]
-            yield pd.DataFrame(rows, columns=["paper_id", "raw"])
+                rows += answer_with_retry(adapter, batch, settled)
+            yield pd.DataFrame(rows, columns=["ids", "raw"])
 
     return run

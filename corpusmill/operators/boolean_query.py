@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_term, group_covered, norm_query, prefix_base, text
 
 PLATFORMS = ("google_scholar", "scopus", "web_of_science", "ieee_xplore", "pubmed")
+#: Tokens of the groups that every task may hold.
+MAX_INDEX = 1_000_000
 MAX_GROUPS, MAX_TERMS, OPEN_TERMS = 8, 8, 5
 
 
@@ -96,15 +100,43 @@ def matches(body: Column | str, groups: list[list[str]], tokens: bool = False) -
     return reduce(lambda a, b: a & b, [any_(g) for g in groups], F.lit(True))
 
 
+def _tokens(df: DataFrame, key: str) -> DataFrame:
+    words = F.array_distinct(F.flatten(F.transform("terms", lambda t: F.split(norm_query(t), " "))))
+    return df.select(key, F.filter(words, lambda w: w != "").alias("toks"))
+
+
 def best_overlap(drafts: DataFrame, groups: DataFrame) -> DataFrame:
     """For each draft (draft_id, terms) the group (group_id, terms) that shares the most tokens; ties to the smaller id.
 
-    Tokens meet by an equi-join, so no pair without a common token is made.
+    Groups of up to ``MAX_INDEX`` tokens in all become an inverted index that every
+    task holds, so a word that all drafts and groups have makes no rows. Beyond that
+    tokens meet by an equi-join.
     """
-    toks = lambda df, k: df.select(k, F.explode(F.array_distinct(F.flatten(F.transform("terms", lambda t: F.split(norm_query(t), " "))))).alias("tok")).where("tok <> ''")
-    shared = toks(drafts, "draft_id").join(toks(groups, "group_id"), "tok").groupBy("draft_id", "group_id").agg(F.count("*").alias("overlap"))
-    best = shared.groupBy("draft_id").agg(F.min(F.struct((-F.col("overlap")).alias("minus"), "group_id")).alias("b"))
-    return drafts.select("draft_id").join(best, "draft_id", "left").select("draft_id", F.col("b.group_id").alias("group_id"), F.coalesce(-F.col("b.minus"), F.lit(0)).alias("overlap"))
+    mine, theirs = _tokens(drafts, "draft_id"), _tokens(groups, "group_id")
+    size = theirs.agg(F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()[0]
+    if size > MAX_INDEX:
+        each = lambda df, k: df.select(k, F.explode("toks").alias("tok"))
+        shared = each(mine, "draft_id").join(each(theirs, "group_id"), "tok").groupBy("draft_id", "group_id").agg(F.count("*").alias("overlap"))
+        best = shared.groupBy("draft_id").agg(F.min(F.struct((-F.col("overlap")).alias("minus"), "group_id")).alias("b"))
+        return drafts.select("draft_id").join(best, "draft_id", "left").select("draft_id", F.col("b.group_id").alias("group_id"), F.coalesce(-F.col("b.minus"), F.lit(0)).alias("overlap"))
+    rows = sorted((r["group_id"], r["toks"]) for r in theirs.groupBy("group_id").agg(F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks")).collect())
+    index: dict[str, list[int]] = {}
+    for k, (_, toks) in enumerate(rows):
+        for t in toks:
+            index.setdefault(t, []).append(k)
+    shipped = drafts.sparkSession.sparkContext.broadcast(({t: np.array(v) for t, v in index.items()}, [g for g, _ in rows]))
+
+    def run(batches):
+        places, ids = shipped.value
+        for pdf in batches:
+            found = []
+            for toks in pdf["toks"]:
+                hits = [places[t] for t in toks if t in places]
+                n = np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(1, dtype=int)
+                found.append((ids[int(n.argmax())] if hits else None, int(n.max())))
+            yield pd.DataFrame({"draft_id": pdf["draft_id"], "group_id": pd.array([g for g, _ in found], dtype="Int64"), "overlap": [n for _, n in found]})
+
+    return mine.mapInPandas(run, "draft_id long, group_id long, overlap int")
 
 
 def coverage(required: Column, offered: Column) -> Column:

@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests, notebooks).
-LOCAL_SHARED = "/tmp/checkpoints/corpusmill"
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-def shared_folder(df: DataFrame) -> str:
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return (at or LOCAL_SHARED).rstrip("/")
+    A session of one machine without that setting gets a new temporary folder; on a
+    cluster there is no safe choice, so it is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="corpusmill-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def persisted(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read back; this survives lost executors."""
-    path = f"{shared_folder(df)}/frame-{uuid.uuid4().hex}"
+    """The rows, written to the shared folder and read back; this survives lost executors.
+
+    A plan that comes back from an operator may still read them, so whoever runs the
+    job clears the shared folder after it, as with any checkpoint.
+    """
+    path = new_folder(df.sparkSession, "frame")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

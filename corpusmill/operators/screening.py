@@ -51,10 +51,12 @@ def assess(papers: DataFrame, adapter: ModelAdapter, **options) -> DataFrame:
     """
     known = papers.select(F.col("paper_id").cast("string"), text("title").alias("title"), text("abstract").alias("abstract"))
     asked = known.where(has_value("abstract"))
-    raw = persisted(asked.mapInPandas(screening_udf(adapter, **options), "paper_id string, raw string"))
+    raw = persisted(asked.mapInPandas(screening_udf(adapter, **options), "ids array<string>, raw string"))
     bare = F.regexp_replace("raw", r"(?is)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    parsed = raw.select("paper_id", F.filter(F.from_json(bare, ITEMS)["items"], lambda i: i["paper_id"] == F.col("paper_id")).alias("found"))
-    joined = known.join(parsed, "paper_id", "left").withColumn("i", F.get("found", F.lit(0)))
+    # an answer is parsed once; it settles each of its ids once
+    items = F.filter(F.from_json(bare, ITEMS)["items"], lambda i: F.array_contains("ids", i["paper_id"]))
+    parsed = raw.select(F.explode(items).alias("i")).select("i.paper_id", "i")
+    joined = known.join(parsed, "paper_id", "left")
     sound = F.col("i.decision").isin("KEEP", "MAYBE", "REJECT") & F.col("i.confidence").between(0, 1)
     quote = check_quote(F.col("i.evidence_quote"), F.col("title"), F.col("abstract"))
     definitive = F.col("i.decision").isin("KEEP", "REJECT")

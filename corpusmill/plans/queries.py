@@ -53,10 +53,10 @@ def dedup_survivor(spark, sf_dir):
 def _entries(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
-    cut = F.col("text").substr(F.lit(1), (40 + (i % 3) * 20).cast("int"))
+    longer = F.concat(F.col("text"), F.when(i % 3 == 0, "").when(i % 3 == 1, " One more sentence.").otherwise(" One more sentence. And another one."))
     return d.select(
         "doc_id", F.col("text").alias("Title"), F.lit("").alias("DOI"), F.when(i % 3 != 0, F.col("source")).otherwise("").alias("Authors"),
-        F.when(i % 2 == 0, (2000 + i % 20).cast("string")).otherwise("").alias("Year"), F.when(i % 4 == 3, "").otherwise(F.concat(cut, F.lit("..."))).alias("Abstract"),
+        F.when(i % 2 == 0, (2000 + i % 20).cast("string")).otherwise("").alias("Year"), F.when(i % 4 == 3, "").when(i % 4 == 2, F.concat(longer, F.lit("..."))).otherwise(longer).alias("Abstract"),
     )
 
 
@@ -64,7 +64,7 @@ CONSOLIDATE_SQL = rf"""
 WITH RECURSIVE e AS (
   SELECT doc_id, text AS Title, CASE WHEN doc_id % 3 <> 0 THEN source ELSE '' END AS Authors,
     CASE WHEN doc_id % 2 = 0 THEN (2000 + doc_id % 20)::VARCHAR ELSE '' END AS Year,
-    CASE WHEN doc_id % 4 = 3 THEN '' ELSE substr(text, 1, (40 + (doc_id % 3) * 20)::INT) || '...' END AS Abstract, sha256({NORM.format('text')}) AS k
+    CASE WHEN doc_id % 4 = 3 THEN '' ELSE text || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' One more sentence.' ELSE ' One more sentence. And another one.' END || CASE WHEN doc_id % 4 = 2 THEN '...' ELSE '' END END AS Abstract, sha256({NORM.format('text')}) AS k
   FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY (trim(Abstract) <> '')::INT + (trim(Authors) <> '')::INT + (Year <> '')::INT DESC, doc_id) AS rn,
         count(*) OVER (PARTITION BY k) AS n, min(doc_id) OVER (PARTITION BY k) AS first_id FROM e),
@@ -79,13 +79,15 @@ f AS (
          WHEN trim(rtrim({NORM.format('f.Abstract')}, '.…')) <> '' AND contains({NORM.format('r.Abstract')}, trim(rtrim({NORM.format('f.Abstract')}, '.…')))
               AND length({NORM.format('r.Abstract')}) > length({NORM.format('f.Abstract')}) THEN r.Abstract ELSE f.Abstract END
   FROM f JOIN r ON r.k = f.k AND r.rn = f.rn + 1)
-SELECT first_id AS doc_id, n AS group_size, sha256(Title) AS title_sha, Authors, Year, Abstract FROM f WHERE rn = n"""
+SELECT first_id AS doc_id, n AS group_size, sha256(Title) AS title_sha, Authors, Year, sha256(Abstract) AS abstract_sha, row_number() OVER (ORDER BY first_id) AS place FROM f WHERE rn = n"""
 
 
 @query(CONSOLIDATE_SQL)
 def consolidate_fields(spark, sf_dir):
+    """Whole records folded; groups stand in the order of their first records."""
     out = dedup.consolidate(_entries(spark, sf_dir), ["doc_id"])
-    return out.select("doc_id", "group_size", V.sha256(F.col("Title")).alias("title_sha"), "Authors", "Year", "Abstract")
+    out = out.select("doc_id", "group_size", V.sha256(F.col("Title")).alias("title_sha"), "Authors", "Year", V.sha256(F.col("Abstract")).alias("abstract_sha"))
+    return review.ranked(out, [F.col("doc_id").asc()], "place")
 
 
 @query(f"""WITH g AS (SELECT count(*) AS n FROM documents GROUP BY {NORM.format("coalesce(string_split(text, chr(10))[1], '')")})
@@ -137,16 +139,18 @@ def canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.canonical_url("url").alias("canonical_url"), F.coalesce(ingest.query_parameter("url", "page").try_cast("bigint"), F.lit(-1)).alias("page_number"))
 
 
-@query("""SELECT doc_id, (doc_id * 1234)::BIGINT AS total, doc_id AS first, doc_id + 9 AS last, (doc_id + 9)::BIGINT AS of_total, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -1 END AS only_count, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE 0 END AS start
-FROM documents WHERE doc_id > 0""")
+@query("""SELECT doc_id, (n * 1234)::BIGINT AS total, n AS first, n + 9 AS last, (n + 9)::BIGINT AS of_total, CASE WHEN n % 2 = 0 THEN n ELSE -1 END AS only_count, CASE WHEN n % 3 = 0 THEN n ELSE 0 END AS start,
+  n % 4 <> 1 AS same_query FROM (SELECT doc_id, doc_id + 1 AS n FROM documents)""")
 def result_counts(spark, sf_dir):
-    i = F.col("doc_id")
+    i = F.col("doc_id") + 1
     n = F.format_number(i * 1234, 0)
-    d = table(spark, sf_dir, "documents").where("doc_id > 0")
+    d = table(spark, sf_dir, "documents")
     shown = ingest.shown_range(F.concat(F.lit("Showing "), i.cast("string"), F.lit("-"), (i + 9).cast("string"), F.lit(" of "), (i + 9).cast("string"), F.lit(" results")))
     url = F.when(i % 3 == 0, F.concat(F.lit("https://x.org/s?q=a&start="), i.cast("string"))).when(i % 3 == 1, F.lit("https://x.org/s?start=-4")).otherwise("https://x.org/s?q=b")
     only = F.when(i % 2 == 0, F.concat(i.cast("string"), F.lit(" results"))).otherwise("no result at all")
-    return d.select("doc_id", ingest.reported_total(F.concat(F.lit("About "), n, F.lit(" results (0.1 s)"))).alias("total"), shown["first"].alias("first"), shown["last"].alias("last"), shown["total"].alias("of_total"), F.coalesce(ingest.result_count(only), F.lit(-1)).alias("only_count"), ingest.start_offset(url).alias("start"))
+    return d.select(
+        "doc_id", ingest.reported_total(F.concat(F.lit("About "), n, F.lit(" results (0.1 s)"))).alias("total"), shown["first"].alias("first"), shown["last"].alias("last"), shown["total"].alias("of_total"), F.coalesce(ingest.result_count(only), F.lit(-1)).alias("only_count"), ingest.start_offset(url).alias("start"),
+        ingest.same_query(F.when(i % 4 == 0, F.lit("https://x.org/s?q=a%20b")).when(i % 4 == 1, F.lit("https://x.org/s?q=a")).when(i % 4 == 2, F.lit("https://x.org/s?q=(a%20b)")).otherwise("https://x.org/s?p=1&q=a+b"), "q", F.lit("a b")).alias("same_query"))
 
 
 # --- text and evidence ----------------------------------------------------------
@@ -243,7 +247,8 @@ def best_overlap_match(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'quoted ' || doc_id WHEN doc_id % 4 = 1 THEN 'once' WHEN doc_id % 4 = 2 THEN 'a' || chr(10) || 'b' ELSE '''=1+' || doc_id END AS cleaned,
-  doc_id::VARCHAR AS row_id, ['first', 'second one', 'third'] AS entries, 'deep_learning_' || doc_id AS slug, 'state of the art' AS plain, doc_id % 2 = 0 AS one_edit, doc_id % 3 = 0 AS acronym FROM documents""")
+  doc_id::VARCHAR AS row_id, ['first', 'second one', 'third'] AS entries, 'deep_learning_' || doc_id AS slug, 'state of the art' AS plain, doc_id % 2 = 0 AS one_edit, doc_id % 3 <> 2 AS acronym,
+  'strasse ' || doc_id || ' λόγοσ' AS folded, CASE doc_id % 3 WHEN 0 THEN 'a_b__' || doc_id || '.csv' WHEN 1 THEN 'citations.csv' ELSE 'plain ' || doc_id END AS file FROM documents""")
 def scalar_text(spark, sf_dir):
     i = F.col("doc_id")
     s = i.cast("string")
@@ -252,13 +257,14 @@ def scalar_text(spark, sf_dir):
         "doc_id", cleaned.alias("cleaned"), T.source_id(F.concat(s, F.lit(".0"))).alias("row_id"), T.criteria_entries(F.lit("- first; 2) second one\r\n• third\n\n")).alias("entries"),
         T.slug(F.concat(F.lit("Deep learning #"), s)).alias("slug"), T.dehyphenate(F.lit("state-of-the-art")).alias("plain"),
         T.one_edit(F.lit("effects"), F.when(i % 2 == 0, "efefcts").otherwise("efcefts")).alias("one_edit"),
-        T.acronym_matches(F.lit("magnetic resonance imaging"), F.when(i % 3 == 0, "MRI").otherwise("MRX")).alias("acronym"),
+        T.acronym_matches(F.when(i % 3 == 1, "quality of life among adults").otherwise("magnetic resonance imaging"), F.when(i % 3 == 0, "MRI").when(i % 3 == 1, "QLA").otherwise("MOI")).alias("acronym"),
+        T.norm_casefold(F.concat(F.lit("  Straße\t"), s, F.lit(" ΛΌΓΟΣ "))).alias("folded"), T.file_name(F.when(i % 3 == 0, F.concat(F.lit(" a/b?:"), s, F.lit(".csv. "))).when(i % 3 == 1, F.lit(" ")).otherwise(F.concat(F.lit("plain  "), s))).alias("file"),
     )
 
 
 @query(r"""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN event_id::INT ELSE 0 END AS whole, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS finite,
   CASE WHEN event_id % 5 = 0 THEN -1.0 ELSE event_id::DOUBLE END AS number, CASE event_id % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.75 ELSE 0.5 END::DOUBLE AS confidence,
-  [60, 60, 120, 300, 600, 900, 1800, 1800][(event_id % 8)::INT + 1] AS wait, (event_id % 2 = 0) AS temporal, ('0x' || substr(sha256(event_id::VARCHAR), 1, 8))::BIGINT AS seed FROM events""")
+  [60, 60, 120, 300, 600, 900, 1800, 1800][(event_id % 8)::INT + 1] AS wait, (event_id % 4 <> 1) AS temporal, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, least(100, round((event_id % 250) * 100 / 200.0))::INT AS percent, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 60.0 WHEN 2 THEN 15.0 ELSE 0.0 END::DOUBLE AS seconds_left, ('0x' || substr(sha256(event_id::VARCHAR), 1, 8))::BIGINT AS seed FROM events""")
 def scalar_numbers(spark, sf_dir):
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     s = i.cast("string")
@@ -266,7 +272,7 @@ def scalar_numbers(spark, sf_dir):
     return e.select(
         "event_id", V.safe_int(whole).alias("whole"), V.finite_or(F.when(i % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value")), None).alias("finite"),
         V.to_number(F.when(i % 5 == 0, "n/a").otherwise(s)).alias("number"), V.risk_confidence(F.get(F.array(F.lit("LOW"), F.lit("borderline"), F.lit("HIGH"), F.lit("?")), (i % 4).cast("int"))).alias("confidence"),
-        V.throttle_seconds((i % 8).cast("int")).alias("wait"), V.is_temporal(F.when(i % 2 == 0, "studies since 2015").otherwise("studies of mice")).alias("temporal"), V.seed_number(s).alias("seed"),
+        V.throttle_seconds((i % 8).cast("int")).alias("wait"), V.is_temporal(F.when(i % 4 == 0, F.concat(F.lit(" "), (i % 100).cast("string"), F.lit(" weeks."))).when(i % 4 == 1, "studies since 2015").when(i % 4 == 2, "2010–15").otherwise("During 1999")).alias("temporal"), V.utc_iso(F.col("ts")).alias("iso"), V.progress_percent(i % 250, F.lit(200)).alias("percent"), V.remaining_seconds(F.lit(30.0), i % 4, F.lit(3)).alias("seconds_left"), V.seed_number(s).alias("seed"),
     )
 
 
@@ -339,7 +345,9 @@ def export_summary(spark, sf_dir):
   CASE WHEN doc_id % 14 <> 0 THEN '' WHEN Decision = 'MAYBE' THEN 'applied' ELSE 'not_maybe' END AS override_status FROM {SCREENED}""")
 def manual_overrides(spark, sf_dir):
     run = screened(spark, sf_dir)
-    over = table(spark, sf_dir, "labels").where("doc_id % 14 = 0").select(F.col("doc_id").cast("string").alias("row_id"), F.lit("keep").alias("decision"), F.lit("read it").alias("reason"))
+    """Three decisions a row, of which the second one counts: the last that names KEEP or REJECT."""
+    said = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(d).alias("decision")) for k, d in ((1, "reject"), (2, "keep"), (3, "perhaps"))])
+    over = table(spark, sf_dir, "labels").where("doc_id % 14 = 0").select(F.col("doc_id").cast("string").alias("row_id"), F.explode(said).alias("s")).select("row_id", "s.*", F.lit("read it").alias("reason"))
     return review.apply_overrides(run, over).select("Source_Row_Index", "Decision", "override_status")
 
 
@@ -473,13 +481,15 @@ def collector_states(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", audit.is_blocked(F.lit("/scholar"), body).alias("blocked"), audit.operation_failure(body).alias("failure"), audit.end_of_results(i, i % 11, F.lit(500).cast("long"), i, nxt).alias("finished"))
 
 
-@query("""SELECT source AS run_id, list_sort(list_distinct(list(doc_id::VARCHAR))) AS expected_ids, count(*) % 2 = 0 AS labels_ok, count(*) % 2 = 0 AS export_ok FROM documents GROUP BY source""")
+@query("""SELECT source AS run_id, count(*) AS n_expected, count(*) % 2 = 0 AS labels_ok, count(*) % 2 = 0 AS export_ok FROM documents GROUP BY source""")
 def collection_integrity(spark, sf_dir):
-    ids = F.sort_array(F.collect_set(F.col("doc_id").cast("string")))  # a collection run has a bounded number of ids
-    runs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("run_id")).agg(ids.alias("saved"), F.count("*").alias("n"))
-    runs = runs.select("run_id", F.col("n").alias("target"), "saved", F.when(F.col("n") % 2 == 0, F.reverse("saved")).otherwise(F.slice("saved", F.lit(2), F.size("saved"))).alias("verified"), F.map_from_arrays("saved", "saved").alias("library_ids"), F.array().cast("array<string>").alias("unresolved"), F.lit(True).alias("audit_complete"), F.lit(True).alias("export_verified"), F.col("n").alias("export_rows"), F.lit(3).alias("integrity_version"))
-    out = audit.integrity(runs)
-    return out.withColumn("expected_ids", F.array_sort("expected_ids"))
+    """A run per source; library ids differ from search ids, and runs of odd size lack one verified id."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").cast("string").alias("id"))
+    library = F.concat(F.lit("L"), "id")
+    runs = d.groupBy("run_id").agg(F.count("*").alias("target"), F.min("id").alias("least"))
+    runs = runs.select("run_id", "target", "least", F.lit(0).alias("unresolved"), F.lit(True).alias("audit_complete"), F.lit(True).alias("export_verified"), F.col("target").alias("export_rows"), F.lit(3).alias("integrity_version"))
+    verified = d.join(F.broadcast(runs.select("run_id", "least", "target")), "run_id").where((F.col("target") % 2 == 0) | (F.col("id") != F.col("least"))).select("run_id", library.alias("id"))  # a row per source
+    return audit.integrity_of_ids(runs, d, d.select("run_id", "id", library.alias("library_id")), verified)
 
 
 @query("SELECT conv_id, string_agg(turn || ':' || role || ':' || length(text), '|' ORDER BY turn, role, length(text)) AS trace FROM conversations GROUP BY conv_id")
@@ -570,14 +580,20 @@ def confusion(spark, sf_dir):
     return gold.confusion(_judged(spark, sf_dir))
 
 
-@query(f"""WITH j AS (SELECT *, row_number() OVER (PARTITION BY model_decision ORDER BY row_id) - 1 AS place, count(*) OVER (PARTITION BY model_decision) AS size FROM {JUDGED}),
- d AS (SELECT it, model_decision, size, ('0x' || substr(sha256('seed:' || it || ':' || model_decision || ':' || place), 1, 8))::BIGINT % size AS place FROM j, range(50) t(it)),
+@query(f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY model_decision ORDER BY sha256('seed:' || row_id), row_id) AS drawn FROM {JUDGED}),
+ c AS (SELECT model_decision, count(*) AS n, least(count(*), CASE model_decision WHEN 'MAYBE' THEN 12 ELSE 24 END) AS quota FROM {JUDGED} GROUP BY 1),
+ b AS (SELECT *, row_number() OVER (ORDER BY n - quota DESC, model_decision = 'MAYBE', model_decision) AS spare, 60 - sum(quota) OVER () AS short FROM c),
+ chosen AS (SELECT a.* EXCLUDE (drawn) FROM a JOIN b USING (model_decision) WHERE drawn <= quota + CASE spare WHEN 1 THEN short ELSE 0 END),
+ j AS (SELECT *, row_number() OVER (PARTITION BY model_decision ORDER BY row_id) - 1 AS place, count(*) OVER (PARTITION BY model_decision) AS size FROM chosen),
+ d AS (SELECT it, model_decision, size, ('0x' || substr(sha256('seed:' || it || ':' || model_decision || ':' || place), 1, 8))::BIGINT % size AS place FROM j, range(2000) t(it)),
  e AS (SELECT it, {METRICS} FROM d JOIN j USING (model_decision, place) GROUP BY it),
  l AS (SELECT 'recall' AS metric, recall AS v FROM e UNION ALL SELECT 'false_reject_rate', false_reject_rate FROM e UNION ALL SELECT 'keep_precision', keep_precision FROM e)
 SELECT metric, round(quantile_cont(v, 0.025), 4) AS lower, round(quantile_cont(v, 0.975), 4) AS upper FROM l GROUP BY metric""")
 def bootstrap_ci(spark, sf_dir):
-    """50 resamples, to compare with SQL; ``bootstrap_ci_whole`` runs all of the operator's."""
-    return gold.bootstrap(_judged(spark, sf_dir), "seed", 50)
+    """The operator's 2,000 resamples of a validation set: a stratified sample of the judged rows."""
+    judged = _judged(spark, sf_dir)
+    quotas = gold.allocate(gold.population(judged, "model_decision"), gold.SAMPLE_SIZE)
+    return gold.bootstrap(gold.stratified_sample(judged, quotas, "seed", "model_decision", "row_id").drop("draw"), "seed")
 
 
 @query()
@@ -643,7 +659,7 @@ def batch_validation(spark, sf_dir):
     return out.select("batch_id", "paper_id", "failure", "validation_status", F.coalesce("assessment.decision", F.lit("")).alias("decision"))
 
 
-@query("""SELECT doc_id, doc_id % 5 = 0 OR doc_id % 5 = 4 AS valid, CASE doc_id % 5 WHEN 1 THEN 'unknown evidence id for C1: title_999' WHEN 2 THEN 'missing criterion assessments: C2' WHEN 3 THEN 'KEEP conflicts with met exclusions: C2' ELSE '' END AS first_error,
+@query("""SELECT doc_id, doc_id % 5 = 0 OR doc_id % 5 = 4 AS valid, CASE doc_id % 5 WHEN 1 THEN 'no such evidence, C1: title_999' WHEN 2 THEN 'not assessed: C2' WHEN 3 THEN 'kept although an exclusion is met: C2' ELSE '' END AS first_error,
   (CASE WHEN doc_id % 5 = 1 THEN 0 ELSE 1 END)::BIGINT AS exact, doc_id % 5 = 4 AS warned FROM documents WHERE trim(string_split(text, chr(10))[1]) <> ''""")
 def criteria_validation(spark, sf_dir):
     m = F.col("doc_id") % 5

@@ -19,6 +19,10 @@ from corpusmill.operators import review
 from corpusmill.operators.frames import persisted
 
 
+#: Names of the parts of an export.
+EXPORT_FILES = {"all": "screened_all.csv", "keep": "screened_keep.csv", "maybe": "screened_maybe.csv", "reject": "screened_reject.csv", "review_queue": "screened_maybe_review_queue.csv", "summary": "screening_summary.json"}
+
+
 def file_name(value: str, default: str = "citations.csv") -> str:
     """Without characters that file systems reserve, and without a dot at the end."""
     clean = re.sub(r'[<>:"/\\|?*\x00-\x1f]', "_", " ".join(value.split())).rstrip(".")
@@ -85,17 +89,19 @@ def write_once(value: dict, path: str) -> bool:
 def export_pack(run: DataFrame, root: str, job_id: str, protocol_inputs: dict | None = None) -> dict:
     """All, keep, maybe, reject, review queue and summary of a run under ``root``/``job_id``; returns the counts.
 
-    Guards run before and after the projection. The rows are written once,
-    partitioned by decision; readers of one decision touch only its partition.
+    Guards run before and after the projection. Each part is a folder of CSV files
+    with a header, under its fixed name, with all columns of the projection.
     """
     ids = review.guard(run, job_id)
     frame = persisted(review.prepare(run, job_id, ids, protocol_inputs))
     review.guard(frame, job_id)
     base = f"{root.rstrip('/')}/{job_id}"
-    frame.withColumn("decision", F.lower("Decision")).write.mode("overwrite").partitionBy("decision").parquet(f"{base}/decisions")
-    review.review_queue(frame).write.mode("overwrite").parquet(f"{base}/review_queue")
+    write_csv(frame, f"{base}/{EXPORT_FILES['all']}")
+    for decision in review.DECISIONS:
+        write_csv(frame.where(F.col("Decision") == decision), f"{base}/{EXPORT_FILES[decision.lower()]}")
+    write_csv(review.review_queue(frame), f"{base}/{EXPORT_FILES['review_queue']}", review.queue_order(frame))
     counts = review.summary(frame)
-    counts.write.mode("overwrite").json(f"{base}/summary")
+    counts.coalesce(1).write.mode("overwrite").json(f"{base}/{EXPORT_FILES['summary']}")
     got = counts.first().asDict()
     return {"all": got["total_count"], "keep": got["keep_count"], "maybe": got["maybe_count"], "reject": got["reject_count"], "review_queue": got["maybe_count"], "summary": got}
 
@@ -104,7 +110,7 @@ def finalise_pack(run: DataFrame, root: str) -> dict:
     """Rows with a title, by decision; refuses while a MAYBE is left, and counts what it wrote."""
     if not run.where(F.upper(stripped("Decision")) == "MAYBE").limit(1).isEmpty():
         raise ValueError("MAYBE records remain")
-    rows = run.where(has_value("Title")).withColumn("decision", F.lower(stripped("Decision")))
-    rows.write.mode("overwrite").partitionBy("decision").parquet(root)
-    written = run.sparkSession.read.parquet(root).groupBy("decision").count()
-    return {r["decision"]: r["count"] for r in written.collect()}
+    rows = run.where(has_value("Title")).withColumn("final_decision", F.lower(stripped("Decision")))  # Decision keeps its name and case
+    rows.write.mode("overwrite").partitionBy("final_decision").parquet(root)
+    written = run.sparkSession.read.parquet(root).groupBy("final_decision").count()
+    return {r["final_decision"]: r["count"] for r in written.collect()}

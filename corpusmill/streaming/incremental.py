@@ -38,8 +38,10 @@ def results(spark: SparkSession, root: str, identity: str) -> DataFrame | None:
     """Rows that earlier batches of this identity have written; None before the first."""
     try:
         return spark.read.parquet(f"{root}/identity={identity}")
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def screen_batch(papers: DataFrame, root: str, identity: str, primary: ModelAdapter, verifier: ModelAdapter, **options) -> int:

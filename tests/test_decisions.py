@@ -100,7 +100,7 @@ def test_resume_and_stream(spark, tmp_path):
 
 def test_overrides_and_guard(spark):
     run = spark.createDataFrame([("1", "MAYBE", "j"), ("2", "KEEP", "j"), ("3", "MAYBE", "j")], "Source_Row_Index string, Decision string, Job_ID string")
-    over = spark.createDataFrame([("1", "reject", "off"), ("2", "reject", ""), ("3", "perhaps", "")], "row_id string, decision string, reason string")
+    over = spark.createDataFrame([("1", "keep", "first", 1), ("1", "reject", "off", 2), ("1", "perhaps", "", 3), ("2", "reject", "", 1), ("3", "perhaps", "", 1)], "row_id string, decision string, reason string, place int")
     out = {r["Source_Row_Index"]: (r["Decision"], r["override_status"], r["Exclusion_Reason"]) for r in review.apply_overrides(run, over).collect()}
     assert out == {"1": ("REJECT", "applied", "off"), "2": ("KEEP", "not_maybe", ""), "3": ("MAYBE", "invalid_decision", "")}
     review.guard(run, "j")

@@ -72,7 +72,13 @@ def test_export_pack(spark, tmp_path):
     root = str(tmp_path / "out")
     got = sinks.export_pack(run, root, "job-1", {"research_question": "q"})
     assert {k: got[k] for k in ("all", "keep", "maybe", "reject", "review_queue")} == {"all": 3, "keep": 1, "maybe": 1, "reject": 1, "review_queue": 1}
-    back = spark.read.parquet(f"{root}/job-1/decisions")
+    assert {p.name for p in (tmp_path / "out" / "job-1").iterdir()} == {"screened_all.csv", "screened_keep.csv", "screened_maybe.csv", "screened_reject.csv", "screened_maybe_review_queue.csv", "screening_summary.json"}
+    for name in ("keep", "maybe", "reject"):
+        assert [r["Decision"] for r in ingest.read_csv(spark, f"{root}/job-1/screened_{name}.csv").collect()] == [name.upper()]
+    queue = ingest.read_csv(spark, f"{root}/job-1/screened_maybe_review_queue.csv").first()
+    assert queue["Review_Priority"] == "5" and queue["Decision"] == "MAYBE" and queue["Review_Reason"]
+    back = ingest.read_csv(spark, f"{root}/job-1/screened_all.csv")
+    assert {r["Decision"] for r in back.collect()} == {"KEEP", "MAYBE", "REJECT"}
     assert "API Key" not in back.columns and [r["Canonical_DOI"] for r in back.orderBy("Source_Row_Index").collect()] == ["10.1/ABC", "", "10.2/x"]
     assert back.columns[:2] == ["Title", "Article DOI"]
     path = str(tmp_path / "one.csv")
