@@ -54,8 +54,9 @@ def norm_dedup(c: Column | str) -> Column:
 
 
 def norm_casefold(c: Column | str) -> Column:
-    """Without regard to case in any script (ß is ss, both small sigmas are one), white space runs as one space."""
-    return F.regexp_replace(F.lower(F.upper(ustrip(text(c)))), r"(?U)\s+", " ")
+    """Without regard to case (ß is ss, both small sigmas and both small s are one), white space runs as one space."""
+    low = F.translate(F.replace(F.lower(ustrip(text(c))), F.lit("ß"), F.lit("ss")), "ςſ", "σs")
+    return F.regexp_replace(low, r"(?U)\s+", " ")
 
 
 def norm_query(c: Column | str) -> Column:
