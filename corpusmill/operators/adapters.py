@@ -19,8 +19,9 @@ class ModelAdapter(Protocol):
 class RuleAdapter:
     """A deterministic stand-in: KEEP if the text holds a keyword, REJECT if it holds a bar, else MAYBE."""
 
-    def __init__(self, keep: tuple[str, ...], reject: tuple[str, ...] = (), break_on: str = ""):
+    def __init__(self, keep: tuple[str, ...], reject: tuple[str, ...] = (), break_on: str = "", inclusion: dict[str, str] | None = None, exclusion: dict[str, str] | None = None):
         self.keep, self.reject, self.break_on = keep, reject, break_on
+        self.inclusion, self.exclusion = inclusion or {}, exclusion or {}  # criterion id: word that meets it
 
     def answer(self, papers: list[dict]) -> str:
         if self.break_on and any(self.break_on in p["title"] for p in papers):
@@ -33,7 +34,8 @@ class RuleAdapter:
         hit = next((w for w in self.keep if w in whole), None)
         decision = "REJECT" if bar else "KEEP" if hit else "MAYBE"
         quote = paper["title"] if decision != "MAYBE" else ""
-        return {"paper_id": paper["paper_id"], "decision": decision, "confidence": 0.9 if decision != "MAYBE" else 0.5, "reason": f"rule {bar or hit or 'none'}", "evidence_quote": quote, "inclusion_assessments": [], "exclusion_assessments": [], "risk_flags": []}
+        assessed = [[{"criterion_id": i, "status": "MET" if w in whole else "NOT_MET"} for i, w in criteria.items()] for criteria in (self.inclusion, self.exclusion)]
+        return {"paper_id": paper["paper_id"], "decision": decision, "confidence": 0.9 if decision != "MAYBE" else 0.5, "reason": f"rule {bar or hit or 'none'}", "evidence_quote": quote, "inclusion_assessments": assessed[0], "exclusion_assessments": assessed[1], "risk_flags": []}
 
 
 def answer_with_retry(adapter: ModelAdapter, papers: list[dict], usable: Callable[[str, list[dict]], list[str]]) -> list[tuple[list[str], str]]:

@@ -64,11 +64,11 @@ def compile_query(groups: Column, platform: str) -> Column:
     return {"scopus": F.concat(F.lit("TITLE-ABS-KEY("), query, F.lit(")")), "web_of_science": F.concat(F.lit("TS=("), query, F.lit(")"))}.get(platform, query)
 
 
-def compile_bundle(concepts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def compile_bundle(concepts: DataFrame, keys: tuple[str, ...] = (), platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:
     """version, platform, query (and ``keys``) of concepts (label, balanced_terms, high_recall_terms)."""
     versions = {"balanced": "balanced_terms", "high_recall": "high_recall_terms"}
     terms = lambda field: F.transform("concepts", lambda c: c[field])
-    rows = [F.struct(F.lit(v).alias("version"), F.lit(p).alias("platform"), compile_query(terms(f), p).alias("query")) for v, f in versions.items() for p in PLATFORMS]
+    rows = [F.struct(F.lit(v).alias("version"), F.lit(p).alias("platform"), compile_query(terms(f), p).alias("query")) for v, f in versions.items() for p in platforms]
     return concepts.select(*keys, F.explode(F.array(*rows)).alias("q")).select(*keys, "q.*")
 
 

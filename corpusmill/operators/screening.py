@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import has_value, stripped, text
-from corpusmill.functions.values import identity
+from corpusmill.functions.values import identity, unfence
 from corpusmill.operators.adapters import ModelAdapter, screening_udf
-from corpusmill.operators.assessment import ASSESSMENT, check_quote, final_evidence, final_status, merge_decisions, model_decision, repair_quote, requires_verification
+from corpusmill.operators.assessment import ASSESSMENT, ITEM, after_critic, check_quote, final_evidence, final_status, merge_decisions, model_decision, needs_critic, needs_deep, repair_quote, requires_verification, validate_batch
 from corpusmill.operators.frames import persisted
 
 ITEMS = "items array<struct<paper_id:string,decision:string,confidence:double,reason:string,evidence_quote:string,risk_flags:array<string>>>"
@@ -72,6 +72,55 @@ def assess(papers: DataFrame, adapter: ModelAdapter, **options) -> DataFrame:
     return joined.select("paper_id", out.alias("assessment"))
 
 
+def assess_by_criteria(papers: DataFrame, adapter: ModelAdapter, rubric: dict, **options) -> DataFrame:
+    """paper_id, assessment and validation_status of every paper, judged by the criteria of ``rubric``.
+
+    Answers go through :func:`validate_batch`, each with the papers that it settled;
+    what no valid answer settles is a technical MAYBE that names its failure.
+    """
+    known = papers.select(F.col("paper_id").cast("string"), text("title").alias("title"), text("abstract").alias("abstract"))
+    raw = persisted(known.where(has_value("abstract")).mapInPandas(screening_udf(adapter, **options), "ids array<string>, raw string").withColumn("batch_id", F.monotonically_increasing_id()))
+    asked = raw.select("batch_id", F.explode("ids").alias("paper_id")).join(known, "paper_id")
+    # an answer may also speak of papers that it did not settle
+    items = F.filter(F.from_json(unfence("raw"), f"items array<{ITEM}>")["items"], lambda i: F.array_contains("ids", i["paper_id"]))
+    own = F.when(items.isNull(), F.col("raw")).otherwise(F.to_json(F.struct(items.alias("items"))))
+    judged = validate_batch(raw.select("batch_id", own.alias("raw")), asked, rubric)
+    joined = known.select("paper_id").join(judged.select("paper_id", "assessment", "validation_status", "failure"), "paper_id", "left")
+    failure = F.coalesce(F.when(F.col("failure") != "", F.col("failure")), F.lit("no_answer"))
+    settled = F.col("assessment").isNotNull()
+    return joined.select("paper_id", F.when(settled, F.col("assessment.decision")).otherwise("MAYBE").alias("Decision"), F.coalesce("assessment.confidence", F.lit(0.0)).alias("Confidence"), F.when(settled, F.col("validation_status")).otherwise("technical_failure").alias("Validation_Status"), F.when(settled, "").otherwise(failure).alias("Failure_Class"), F.coalesce("assessment.risk_flags", F.array().cast("array<string>")).alias("Risk_Flags"))
+
+
+def risk(assessment: Column) -> Column:
+    """Risk of a reading by its confidence."""
+    c = assessment["confidence"]
+    return F.when(c >= 0.9, "LOW").when(c >= 0.7, "BORDERLINE").otherwise("HIGH")
+
+
+def cascade(papers: DataFrame, triage: ModelAdapter, deep: ModelAdapter, critic: ModelAdapter, **options) -> DataFrame:
+    """paper_id, Decision, Decision_Layer, Validation_Status and Layer_Trace of three layers.
+
+    All papers are triaged. Uncertain, risky or rejecting ones are read in full, and
+    what is still uncertain goes to a critic, who never replaces a valid deep reading
+    by an invalid one. Each layer is written before the next one asks for a part of it.
+    """
+    validated = lambda c: F.coalesce(c["valid"] & ~c["technical_failure"], F.lit(False))
+    first = persisted(assess(papers, triage, **options).withColumnRenamed("assessment", "t"))
+    t = F.col("t")
+    open_ = first.where(needs_deep(t["decision"], risk(t), validated(t))).select("paper_id")
+    second = persisted(assess(papers.join(open_, "paper_id", "left_semi"), deep, **options).withColumnRenamed("assessment", "d"))
+    d = F.col("d")
+    left = second.where(needs_critic(d["decision"], risk(d), validated(d))).select("paper_id")
+    third = persisted(assess(papers.join(left, "paper_id", "left_semi"), critic, **options).withColumnRenamed("assessment", "c"))
+    both = first.join(second, "paper_id", "left").join(third, "paper_id", "left")
+    c = F.col("c")
+    judged = F.when(d.isNull(), t["decision"]).when(c.isNull(), d["decision"]).otherwise(after_critic(c["decision"], validated(c), d["decision"], validated(d)))
+    layer = F.when(d.isNull(), "triage").when(c.isNull() | (~validated(c) & validated(d)), "deep").otherwise("critic")
+    sound = F.when(d.isNull(), validated(t)).when(layer == "deep", validated(d)).otherwise(validated(c))
+    steps = F.filter(F.array(*[F.when(x.isNotNull(), F.struct(F.lit(n).alias("layer"), x["decision"].alias("decision"), x["confidence"].alias("confidence"))) for n, x in (("triage", t), ("deep", d), ("critic", c))]), lambda x: x.isNotNull())
+    return both.select("paper_id", F.when(sound, judged).otherwise("MAYBE").alias("Decision"), layer.alias("Decision_Layer"), F.when(sound, "validated").otherwise("technical_failure").alias("Validation_Status"), steps.alias("Layer_Trace"))
+
+
 def two_stage(papers: DataFrame, primary: ModelAdapter, verifier: ModelAdapter, **options) -> DataFrame:
     """Both readings merged: paper_id, decision, confidence, reason, agreement, evidence and status.
 

@@ -248,7 +248,7 @@ def best_overlap_match(spark, sf_dir):
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'quoted ' || doc_id WHEN doc_id % 4 = 1 THEN 'once' WHEN doc_id % 4 = 2 THEN 'a' || chr(10) || 'b' ELSE '''=1+' || doc_id END AS cleaned,
   doc_id::VARCHAR AS row_id, ['first', 'second one', 'third'] AS entries, 'deep_learning_' || doc_id AS slug, 'state of the art' AS plain, doc_id % 2 = 0 AS one_edit, doc_id % 3 <> 2 AS acronym,
-  'strasse ' || doc_id || ' λόγοσ' AS folded, CASE doc_id % 3 WHEN 0 THEN 'a_b__' || doc_id || '.csv' WHEN 1 THEN 'citations.csv' ELSE 'plain  ' || doc_id END AS file FROM documents""")
+  'strasse ' || doc_id || ' λόγοσ' AS folded, CASE doc_id % 3 WHEN 0 THEN 'a_b_' || doc_id || '.csv.' WHEN 1 THEN '' ELSE 'plain  ' || doc_id END AS file FROM documents""")
 def scalar_text(spark, sf_dir):
     i = F.col("doc_id")
     s = i.cast("string")

@@ -373,3 +373,33 @@ def stream_screen(spark, sf_dir):
     done = incremental.results(spark, root, "id1")
     percent = incremental.progress_row(done, papers.count(), 1.0).first()["percent"]
     return done.select("paper_id", F.col("Decision").alias("decision"), F.lit(again).cast("long").alias("screened_again"), F.lit(percent).alias("percent"))
+
+
+@query(f"""SELECT doc_id::VARCHAR AS paper_id, CASE WHEN bar THEN 'REJECT' WHEN hit THEN 'KEEP' ELSE 'MAYBE' END AS decision,
+  CASE WHEN bar THEN CASE WHEN true THEN 'valid' END WHEN hit THEN CASE WHEN of_ THEN 'valid' ELSE 'valid_with_verification_required' END ELSE 'valid_with_verification_required' END AS validation_status, '' AS failure
+FROM (SELECT doc_id, contains(w, 'license') AS bar, contains(w, 'the ') AS hit, contains(w, 'of ') AS of_ FROM {WORDS})""")
+def criteria_screen(spark, sf_dir):
+    """Papers screened by criteria: every answer is checked against the rubric before it counts."""
+    model = RuleAdapter(("the ",), ("license",), inclusion={"I1": "the ", "I2": "of "}, exclusion={"E1": "license"})
+    out = screening.assess_by_criteria(_papers(spark, sf_dir), model, RUBRIC)
+    return out.select("paper_id", F.col("Decision").alias("decision"), F.col("Validation_Status").alias("validation_status"), F.col("Failure_Class").alias("failure"))
+
+
+@query(f"""SELECT doc_id::VARCHAR AS paper_id, CASE WHEN hit AND NOT bar THEN 'KEEP' WHEN bar2 THEN 'REJECT' WHEN hit THEN 'KEEP' WHEN of_ THEN 'KEEP' ELSE 'MAYBE' END AS decision,
+  CASE WHEN hit AND NOT bar THEN 'triage' WHEN bar2 OR hit THEN 'deep' ELSE 'critic' END AS layer, CASE WHEN hit AND NOT bar THEN 1 WHEN bar2 OR hit THEN 2 ELSE 3 END AS steps
+FROM (SELECT doc_id, contains(w, 'license') AS bar, contains(w, 'reserved') AS bar2, contains(w, 'the ') AS hit, contains(w, 'of ') AS of_ FROM {WORDS})""")
+def cascade_screen(spark, sf_dir):
+    """Three layers: triage of all, a deep reading of rejects and doubts, a critic for what is still in doubt."""
+    out = screening.cascade(_papers(spark, sf_dir), RuleAdapter(("the ",), ("license",)), RuleAdapter(("the ",), ("reserved",)), RuleAdapter(("of ",)))
+    return out.select("paper_id", F.col("Decision").alias("decision"), F.col("Decision_Layer").alias("layer"), F.size("Layer_Trace").alias("steps"))
+
+
+@query("""SELECT doc_id AS question_id, 'balanced' AS version, '("' || source || ' training") AND ("' || lang || ' scores")' AS query FROM documents
+UNION ALL SELECT doc_id, 'high_recall', '("' || source || ' training") AND ("' || lang || ' scores")' FROM documents""")
+def query_generation(spark, sf_dir):
+    """Question and drafted terms to compiled queries: parsed, laid on groups, sanitised, compiled."""
+    topic, outcome = F.concat("source", F.lit(" training")), F.concat("lang", F.lit(" scores"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.concat(F.lit("How does "), topic, F.lit(" affect "), outcome, F.lit("?")).alias("question"), F.array(F.array(topic, F.lit("unrelated training radar")), F.array(outcome)).alias("draft"))
+    made = protocol.concepts(asked)
+    out = boolean_query.compile_bundle(made, ("question_id",), ("google_scholar",))
+    return out.select("question_id", "version", "query")

@@ -172,7 +172,7 @@ def test_entry_and_registry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["csv_round_trip", "merge_files", "json_documents", "export_pack", "validation_labels", "question_forms", "rubric_rules", "bisect_retry", "stream_screen", "collection_integrity", "best_overlap_match", "manual_overrides", "dedup_group_counts", "boolean_compile", "merge_truth_table", "interval_match", "bootstrap_ci", "batch_validation"])
+@pytest.mark.parametrize("name", ["csv_round_trip", "merge_files", "json_documents", "export_pack", "validation_labels", "question_forms", "rubric_rules", "bisect_retry", "stream_screen", "criteria_screen", "cascade_screen", "query_generation", "collection_integrity", "best_overlap_match", "manual_overrides", "dedup_group_counts", "boolean_compile", "merge_truth_table", "interval_match", "bootstrap_ci", "batch_validation"])
 def test_sql_agrees(spark, name):
     import duckdb
 
