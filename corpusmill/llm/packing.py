@@ -6,11 +6,13 @@ frequencies and the mean length of the whole table:
 
 1. Every document becomes the counts of its token ids. Document frequencies are
    summed by Spark over all rows; the vocabulary bounds what reaches the driver.
-2. The inverted index is sharded by content. A tail's key is the terms that weigh the
-   most in its document among those that others share. Tails are dealt by ranges of
-   this key and sorted, and each run of ``shard_docs`` tails is one shard, so documents
-   with the same weighty terms lie in one shard wherever they were stored, and a hot
-   key is cut into many shards. Work is linear in the documents.
+2. The inverted index is sharded by content. A tail's key is the nearest of ``TOPICS``
+   centroids, fitted on ``SAMPLE_DOCS`` documents in hash order, and then the terms that
+   weigh the most in its document among those that others share. Tails are dealt by
+   ranges of this key and sorted, and each run of ``shard_docs`` tails is one shard, so
+   documents on one topic with the same weighty terms lie in one shard wherever they
+   were stored, and a hot key is cut into many shards. Every document is indexed, and
+   work is linear in the documents.
 3. In a shard the longest tails are the seeds of as many windows as all tails fill,
    the others its neighbours to be. The index returns each seed's unused neighbours,
    best first. They fill the window whole while they fit; the best one that does not
@@ -51,6 +53,8 @@ WINDOW = 1024
 SHARD_DOCS, SEED_BLOCK, NEIGHBOURS = 4096, 512, 64
 #: Terms of a key, and shards of a range at most.
 KEY_TERMS, RANGE_SHARDS = 4, 64
+#: Centroids of the content key, the documents that they are fitted on, and the steps of the fit.
+TOPICS, SAMPLE_DOCS, STEPS = 16, 4096, 8
 K1, B = 1.2, 0.75
 CLOSING = 0
 TOKENIZER = "byte_bpe_50k.json"
@@ -118,16 +122,45 @@ class Statistics:
         self.column = np.full(size, -1)
         self.column[common] = np.arange(len(common))
         self.width = len(common)
+        #: A column per topic, a row per common term, and a last row for all other terms.
+        self.topics = np.zeros((self.width + 1, 1), np.float32)
 
     def weights(self, terms, counts, totals) -> np.ndarray:
         return self.idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * totals / self.mean))
 
-    def key(self, terms: np.ndarray, counts: np.ndarray, total: int) -> list[int]:
-        """The terms that other documents share and that weigh the most in this one; -1 where there are fewer."""
-        weight = self.weights(terms, counts.astype(np.float64), float(total))
-        shared = np.flatnonzero((self.df[terms] > 1) & (weight > 0))
-        first = terms[shared[np.lexsort((terms[shared], -weight[shared]))[:KEY_TERMS]]].tolist()
-        return first + [-1] * (KEY_TERMS - len(first))
+    def fit_topics(self, tails: list[Tail]) -> None:
+        """Spherical k-means over the common terms of some documents; the topics stand in the order of their main axis."""
+        x = np.zeros((len(tails), self.width), np.float32)
+        for row, t in enumerate(tails):
+            c = self.column[t.terms]
+            x[row, c[c >= 0]] = self.weights(t.terms[c >= 0], t.counts[c >= 0].astype(np.float64), float(t.total))
+        x = x[x.any(axis=1)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        if len(x) < 2 * TOPICS:
+            return
+        topics = x[np.linspace(0, len(x) - 1, TOPICS).astype(int)].copy()
+        for _ in range(STEPS):
+            own = (x @ topics.T).argmax(axis=1)
+            for k in np.unique(own):
+                topics[k] = x[own == k].mean(axis=0)
+            topics /= np.linalg.norm(topics, axis=1, keepdims=True)
+        axis = np.linalg.svd(topics - topics.mean(axis=0), full_matrices=False)[0][:, 0]
+        self.topics = np.vstack([topics[np.argsort(axis, kind="stable")].T, np.zeros((1, TOPICS), np.float32)])
+
+    def keys(self, terms: list[np.ndarray], counts: list[np.ndarray], totals: np.ndarray) -> np.ndarray:
+        """A row per document: the topic, then the terms that other documents share and that weigh the most in it; -1 where there are fewer."""
+        sizes = np.array([len(t) for t in terms])
+        starts, owner, term = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes), np.concatenate(terms)
+        weight = self.weights(term, np.concatenate(counts), totals.astype(np.float64)[owner]).astype(np.float32)
+        out = np.full((len(sizes), 1 + KEY_TERMS), -1, np.int64)
+        out[:, 0] = np.add.reduceat(weight[:, None] * self.topics[self.column[term]], starts).argmax(axis=1)
+        weight[self.df[term] < 2] = 0
+        order = np.lexsort((-weight, owner))  # terms are sorted, so ties go to the smaller one
+        for k in range(KEY_TERMS):
+            has = np.flatnonzero(sizes > k)
+            at = order[starts[has] + k]
+            out[has, 1 + k] = np.where(weight[at] > 0, term[at].astype(np.int64), -1)
+        return out
 
 
 class Tail:
@@ -298,20 +331,24 @@ def statistics(tails: DataFrame) -> Statistics:
 
     df = tails.select("terms").mapInPandas(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()  # a row per id of the vocabulary
     n, mean = tails.agg(F.count("*"), F.avg("total")).first()
-    return Statistics(n, mean or 1.0, df["term"].to_numpy(np.int64), df["df"].to_numpy(np.int64))
+    out = Statistics(n, mean or 1.0, df["term"].to_numpy(np.int64), df["df"].to_numpy(np.int64))
+    sample = tails.orderBy(F.xxhash64("place"), "place").select("place", "start", "total", "terms", "counts").limit(SAMPLE_DOCS)
+    out.fit_topics([Tail(r["place"], r["start"], r["total"], bytes(r["terms"]), bytes(r["counts"]), b"") for r in sample.toLocalIterator()])
+    return out
 
 
 def _dealt(tails: DataFrame, s: Statistics, shard_docs: int) -> DataFrame:
     """The tails in ranges of their content keys, each sorted."""
     spark = tails.sparkSession
     shipped = spark.sparkContext.broadcast(s)  # bounded by the vocabulary
-    keys = [f"k{i}" for i in range(KEY_TERMS)]
+    keys = [f"k{i}" for i in range(1 + KEY_TERMS)]
     columns = ["place", "doc_id", "start", "total", "terms", "counts", "tail"]
 
     def keyed(batches):
         for pdf in batches:
-            rows = zip(pdf["terms"], pdf["counts"], pdf["total"], strict=True)
-            key = np.array([shipped.value.key(np.frombuffer(t, "<u4"), np.frombuffer(c, "<u2"), n) for t, c, n in rows], dtype=np.int64).reshape(-1, KEY_TERMS)
+            parts = [pdf.iloc[at : at + 256] for at in range(0, len(pdf), 256)]
+            key = [shipped.value.keys([np.frombuffer(t, "<u4") for t in p["terms"]], [np.frombuffer(c, "<u2") for c in p["counts"]], p["total"].to_numpy()) for p in parts]
+            key = np.concatenate([*key, np.zeros((0, len(keys)), np.int64)])
             yield pdf.assign(doc_id=_nullable(pdf["doc_id"]), **{c: key[:, i] for i, c in enumerate(keys)})
 
     own = tails.select(*columns).where("octet_length(tail) > 0")
