@@ -1,8 +1,8 @@
 """MinHash near-duplicates through a signature-coordinate inverted join.
 
 1. Each text becomes its set of word shingles (64-bit hashes) and a signature of
-   ``COORDINATES`` minima. Equal sets form one class, which its smallest doc_id
-   represents; only representatives go on.
+   ``COORDINATES`` minima. Equal sets form one class with a number of its own; only
+   classes go on, so copies are never expanded into pairs.
 2. Each (coordinate, value) pair is a key of an inverted index. Pairs of documents
    are candidates if they agree on ``MIN_MATCHES`` coordinates or more. Such a
    pair agrees on one of the ``COORDINATES - MIN_MATCHES + 1`` rarest keys of
@@ -24,11 +24,16 @@
 5. Components come from label propagation with pointer jumping; each round is
    written to the shared folder.
 
+Joins to what is known of a key (its count, its hub, its label) broadcast the hottest
+keys, 1,000 at most, so no task gets all rows of a key.
+
 Defined cases: a null text or one without words has the empty set, links with
 nothing and is its own component; with fewer words than a shingle has, the whole
 sequence is the one shingle; rows with a null doc_id link with nothing; rows that
 share a doc_id are one document, which any of their texts may link, each row with
-its own set size; an empty table gives no rows; extra columns are ignored.
+its own set size; of equal documents the smallest doc_id is kept; a text of any length
+is taken whole; an empty table gives no rows; extra columns are ignored or, by
+:func:`drop_near_duplicates`, kept whatever their names.
 """
 
 from __future__ import annotations

@@ -395,6 +395,21 @@ def test_near_duplicates(spark, seed, groups, copies, words, change):
         assert got == {i: (n, c, c == i) for i, (n, c) in want.items()}
 
 
+@pytest.mark.parametrize("small_key", [0, 10**9])
+def test_both_ways_of_the_rest_round(spark, monkeypatch, small_key):
+    """All pairs of small keys, or the exact join on rare shingles: the same links."""
+    monkeypatch.setattr(near_dup, "SMALL_KEY", small_key)
+    docs = variants(4, 2, 41, 60, 0.06)
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(docs, 2).items()} and 1 < len(set(got.values())) < 82
+
+
+def test_texts_of_one_id_keep_their_links(frame):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    docs = frame([(5, a), (5, b), (7, a + " end"), (8, b + " end"), (9, "else")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, 2).collect()} == {5: 5, 7: 5, 8: 5, 9: 9}
+
+
 def test_near_duplicate_edges(frame):
     docs = frame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, None), (3, "a  B\tc")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dup.near_duplicates(docs, 2).collect())
