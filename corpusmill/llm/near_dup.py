@@ -11,8 +11,10 @@
    probability of 1.2e-6.
 3. Hub round: under each key every document is paired with one hub, the document
    whose keys are the most frequent (in a group of copies the one closest to all
-   others). This is linear in the postings however large a group is. Candidates
-   are confirmed on full shingle sets, and the links form components.
+   others). This is linear in the postings however large a group is. A document
+   first meets the hub that it shares most keys with, then those of its other hubs
+   that are in another component. Candidates are confirmed on full shingle sets, and
+   the links form components.
 4. Rest round: only pairs under a key that are still in different components can
    add anything. Under keys of at most ``SMALL_KEY`` documents they are compared
    as they are, which is linear in the postings. The documents under larger keys
@@ -253,14 +255,10 @@ def components(edges: DataFrame) -> DataFrame:
         # the smallest label around, then the label of that label
         around = with_facts(both, state.withColumnRenamed("node", "other"), ["other"], "n").groupBy("node").agg(F.min("component").alias("near"))
         stepped = state.join(around, "node").select("node", "n", "component", F.least("component", "near").alias("next"))
-        stepped = materialise(stepped, "near-steps")
-        # so many rows ask for the label of one node
-        asked = stepped.groupBy(F.col("next").alias("node")).agg(F.count("*").alias("rows"))
-        jump = materialise(asked.join(state.select("node", F.col("component").alias("jumped")), "node").withColumnRenamed("node", "next"), "near-jumps")
-        following = with_facts(stepped, jump, ["next"], "rows").select("node", "n", F.col("component").alias("was"), F.least("next", F.coalesce("jumped", "next")).alias("component"))
+        jump = state.select(F.col("node").alias("next"), F.col("component").alias("jumped"))
+        following = stepped.join(jump, "next", "left").select("node", "n", F.col("component").alias("was"), F.least("next", F.coalesce("jumped", "next")).alias("component"))
         following = materialise(following, "near-labels")
-        for done in (state, stepped, jump):
-            forget(done)
+        forget(state)
         changed = following.where("component <> was").limit(1).count()
         state = following.select("node", "n", "component")
         if not changed:
@@ -281,9 +279,16 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     hub = posted.groupBy("key").agg(F.count("*").alias("rows"), F.max(F.struct("weight", F.negative("rep").alias("minus"), "n_shingles")).alias("h"))
     hub = materialise(hub.select("key", "rows", F.negative("h.minus").alias("hub"), F.col("h.n_shingles").alias("n_hub")), "near-hubs")
     star = with_facts(posted, hub, ["key"], "rows").where((F.col("rep") != F.col("hub")) & similar_enough(F.col("n_shingles"), F.col("n_hub"), percent))
-    first = materialise(star.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "near-first")
-    links = confirmed(first.where("a < b").union(first.where("a > b").join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")), classes, docs, width, percent)
-    found = components(links)
+    first = materialise(star.groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared")), "near-first")
+    # each document first meets the hub that it shares most keys with, then only hubs of other components
+    best = first.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    nearest = confirmed(best, classes, docs, width, percent)
+    placed_first = components(nearest)
+    of = lambda side: placed_first.withColumnsRenamed({"node": side, "component": f"c{side}"})
+    apart = first.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    once = apart.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).groupBy("x", "y").agg(F.max(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+    links = confirmed(once, classes, docs, width, percent)
+    found = components(links.union(nearest))
 
     # pairs under a key in different components; keys with one component are done
     placed = materialise(posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-placed")
@@ -294,7 +299,7 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     crowded = materialise(open_keys.where(F.col("n") > SMALL_KEY).select("rep", "component").distinct(), "near-crowded")
     texts = texts_of(crowded.select("rep"), classes, docs)
     rare = rare_shingles(crowded.join(texts, "rep"), width, percent)
-    done_before = first.union(first.select("b", "a"))
+    done_before = first.select("a", "b").union(first.select("b", "a"))
     pairs = cross_pairs(small, percent).union(cross_pairs(rare, percent)).distinct().join(done_before, ["a", "b"], "left_anti")
     more = confirmed(pairs, classes, docs, width, percent)
 
@@ -311,7 +316,7 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
     least = materialise(least, "near-least")
     out = materialise(with_facts(labelled.drop("doc_id"), least, ["component"], "rows").select("set_id", "n", "component_id"), "near-components")
-    for done in (classes, posted, hub, first, links, found, placed, several, open_keys, crowded, texts, more, labels, labelled, least):
+    for done in (classes, posted, hub, first, nearest, placed_first, links, found, placed, several, open_keys, crowded, texts, more, labels, labelled, least):
         forget(done)
     return own, out
 
