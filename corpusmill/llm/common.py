@@ -17,8 +17,10 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package even if the driver runs elsewhere.
 
     Whole texts are large, so unless the session names another size, batches of
-    16 MB keep the workers small.
+    16 MB keep the workers small. What is bounded and comes to the driver comes in
+    Arrow batches, not as Python rows.
     """
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) == BATCH_BYTES[0]:
         spark.conf.set(key, BATCH_BYTES[1])
