@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from corpusmill.llm import chat
 from corpusmill.llm.common import read_table
 from corpusmill.llm.decontamination import contaminated_pairs
+from corpusmill.llm.divergence import source_divergence
 from corpusmill.llm.language_id import identify
 from corpusmill.llm.line_dedup import dedup_lines
 from corpusmill.llm.near_dup import near_duplicates
 from corpusmill.llm.packing import pack
 from corpusmill.llm.quality_gam import quality_scores
 from corpusmill.llm.quality_gbt import quality_rules
+from corpusmill.llm.ranked import ranked_search
+from corpusmill.llm.topk import top_k
 from corpusmill.llm.toxicity import toxicity_scores
 from corpusmill.llm.warc import page_number, read_archives, write_archives
 
@@ -79,6 +82,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return ranked_search(docs, read_table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -90,6 +106,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 LINE_DEDUP_SQL = r"""
@@ -160,4 +179,46 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY a) m ON m.a = d.doc_id
 """
 
-ORACLE_SQL = {"op4_chat_format": CHAT_SQL, "op6_minhash_near_dup": NEAR_DUP_SQL, "op7_warc": WARC_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // ({} + 5 * {})"
+
+DIVERGENCE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+ w AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+ k AS (SELECT lang, term, count(*)::BIGINT AS n_lang FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+ c AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+ v AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM k GROUP BY 1),
+ g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {SHARE.format("coalesce(c.n, 0)", "g.total", "v.v")} AS p, {SHARE.format("k.n_lang", "v.total", "v.v")} AS q
+       FROM g JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+ f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+       UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM f)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+TOP_K_SQL = r"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+RANKED_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+ u AS (SELECT doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d),
+ i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ z AS (SELECT count(*)::BIGINT AS docs, sum(len(ts))::BIGINT AS total FROM d WHERE len(ts) > 0),
+ t AS (SELECT doc_id, term, n, count(*)::BIGINT AS tf FROM u GROUP BY 1, 2, 3),
+ w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY 1), z),
+ s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+       FROM i JOIN w USING (term) JOIN t USING (term), z GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op11_source_divergence": DIVERGENCE_SQL, "op12_exact_top_k": TOP_K_SQL, "op13_ranked_search": RANKED_SQL, "op4_chat_format": CHAT_SQL, "op6_minhash_near_dup": NEAR_DUP_SQL, "op7_warc": WARC_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
