@@ -100,8 +100,7 @@ def best_in_block(ids: np.ndarray, table: np.ndarray, d: np.ndarray, norms: np.n
     """(ids, scores) of a block's best ``k`` for a query (id, vector, distances, norm, least score), best first."""
     own, q, dq, nq, least = query
     bound = _upper(norms, nq, np.abs(d - dq).max(axis=1, initial=0))
-    bound[ids == own] = -np.inf
-    order = np.flatnonzero(bound >= least)
+    order = np.flatnonzero((bound >= least) & (ids != own))
     order = order[np.argsort(-bound[order], kind="stable")]
     got_ids, got = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     at, step = 0, STEP
