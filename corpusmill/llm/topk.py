@@ -140,11 +140,15 @@ def _routed(queries: DataFrame, ranges: pd.DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for k in range(len(pdf)):
-                row = pdf.iloc[k]
-                apart = np.maximum(np.maximum(low - row["d"], row["d"] - high).max(axis=1, initial=0), 0)
-                hit = blocks[(_upper(norms, row["norm"], apart) >= row["least"]) & (blocks != row["block"])]
-                yield pd.DataFrame({"block": hit, **{c: [row[c]] * len(hit) for c in ("vec_id", "v", "d", "norm", "least")}})
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                hits = []
+                for d, norm, least, own in zip(part["d"], part["norm"], part["least"], part["block"], strict=True):
+                    apart = np.maximum(np.maximum(low - d, d - high).max(axis=1, initial=0), 0)
+                    hits.append(blocks[(_upper(norms, norm, apart) >= least) & (blocks != own)])
+                if any(map(len, hits)):
+                    out = part.iloc[np.repeat(np.arange(len(part)), [len(h) for h in hits])]
+                    yield out[["vec_id", "v", "d", "norm", "least"]].assign(block=np.concatenate(hits))[["block", "vec_id", "v", "d", "norm", "least"]]
 
     return queries.mapInPandas(run, "block long, vec_id long, v array<long>, d array<double>, norm double, least double")
 
