@@ -106,7 +106,7 @@ def csv_quality(spark, sf_dir):
     """Inspection of an exported CSV: header, row count, widths."""
     path = new_folder(spark, "quality")
     d = table(spark, sf_dir, "documents")
-    sinks.write_csv(d.select(F.lit("a").alias("authors"), F.concat(F.lit("t, \"q\"\n"), F.col("doc_id").cast("string")).alias("title"), F.lit("2001").alias("year"), "source").coalesce(1), path)
+    sinks.write_csv(d.select(F.lit("a").alias("authors"), F.concat(F.lit("t, \"q\"\n"), F.col("doc_id").cast("string")).alias("title"), F.lit("2001").alias("year"), "source"), path)
     got = ingest.inspect_csv(spark, path, expected_rows=d.count())
     row = (got["ok"], got["row_count"], "|".join(got["header"]), got["bibtex_like"], len(got["errors"]))
     return spark.createDataFrame([row], "ok boolean, row_count long, header string, bibtex_like boolean, errors int")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import has_value, stripped, text
+from corpusmill.sources import csv_records
 
 #: The canonical columns, in order.
 CANONICAL = ("Authors", "Title", "Year", "Source title", "Cited by", "DOI", "Link", "Abstract")
@@ -81,12 +82,17 @@ def harmonise(df: DataFrame, exact_headers: bool = False, carry: tuple[str, ...]
     return df.select(*carry, *[v.alias(k) for k, v in out.items()])
 
 
-def read_csv(spark: SparkSession, path: str, na_as_blank: bool = False) -> DataFrame:
-    """All columns as text, embedded newlines and a byte order mark included; blank for missing."""
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, mode="PERMISSIVE")
+def read_csv(spark: SparkSession, path: str | list[str], na_as_blank: bool = False, place: str | None = None) -> DataFrame:
+    """All columns as text, embedded newlines and a byte order mark included; blank for missing.
+
+    Many tasks read a file, line feeds in cells or not (:mod:`csv_records`). ``place``
+    names a column that orders the rows as the files have them.
+    """
+    df = csv_records.read_table(spark, path, place)
+    names = [c for c in df.columns if c != place]
     value = lambda c: F.when(F.col(f"`{c}`").isin(*NA_TEXTS), F.lit("")).otherwise(text(F.col(f"`{c}`"))) if na_as_blank else text(F.col(f"`{c}`"))
-    df = df.select(*[value(c).alias(c) for c in df.columns])
-    return df.where(reduce(lambda a, b: a | b, [stripped(F.col(f"`{c}`")) != "" for c in df.columns])) if df.columns else df
+    df = df.select(*([place] if place else []), *[value(c).alias(c) for c in names])
+    return df.where(reduce(lambda a, b: a | b, [stripped(F.col(f"`{c}`")) != "" for c in names])) if names else df
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -111,28 +117,19 @@ def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame
     return raw.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
-def numbered(df: DataFrame, file_index: int) -> DataFrame:
-    """With the file's and the row's place: the order that later steps rely on.
-
-    Numbers within a partition come from the scan; a CSV with embedded newlines is
-    read by one task, so they are the row order of the file.
-    """
-    return df.withColumn("file_idx", F.lit(file_index)).withColumn("row_idx", F.monotonically_increasing_id())
-
-
 def merge_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All known files in order, harmonised, with file_idx and row_idx; others are skipped."""
     parts = []
     for i, path in enumerate(paths):
         low = path.lower()
         if low.endswith(".csv"):
-            raw = read_csv(spark, path, na_as_blank=True)
+            raw = read_csv(spark, path, na_as_blank=True, place="row_idx")
         elif low.endswith((".xls", ".xlsx")):
-            raw = read_excel(spark, path)
+            raw = read_excel(spark, path).withColumn("row_idx", F.monotonically_increasing_id())
         else:
             continue
-        if raw.columns:
-            parts.append(harmonise(numbered(raw, i), carry=("file_idx", "row_idx")))
+        if len(raw.columns) > 1:
+            parts.append(harmonise(raw.withColumn("file_idx", F.lit(i)), carry=("file_idx", "row_idx")))
     if not parts:
         schema = ", ".join(f"`{c}` string" for c in CANONICAL) + ", file_idx int, row_idx long"
         return spark.createDataFrame([], schema)
@@ -191,23 +188,23 @@ def inspect_csv(spark: SparkSession, path: str, expected_rows: int | None = None
     Rows of blank cells only are no rows.
     """
     out: dict = {"ok": False, "bibtex_like": False, "row_count": 0, "header": [], "errors": []}
-    # one line, and one record: the header
-    head = "\n".join(r["value"] for r in spark.read.text(path).limit(1).collect()).lstrip("﻿")
+    found = csv_records.records(spark, path)
+    first = found.where("first").orderBy("place").limit(1).collect()  # the header of the first file
+    head = first[0]["record"].lstrip("\ufeff") if first else ""
     if not head.strip():
         return out | {"errors": ["CSV body is empty"]}
     if re.match(r"(?i)^@[a-z][a-z0-9_-]*\s*\{", head.strip()):
         return out | {"bibtex_like": True, "errors": ["export body is BibTeX, not CSV"]}
-    options = {"multiLine": True, "quote": '"', "escape": '"', "header": False}
-    first = spark.read.csv(path, **options).limit(1).collect()
-    width = len(first[0])
-    header = [" ".join((v or "").lstrip("﻿").split()) for v in first[0]]
+    cells = csv_records.header_of(found)
+    width = len(cells)
+    header = [" ".join(v.lstrip("\ufeff").split()) for v in cells]
     names = [f"c{i}" for i in range(width)]
-    # a record with another number of cells than the header counts as broken
-    table = spark.read.schema(", ".join(f"{n} string" for n in [*names, "broken"])).csv(path, columnNameOfCorruptRecord="broken", mode="PERMISSIVE", **options)
+    # a record with another number of cells than the header counts as broken; every file repeats the header
+    table = found.where(~F.col("first")).select(csv_records.cells(F.col("record"), names, broken="broken").alias("r")).select("r.*")
     some = reduce(lambda a, b: a | b, [stripped(F.col(n)) != "" for n in names])
     bad = F.col("broken").isNotNull()
     count = table.where(some).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).first()
-    rows = count["n"] - 1
+    rows = count["n"]
     missing = [r for r in required if r not in [h.lower() for h in header]]
     errors = [f"CSV header is missing: {', '.join(missing)}"] * bool(missing)
     errors += [f"{count['bad']} CSV row(s) do not match the header column count"] * bool(count["bad"])
