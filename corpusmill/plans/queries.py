@@ -596,10 +596,20 @@ def bootstrap_ci(spark, sf_dir):
     return gold.bootstrap(gold.stratified_sample(judged, quotas, "seed", "model_decision", "row_id").drop("draw"), "seed")
 
 
-@query()
+DRAWS = " + ".join(f"(u >= {t})::INT" for t in gold.POISSON)
+
+
+@query(f"""WITH h AS (SELECT *, sha256('seed:' || row_id) AS t FROM {JUDGED}),
+ x AS (SELECT it, model_decision, human_decision, w, (('0x' || t[1:8])::BIGINT % {gold.PRIME} + it * (('0x' || t[9:16])::BIGINT % {gold.PRIME - 1} + 1)) % {gold.PRIME} AS x FROM h, range(2000) r(it)),
+ u AS (SELECT *, (x * x % {gold.PRIME}) * (x * x % {gold.PRIME}) % {gold.PRIME} * x % {gold.PRIME} AS u FROM x),
+ s AS (SELECT it, model_decision, count(*) / nullif(sum({DRAWS}), 0) AS a, sum(w * ({DRAWS})) AS w, sum(w * ({DRAWS})) FILTER (WHERE human_decision = 'KEEP') AS k FROM u GROUP BY 1, 2),
+ e AS (SELECT it, sum(a * k) FILTER (WHERE model_decision <> 'REJECT') / nullif(sum(a * k), 0) AS recall, sum(a * k) FILTER (WHERE model_decision = 'REJECT') / nullif(sum(a * k), 0) AS false_reject_rate,
+   sum(k) FILTER (WHERE model_decision = 'KEEP') / nullif(sum(w) FILTER (WHERE model_decision = 'KEEP'), 0) AS keep_precision FROM s GROUP BY it),
+ l AS (SELECT 'recall' AS metric, coalesce(recall, 0) AS v FROM e UNION ALL SELECT 'false_reject_rate', coalesce(false_reject_rate, 0) FROM e UNION ALL SELECT 'keep_precision', coalesce(keep_precision, 0) FROM e)
+SELECT metric, round(quantile_cont(v, 0.025), 4) AS lower, round(quantile_cont(v, 0.975), 4) AS upper FROM l GROUP BY metric""")
 def bootstrap_ci_whole(spark, sf_dir):
-    """The operator's own 2,000 resamples; a test compares it with brute force."""
-    return gold.bootstrap(_judged(spark, sf_dir), "seed")
+    """2,000 resamples of all judged rows, in one pass over them."""
+    return gold.bootstrap_whole(_judged(spark, sf_dir), "seed")
 
 
 @query(f"""SELECT count(*) AS total_rows, round((count(*) FILTER (WHERE Validation_Status = 'validated'))::DOUBLE / count(*), 4) AS structurally_validated_rate, round((count(*) FILTER (WHERE Escalated = 'true'))::DOUBLE / count(*), 4) AS repair_call_rate,

@@ -199,7 +199,7 @@ def test_bootstrap_runs_all_resamples(spark):
 
     import numpy as np
 
-    from corpusmill.plans.queries import QUERIES, _judged
+    from corpusmill.plans.queries import _judged
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
@@ -214,11 +214,40 @@ def test_bootstrap_runs_all_resamples(spark):
         keep, said = weight(lambda h, m: h == "KEEP"), weight(lambda h, m: m == "KEEP")
         values.append((weight(lambda h, m: h == "KEEP" and m != "REJECT") / keep, weight(lambda h, m: h == "KEEP" and m == "REJECT") / keep, weight(lambda h, m: h == m == "KEEP") / said))
     low, high = np.percentile(np.array(values), [2.5, 97.5], axis=0)
-    got = {r["metric"]: (r["lower"], r["upper"]) for r in QUERIES["bootstrap_ci_whole"](spark, sf).collect()}
+    got = {r["metric"]: (r["lower"], r["upper"]) for r in gold.bootstrap(_judged(spark, sf), "seed").collect()}
     for k, name in enumerate(("recall", "false_reject_rate", "keep_precision")):
         assert got[name] == pytest.approx((low[k], high[k]), abs=1e-4)
 
 
+def test_bootstrap_of_all_rows(spark):
+    """Whole intervals against a loop over rows, and close to those of resamples of a fixed size."""
+    import bisect
+    import hashlib
+
+    import numpy as np
+
+    rows = [(i, d, "KEEP" if (i * 7919) % 100 < share else "REJECT", w) for i, (d, share, w) in enumerate([("KEEP", 80, 2.0)] * 300 + [("MAYBE", 40, 1.0)] * 150 + [("REJECT", 5, 1.5)] * 250)]
+    records = spark.createDataFrame(rows, "row_id long, model_decision string, human_decision string, w double")
+    got = {r["metric"]: (r["lower"], r["upper"]) for r in gold.bootstrap_whole(records.repartition(3), "s", 300).collect()}
+    values = []
+    for it in range(300):
+        sums = {d: [0, 0, 0.0, 0.0] for d in gold.STRATA}
+        for i, d, human, w in rows:
+            h = hashlib.sha256(f"s:{i}".encode()).hexdigest()
+            x = (int(h[:8], 16) % gold.PRIME + it * (int(h[8:16], 16) % (gold.PRIME - 1) + 1)) % gold.PRIME
+            n = bisect.bisect_right(gold.POISSON, pow(x, 5, gold.PRIME))
+            for k, v in enumerate((1, n, n * w, n * w * (human == "KEEP"))):
+                sums[d][k] += v
+        kept = {d: v[0] / v[1] * v[3] for d, v in sums.items()}
+        values.append(((kept["KEEP"] + kept["MAYBE"]) / sum(kept.values()), kept["REJECT"] / sum(kept.values()), sums["KEEP"][3] / sums["KEEP"][2]))
+    low, high = np.percentile(np.array(values), [2.5, 97.5], axis=0)
+    fixed = {r["metric"]: (r["lower"], r["upper"]) for r in gold.bootstrap(records, "s", 300).collect()}
+    for k, name in enumerate(("recall", "false_reject_rate", "keep_precision")):
+        assert got[name] == pytest.approx((low[k], high[k]), abs=1e-4)
+        assert got[name] == pytest.approx(fixed[name], abs=0.025)
+    assert gold.bootstrap_whole(records.limit(0), "s", 10).where("lower is not null").count() == 0
+
+
 def test_short_quotes_are_evidence(spark, tmp_path):
     from corpusmill.plans.queries import QUERIES
 
