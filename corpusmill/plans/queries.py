@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from corpusmill.functions import text as T
 from corpusmill.functions import values as V
 from corpusmill.operators import assessment as A
-from corpusmill.operators import audit, boolean_query, dedup, flow, gold, question, review, screening
+from corpusmill.operators import audit, boolean_query, dedup, flow, gold, question, quotes, review, screening
 from corpusmill.operators.adapters import RuleAdapter
 from corpusmill.plans.tables import RECORDS, SCREENED, records, screened, table
 from corpusmill.sources import ingest
@@ -166,22 +166,9 @@ def evidence_units(spark, sf_dir):
 
 @query("SELECT doc_id, item_id, 'abstract' AS source FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def exact_evidence(spark, sf_dir):
-    """Quotes that a text holds word for word.
-
-    Every quote is an equi-join away: its longest word is looked up among the
-    distinct words of each text, and only those pairs are checked in full. Quotes
-    without a word between the first and the last are broadcast to all texts.
-    """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    inner = F.split(T.strip_quotes_once("quote"), r"[^\p{L}\p{N}]+")  # the first and last word may be cut from longer ones
-    b = b.withColumn("word", F.get(F.sort_array(F.transform(F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), asc=False), F.lit(0))["w"])
-    pairs = d.select("doc_id", F.explode(words("text")).alias("word")).join(b.where("word is not null"), "word").select("doc_id", "item_id", "quote")
-    short = F.broadcast(b.where("word is null and quote is not null").select("item_id", "quote"))
-    held = A.check_quote("quote", F.lit(""), F.col("text"))["valid"]
-    both = d.join(pairs, "doc_id").where(held).select("doc_id", "item_id").unionByName(d.join(short, held).select("doc_id", "item_id"))
-    return both.withColumn("source", F.lit("abstract"))
+    """Quotes that a text holds word for word, found by one automaton over all of them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("abstract"))
+    return quotes.find_quotes(d, table(spark, sf_dir, "benchmark"), "doc_id", ["abstract"], "item_id", "text")
 
 
 TERM_LINE = r"(' ' || array_to_string(list_transform(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: CASE WHEN length(t) > 4 AND t LIKE '%ies' THEN t[:-4] || 'y' WHEN length(t) > 4 AND t LIKE '%es' THEN t[:-3] WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN t[:-2] ELSE t END), ' ') || ' ')"
