@@ -90,3 +90,35 @@ def test_case_of_headers(spark):
     df = spark.createDataFrame([("x",)], "`title` string")
     assert harmonise(df).first()["Title"] == "x"
     assert harmonise(df, exact_headers=True).first()["Title"] == ""
+
+
+def _mixed_records(spark, n):
+    """One group of many records, some of which extend each other in steps, and small groups."""
+    import random
+
+    draw = random.Random(4)
+    rows = []
+    for i in range(n):
+        hot = draw.random() < 0.9
+        title = "Hot title" if hot else f"Title {draw.randint(0, 9)}"
+        length = draw.choice([0, 1, 2, 3, 5, 9])
+        abstract = draw.choice(["Results " + "and more " * length + draw.choice(["", "...", f"end {i}"]), "", "unrelated text " + str(i), "see also: Results and more and more of it" + " x" * length])
+        rows.append((i, title, draw.choice(["", "A. Author", "A. Author; B. Author", "C. Other", f"A. Author; n{i}"]), draw.choice(["", "nan", "2001", "2002"]), abstract, draw.choice(["", f"k{i}", "k"]), draw.choice(["", "10.1/x"]) if not hot else ""))
+    return spark.createDataFrame(rows, "row_idx long, Title string, Authors string, Year string, Abstract string, Keywords string, DOI string")
+
+
+def test_large_groups_fold_like_small_ones(spark):
+    records = _mixed_records(spark, 400)
+    whole = consolidate(records, ["row_idx"], in_one=10_000).orderBy("match_key").collect()
+    apart = consolidate(records.repartition(7), ["row_idx"], in_one=5).orderBy("match_key").collect()
+    assert [r.asDict() for r in whole] == [r.asDict() for r in apart]
+    assert max(r["group_size"] for r in whole) > 300
+    assert consolidate(records.limit(0), ["row_idx"], in_one=5).count() == 0
+
+
+def test_an_extension_after_others(spark):
+    """A chain of extensions is followed in the order of the fold, not to the longest text."""
+    texts = ["alpha", "alpha beta", "gamma alpha", "alpha beta gamma", "alpha gamma delta epsilon zeta", "alpha beta gamma delta"]
+    records = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "row_idx long, Title string, Abstract string")
+    for size in (1, 2, 100):
+        assert consolidate(records, ["row_idx"], in_one=size).first()["Abstract"] == "alpha beta gamma delta"
