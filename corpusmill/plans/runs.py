@@ -403,3 +403,24 @@ def query_generation(spark, sf_dir):
     made = protocol.concepts(asked)
     out = boolean_query.compile_bundle(made, ("question_id",), ("google_scholar",))
     return out.select("question_id", "version", "query")
+
+
+@query(r"""WITH d AS (SELECT doc_id, 'What of ' || coalesce(source, '') || '?' AS q, doc_id % 3 > 0 AS framed, doc_id % 2 = 0 AS said, coalesce(lang, 'x') AS lang, coalesce(source, '') AS source,
+    list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[;\n\x0b\x0c\r]'), lambda x: trim(x, ' -*' || chr(9))), lambda x: x <> '') AS inc, CASE WHEN trim(coalesce(source, ''), ' -*') <> '' THEN [trim(source, ' -*')] ELSE [] END AS exc FROM documents),
+ c AS (SELECT *, CASE WHEN framed THEN 'The relation that the question asks for: "' || q || '"; all of (topic: "' || lang || '" OR "' || source || '")' ELSE 'drafted ' || source END AS core,
+    CASE WHEN framed THEN list_concat(inc, exc) WHEN said THEN ['own ' || lang] ELSE [] END AS own FROM d)
+SELECT doc_id AS run_id, len(own) + 1 AS n_criteria, sha256(array_to_string(list_concat([core], own), chr(10))) AS said_sha, NOT (framed OR (len(inc) = said::INT AND len(exc) = 0)) AS failed FROM c""")
+def protocol_anchoring(spark, sf_dir):
+    """A protocol a document: its text is the user's block of inclusion criteria, two thirds have a frame of the question."""
+    i, blank = F.col("doc_id"), F.coalesce("source", F.lit(""))
+    drafted = lambda id_, kind, said, source: F.struct(F.lit(id_).alias("id"), F.lit(kind).alias("kind"), said.alias("description"), F.lit(True).alias("required"), F.lit("").alias("expected_evidence"), F.lit(source).alias("source"))
+    draft = [drafted("m", "inclusion", F.concat(F.lit("drafted "), blank), "model"), drafted("x", "exclusion", F.lit("widened"), "model")]
+    lang = F.coalesce("lang", F.lit("x"))
+    group = F.array(F.struct(F.lit("topic").alias("role"), F.lit(True).alias("required"), F.lit("AND").alias("relationship"), F.array(lang, blank).alias("spans")))
+    runs = table(spark, sf_dir, "documents").select(
+        i.alias("run_id"), F.concat(F.lit("What of "), blank, F.lit("?")).alias("question"), F.col("text").alias("inclusion"), blank.alias("exclusion"),
+        F.when(i % 2 == 0, F.array(*draft, drafted("u", "inclusion", F.concat(F.lit("own "), lang), "user"))).otherwise(F.array(*draft)).alias("criteria"), F.when(i % 3 > 0, group).alias("groups"),
+    )
+    done = protocol.anchored_protocols(runs)
+    said = F.array_join(F.transform("criteria", lambda c: c["description"]), "\n")
+    return done.select("run_id", F.size("criteria").cast("long").alias("n_criteria"), V.sha256(said).alias("said_sha"), F.col("failure").isNotNull().alias("failed"))
