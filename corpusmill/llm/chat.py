@@ -11,7 +11,9 @@ marked as counted or not: only assistant texts are counted.
 Defined cases: a null text or role is empty; turns are ordered by turn, then role
 and text (a null turn first), repeated rows stay; a record with an unknown
 fingerprint, invalid JSON, a repeated key or null keeps its row with null outputs and a
-null layout; very long texts are formatted whole; an empty table gives no rows; other
+null layout (so does a list of turns whose texts are of mixed types, or with one more field a
+turn: its paths are unknown); very long texts are formatted whole (a conversation is one row, so
+a task needs memory of some 40 times its characters; too little is an error, not a null); an empty table gives no rows; other
 columns of ``records`` are kept unless they bear the name of an output (fingerprint,
 layout, turns, loss_segments, formatted), which replaces them.
 """
@@ -65,12 +67,27 @@ LAYOUTS = (
 SINGLE = r"(?<=: |ARRAY<|^)(?:STRING|VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\))(?=[,>]|$)"
 
 
+#: Characters beyond which a record is read for its paths without its texts: a variant holds 128 MB.
+WHOLE_CHARS = 16_000_000
+#: A name with a text behind it, a name with another value, or a text in a list; the loops never go back, so their depth is bounded.
+_INSIDE = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+NAMED_TEXTS = rf'(?s)("{_INSIDE}"\s*+:\s*+)(?:("){_INSIDE}("))?+|("){_INSIDE}(")'
+
+
+def without_texts(record: Column) -> Column:
+    """A JSON record with every text emptied, which has the same paths; null if it is not valid."""
+    valid = F.json_object_keys(record).isNotNull() | F.json_array_length(record).isNotNull()
+    return F.when(valid, F.regexp_replace(record, NAMED_TEXTS, "$1$2$3$4$5"))
+
+
 def nested_paths(record: Column) -> Column:
     """The sorted nested field paths of a JSON record, to any depth, as the schema of its variant writes them.
 
     They come from the types of the values, so a text that looks like JSON is a text.
+    Of a long record only the texts are left out, so its length is not limited by the variant.
     """
-    return F.regexp_replace(F.schema_of_variant(F.from_json(record, "variant", JSON)), SINGLE, "_")
+    short = F.when(F.length(record) > WHOLE_CHARS, without_texts(record)).otherwise(record)
+    return F.regexp_replace(F.schema_of_variant(F.from_json(short, "variant", JSON)), SINGLE, "_")
 
 
 def fingerprint(record: Column) -> Column:

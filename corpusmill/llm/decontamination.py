@@ -7,8 +7,12 @@
 2. One pass over the documents hashes their runs; only documents with a run in a
    marked slot go on, as tokens and marked hashes. A benchmark that fills the bitmap
    lets more rows through to the join, which decides.
-3. The hashes are joined to the seeds. Pairs of a document and an item whose common
-   seeds could not cover enough of the item are left out.
+3. Tiles have ``width`` words or more, so a document that covers enough of an item of
+   ``n`` words holds at least ``m = ceil(ceil(min_coverage n) / width)`` of the places of
+   its seeds. Therefore the most common seeds of an item (in documents), up to ``m - 1``
+   places, are left out of the join without loss: a phrase that many documents and items
+   share makes no pairs. The documents of a hot seed are dealt to many tasks. Pairs
+   whose common seeds, with those left out, are fewer than ``m`` places go no further.
 4. Each remaining pair is tiled: the seeds make maximal runs, and the longest run whose
    words are still unmarked on both sides is marked, again and again; a run that marked
    words cut goes back with the parts that are left. Coverage is the marked share of
@@ -35,8 +39,9 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from corpusmill.llm.common import forget, materialise, ship
+from corpusmill.llm.common import forget, materialise, ship, with_facts
 
 MIN_TILE = 5
 MIN_COVERAGE = 0.8
@@ -210,17 +215,31 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, min_coverage: float, width: in
     seeds = materialise(_seeds(items), "dec-seeds")
     found = materialise(_candidates(docs, _bitmap(seeds), widths), "dec-candidates")
 
-    # a seed covers ``width`` words of the item in each of its places, at most
-    pairs = found.select("row", F.explode("hits").alias("h")).join(seeds, "h").groupBy("row", "item").agg(F.sum("places").alias("places"))
-    likely = pairs.join(items, "item").where(F.col("places") * F.col("width") >= F.col("n") * min_coverage).select("row", "item_id", "item_tokens", "width")
+    each = found.select("row", F.explode("hits").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df"))
+    # places of its seeds that an item owes; its most common seeds up to one less are not joined
+    owed = F.ceil(F.ceil(F.col("n") * min_coverage - 1e-9) / F.col("width")).cast("long")
+    owing = items.select("item", F.greatest(owed, F.lit(1)).alias("owed"))
+    common = Window.partitionBy("item").orderBy(F.desc("df"), "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = seeds.join(often, "h").join(owing, "item").withColumn("left_out", F.sum("places").over(common) < F.col("owed"))
+    ordered = materialise(ordered, "dec-ordered")
+    facts = ordered.where("not left_out").groupBy("h").agg(F.first("df").alias("df"), F.collect_list(F.struct("item", "places")).alias("of"))
+    facts = materialise(facts, "dec-facts")
+    met = with_facts(each, facts, ["h"], "df").select("row", F.explode("of").alias("s")).groupBy("row", F.col("s.item").alias("item")).agg(F.sum("s.places").alias("places"))
+    bounds = ordered.groupBy("item").agg(F.first("owed").alias("owed"), F.sum(F.when(F.col("left_out"), F.col("places")).otherwise(0)).alias("unseen"))
+    pairs = met.join(bounds, "item").where(F.col("places") + F.col("unseen") >= F.col("owed"))
+    likely = pairs.join(items, "item").select("row", "item_id", "item_tokens", "width")
     both = likely.join(found.drop("hits"), "row")
 
     def run(batches):
         for pdf in batches:
             held = []
             for k, (raw, item_raw, w) in enumerate(zip(pdf["tokens"], pdf["item_tokens"], pdf["width"], strict=True)):
-                item = np.frombuffer(item_raw, np.uint64)
-                got = tiles(np.frombuffer(raw, np.uint64), item, int(w))
+                item, doc = np.frombuffer(item_raw, np.uint64), np.frombuffer(raw, np.uint64)
+                places = np.isin(run_hashes(item, int(w)), run_hashes(doc, int(w))).sum()
+                if places * int(w) < len(item) * min_coverage:
+                    continue
+                got = tiles(doc, item, int(w))
                 covered = sum(n for *_, n in got) / len(item)
                 if covered >= min_coverage:
                     held.append((k, covered, len(got)))
@@ -229,7 +248,7 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, min_coverage: float, width: in
 
     columns = "row long, doc_id long, t1 long, t2 long, item_id long"
     tiled = both.select("row", "doc_id", "t1", "t2", "item_id", "tokens", "item_tokens", "width").mapInPandas(run, columns + ", coverage double, n_tiles long")
-    return tiled, [items, seeds, found]
+    return tiled, [items, seeds, found, ordered, facts]
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_coverage: float = MIN_COVERAGE, width: int = MIN_TILE) -> DataFrame:

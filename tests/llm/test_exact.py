@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import json
 import os
 import random
 import re
@@ -593,3 +594,48 @@ def test_warc_query(spark):
     out = QUERIES["op7_warc"](spark, SF).collect()
     assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in out} == {i: (len(p), warc.base32_sha1(p), "response" if largest[p] == i else "revisit", None if largest[p] == i else largest[p]) for i, p in pages.items()}
     assert hashlib.sha1(b"").digest() and len(out) == len(pages)
+
+
+def test_a_common_phrase_makes_no_pairs(spark, frame, monkeypatch):
+    """Items and documents that share an opening meet only where more of the item follows."""
+    import random
+
+    opening, draw = "what is the answer to", random.Random(2)
+    words = lambda tag, k, n: " ".join(f"{tag}{k}w{i}" for i in range(n))
+    items = [(k, f"{opening} {words('q', k, 20)}") for k in range(60)]
+    docs = [(d, f"{words('d', d, 9)} {opening} {words('e', d, 9)}") for d in range(200)]
+    for k in draw.sample(range(60), 12):  # reordered halves of some items
+        body = items[k][1].split()
+        docs.append((1000 + k, " ".join([*body[13:], "x", *body[:13]])))
+    seen = []
+    real = dec.with_facts
+    monkeypatch.setattr(dec, "with_facts", lambda rows, facts, keys, size: seen.append(sum(len(r["of"]) * r["df"] for r in facts.collect())) or real(rows, facts, keys, size))
+    got = dec.contaminated_pairs(frame(docs, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d, _ in docs if d >= 1000) and all(r["item_id"] == r["doc_id"] - 1000 and r["coverage"] == 1.0 for r in got)
+    assert seen[0] < 25 * len(docs)  # 200 x 60 pairs share the opening
+
+
+def test_long_records_have_the_paths_of_short_ones(spark, frame, monkeypatch):
+    """Beyond WHOLE_CHARS the texts are left out of the fingerprint: same layouts, whole turns."""
+    hard = 'a "b": {\\"c\\": [1]} \\\\ \n , "d"'
+    rows = [{"prompt": hard, "completion": ""}, {"system": "", "prompt": hard * 3, "completion": hard}, {"messages": [{"role": "user", "content": hard}, {"role": "assistant", "content": ""}]}, {"conversations": []}, {"prompt": hard, "completion": 5}, {'pro"mpt': "x", "completion": hard}]
+    records = [(k, json.dumps(r)) for k, r in enumerate(rows)] + [(90, '{"prompt": "a" "completion": "b"}'), (91, None), (92, '["x", "y"]'), (93, '{"prompt": "a", "prompt": "b"}')]
+    table = frame(records, "k long, record string")
+    read = lambda: [r.asDict(True) for r in chat.format_turns(chat.canonical_turns(table)).orderBy("k").collect()]
+    short = read()
+    monkeypatch.setattr(chat, "WHOLE_CHARS", 0)
+    assert read() == short and [r["layout"] for r in short][:3] == ["prompt", "system_prompt", "messages"]
+
+
+def test_conversations_beyond_the_variant(spark, frame):
+    """17 million characters in one text go the way of the longest ones."""
+    n = chat.WHOLE_CHARS + 1_000_000
+    turns = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit('"</s>\n'), F.when(F.col("id") == 0, n // 6).otherwise(1).cast("int")).alias("text"))
+    done = chat.format_turns(chat.canonical_turns(chat.conversation_records(turns)))
+    out = done.select("layout", F.size("turns").alias("n"), F.length(F.col("turns")[0]["text"]).alias("chars"), F.length("formatted").alias("formatted")).first()
+    assert out["layout"] == "prompt" and out["n"] == 2 and out["chars"] == n // 6 * 6 and out["formatted"] == 2 * 24 + 13 + (n // 6 + 1) * 7
+
+
+def test_no_conversations(spark, frame):
+    none = frame([], "conv_id long, turn long, role string, text string")
+    assert chat.format_turns(chat.canonical_turns(chat.conversation_records(none))).count() == 0
