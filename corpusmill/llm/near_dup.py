@@ -15,7 +15,13 @@
    first meets the hub that it shares most keys with, then those of its other hubs
    that are in another component. Candidates are confirmed on full shingle sets, and
    the links form components.
-4. Rest round: only pairs under a key that are still in different components can
+4. Merging rounds: crowded keys (more than ``SMALL_KEY`` documents) that still hold
+   several components mostly hold parts of one group. Under each such key one document of
+   every component, another one each time, meets one of the component that has most
+   documents there: linear in the components of a key. The links merge parts, and the
+   round is repeated while a share of ``MERGE_SHARE`` of its pairs are links,
+   ``MERGE_ROUNDS`` times at most.
+5. Rest round: only pairs under a key that are still in different components can
    add anything. Under keys of at most ``SMALL_KEY`` documents they are compared
    as they are, which is linear in the postings. The documents under larger keys
    that hold several components (a group of copies and its outsiders) go through
@@ -23,8 +29,8 @@
    an early rare shingle in common (positional bound), and its sets differ in few
    slots of a parity map (a bound of the difference from below). So no link is
    lost, and a group is never expanded into all its pairs.
-5. Components come from label propagation with pointer jumping; each round is
-   written to the shared folder.
+6. Components come from label propagation with pointer jumping; each round is
+   written to the shared folder. Rows that share a label are narrow, and Spark splits their join.
 
 Joins to what is known of a key (its count, its hub, its label) broadcast the hottest
 keys, 1,000 at most, so no task gets all rows of a key.
@@ -52,8 +58,14 @@ COORDINATES = 32
 MIN_MATCHES = 14
 #: Documents under a key of which all pairs are compared, if in different components.
 SMALL_KEY = 40
+#: Rounds in which components under crowded keys meet one by one.
+MERGE_ROUNDS = 4
+#: Share of links among the pairs of a round from which on another round follows.
+MERGE_SHARE = 0.1
 #: Pairs for which the text of a hub is sent once.
 PAIRS_A_TEXT = 256
+#: Documents whose texts are looked up by a broadcast (three longs each, some 30 MB).
+BROADCAST_HEADS = 300_000
 #: Preceding tokens that a posting carries to tell whether a pair has met already.
 LOOK_BACK = 8
 #: Longs of a set's parity map.
@@ -145,21 +157,27 @@ def similar_enough(a: Column, b: Column, percent: int) -> Column:
 
 
 def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, text) of the distinct ``nodes`` (rep): the text of each one's first document."""
-    heads = classes.join(nodes, "rep", "left_semi").select("rep", "doc_id", "th")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = rows.join(heads, ["doc_id", "th"]).select("rep", "text").dropDuplicates(["rep"])
-    return materialise(found, "near-texts")
+    """(rep, text) of the distinct ``nodes`` (rep): the text of each one's first document.
+
+    Up to ``BROADCAST_HEADS`` of them are broadcast, so that no other text is shuffled.
+    """
+    heads = materialise(classes.join(nodes, "rep", "left_semi").select("rep", "doc_id", "th"), "near-heads")
+    few = heads.count() <= BROADCAST_HEADS
+    rows = docs.select("doc_id", "text").join(F.broadcast(heads) if few else heads, "doc_id").where(F.xxhash64("text") == F.col("th"))
+    found = materialise(rows.select("rep", "text").dropDuplicates(["rep"]), "near-texts")
+    forget(heads)
+    return found
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the distinct (a, b) that agree on enough coordinates and on their full sets.
+    """Those of the distinct materialised (a, b) that agree on enough coordinates and on their full sets.
 
     The text of ``b``, of which a hub has many pairs, is sent once for about
     ``PAIRS_A_TEXT`` of them, in as many tasks as that makes.
     """
     keys = classes.select("rep", "keys")
-    pairs = materialise(pairs, "near-pairs")
+    if pairs.isEmpty():
+        return pairs
     degree = materialise(pairs.groupBy("b").agg(F.count("*").alias("n")).join(keys.withColumnsRenamed({"rep": "b", "keys": "kb"}), "b"), "near-degrees")
     near = with_facts(pairs.join(keys.withColumnsRenamed({"rep": "a", "keys": "ka"}), "a"), degree, ["b"], "n")
     agree = F.size(F.array_intersect("ka", "kb"))  # a key holds its coordinate, so equal keys agree
@@ -183,7 +201,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
             yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     out = materialise(both.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long"), "near-links")
-    for done in (pairs, degree, likely, texts):
+    for done in (degree, likely, texts):
         forget(done)
     return out
 
@@ -266,6 +284,34 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select("node", "component")
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    """What components say of their nodes, as (a, b)."""
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+
+
+def _open_keys(posted: DataFrame, found: DataFrame) -> DataFrame:
+    """Materialised (key, rep, n_shingles, component, n): the postings of keys with several components, ``n`` of each key."""
+    placed = materialise(posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-placed")
+    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    several = materialise(several, "near-several")
+    out = materialise(with_facts(placed, several, ["key"], "n").where("n is not null"), "near-open")
+    forget(placed)
+    forget(several)
+    return out
+
+
+def _component_pairs(open_keys: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Distinct (a, b), a < b: under each crowded key a document of every component and one of the component with most documents.
+
+    ``turn`` changes which documents of a component are taken.
+    """
+    drawn = F.struct(F.xxhash64(F.lit(turn), "key", "rep").alias("h"), "rep", "n_shingles")
+    picks = open_keys.where(F.col("n") > SMALL_KEY).groupBy("key", "component").agg(F.max(drawn).alias("p"), F.count("*").alias("n"))
+    largest = picks.groupBy("key").agg(F.max(F.struct("n", "component", "p")).alias("m"))
+    both = picks.join(largest, "key").where((F.col("component") != F.col("m.component")) & similar_enough(F.col("p.n_shingles"), F.col("m.p.n_shingles"), percent))
+    return both.select(F.least("p.rep", "m.p.rep").alias("a"), F.greatest("p.rep", "m.p.rep").alias("b")).distinct()
+
+
 def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Materialised: the sketch of every row, and (set_id, n, component_id) of every class of equal sets."""
     own = materialise(sketches(docs, width), "near-sketches")
@@ -281,42 +327,52 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     star = with_facts(posted, hub, ["key"], "rows").where((F.col("rep") != F.col("hub")) & similar_enough(F.col("n_shingles"), F.col("n_hub"), percent))
     first = materialise(star.groupBy(F.col("rep").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("shared")), "near-first")
     # each document first meets the hub that it shares most keys with, then only hubs of other components
-    best = first.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    best = materialise(first.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "near-best")
     nearest = confirmed(best, classes, docs, width, percent)
     placed_first = components(nearest)
     of = lambda side: placed_first.withColumnsRenamed({"node": side, "component": f"c{side}"})
     apart = first.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
     once = apart.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).groupBy("x", "y").agg(F.max(F.struct("a", "b")).alias("m")).select("m.a", "m.b")
+    once = materialise(once, "near-once")
     links = confirmed(once, classes, docs, width, percent)
-    found = components(links.union(nearest))
+    found = placed_first if links.isEmpty() else components(links.union(nearest))
+    met = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_keys = _open_keys(posted, found)
+    tried = [best, once]
+    for turn in range(MERGE_ROUNDS):
+        tried.append(materialise(_component_pairs(open_keys, percent, turn).join(met, ["a", "b"], "left_anti"), "near-merging"))
+        more = confirmed(tried[-1], classes, docs, width, percent)
+        if more.isEmpty():
+            break
+        met, paid = met.union(tried[-1]), more.count() >= MERGE_SHARE * tried[-1].count()
+        found = components(_edges(found).union(more))
+        forget(open_keys)
+        open_keys = _open_keys(posted, found)
+        if not paid:
+            break
 
-    # pairs under a key in different components; keys with one component are done
-    placed = materialise(posted.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-placed")
-    several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
-    several = materialise(several, "near-several")
-    open_keys = materialise(with_facts(placed, several, ["key"], "n").where("n is not null"), "near-open")
     small = open_keys.where(F.col("n") <= SMALL_KEY).select(F.col("key").alias("token"), "rep", "n_shingles", "component", F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"))
     crowded = materialise(open_keys.where(F.col("n") > SMALL_KEY).select("rep", "component").distinct(), "near-crowded")
     texts = texts_of(crowded.select("rep"), classes, docs)
     rare = rare_shingles(crowded.join(texts, "rep"), width, percent)
-    done_before = first.select("a", "b").union(first.select("b", "a"))
-    pairs = cross_pairs(small, percent).union(cross_pairs(rare, percent)).distinct().join(done_before, ["a", "b"], "left_anti")
-    more = confirmed(pairs, classes, docs, width, percent)
+    pairs = cross_pairs(small, percent).union(cross_pairs(rare, percent)).distinct().join(met, ["a", "b"], "left_anti")
+    tried.append(materialise(pairs, "near-rest"))
+    more = confirmed(tried[-1], classes, docs, width, percent)
 
     # classes that share a doc_id, and the links of both rounds
     members = sound.select("doc_id", "set_id").distinct()
-    shared = members.groupBy("doc_id").agg(F.collect_set("set_id").alias("sets")).where("size(sets) > 1")
+    shared = members.groupBy("doc_id").count().where("count > 1").select("doc_id")
     ids = classes.select("set_id", "rep")
-    same = shared.select("doc_id", F.explode("sets").alias("set_id")).join(ids, "set_id").select("doc_id", "rep")
+    same = members.join(shared, "doc_id").join(ids, "set_id").select("doc_id", "rep")
     same = same.join(same.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
-    edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more).union(same)
-    labels = components(edges)
+    same = materialise(same, "near-same")
+    labels = found if more.isEmpty() and same.isEmpty() else components(_edges(found).union(more).union(same))
     labelled = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", "n", "doc_id", F.coalesce("component", "rep").alias("component"))
     labelled = materialise(labelled, "near-labelled")
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
     least = materialise(least, "near-least")
     out = materialise(with_facts(labelled.drop("doc_id"), least, ["component"], "rows").select("set_id", "n", "component_id"), "near-components")
-    for done in (classes, posted, hub, first, nearest, placed_first, links, found, placed, several, open_keys, crowded, texts, more, labels, labelled, least):
+    for done in (classes, posted, hub, first, nearest, placed_first, links, found, open_keys, crowded, texts, same, labels, labelled, least, *tried):
         forget(done)
     return own, out
 
