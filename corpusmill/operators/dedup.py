@@ -10,6 +10,7 @@ and place inside each group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,8 @@ from corpusmill.operators.frames import persisted
 EXTENSIBLE = ("Abstract", "Authors", "Keywords", "Source title")
 #: Different records of a group that one task folds, and large groups whose hashes are broadcast.
 IN_ONE, MAX_LARGE = 1_000, 100_000
+#: Fields that make the key, and its hashes.
+KEYED, KEY = ("DOI", "Title"), ("k1", "k2")
 #: Fields whose presence makes a record rich.
 CORE = ("Abstract", "Authors", "Keywords", "Source title", "DOI", "Year", "Link")
 
@@ -47,22 +50,35 @@ def extends(current: Column, candidate: Column) -> Column:
     return (core != "") & long.contains(core) & (F.length(long) > F.length(short))
 
 
-def _prepared(records: DataFrame, place: list[str], unify_doi: bool) -> tuple[DataFrame, list[str]]:
-    """match_key, richness (r1, r2: the richest first), place and payload of every record, and the payload's fields."""
+def _prepared(records: DataFrame, place: list[str], unify_doi: bool) -> tuple[DataFrame, list[str], Callable[[Column, Column], Column]]:
+    """Hashes of the key (k1, k2), richness (r1, r2: the richest first), place and payload of every record; the payload's fields; and the key of a payload and a place.
+
+    A key may be a whole text, so 128 bits of its hash are shuffled instead.
+    """
     fields = [c for c in records.columns if c not in place]
     at = F.struct(*[F.col(c) for c in place])
-    key = match_key(F.col("DOI") if "DOI" in fields else F.lit(""), F.col("Title") if "Title" in fields else F.lit(""), F.concat_ws("/", *[F.col(c) for c in place]), unify_doi)
     payload = F.struct(*[text(F.col(f"`{c}`")).alias(c) for c in fields])
-    return records.select(key.alias("match_key"), payload.alias("v"), (-_count([c for c in CORE if c in fields])).alias("r1"), (-_count(fields)).alias("r2"), at.alias("at")), fields
+
+    def key_of(v: Column, at: Column) -> Column:
+        part = lambda c: v[c] if c in fields else F.lit("")
+        return match_key(part("DOI"), part("Title"), F.concat_ws("/", *[at[c] for c in place]), unify_doi)
+
+    rows = records.select(payload.alias("v"), (-_count([c for c in CORE if c in fields])).alias("r1"), (-_count(fields)).alias("r2"), at.alias("at"))
+    return rows.select(*key_hashes(key_of(F.col("v"), F.col("at"))), "v", "r1", "r2", "at"), fields, key_of
+
+
+def _keyed(v: Column, fields: list[str]) -> Column:
+    """What of a payload makes its key."""
+    return F.struct(*([v[c].alias(c) for c in fields if c in KEYED] or [F.lit("").alias("none")]))
 
 
 def _folded(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """match_key, group_size, first_place and the record of each group, folded in one go."""
+    """group_size, first_place, the record (m) and the base (v, at) of each group, folded in one go."""
     # equal records count once: folding one a second time changes nothing, and a group
     # of exact copies shrinks before it is shuffled
-    once = rows.groupBy("match_key", "r1", "r2", "v").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    once = rows.groupBy(*KEY, "r1", "r2", "v").agg(F.min("at").alias("at"), F.count("*").alias("n"))
     row = F.struct("r1", "r2", "at", "v")
-    groups = once.groupBy("match_key").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("at").alias("first_place"), F.sum("n").alias("group_size"))
+    groups = once.groupBy(*KEY).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.min("at").alias("first_place"), F.sum("n").alias("group_size"))
 
     def fold(acc: Column, r: Column) -> Column:
         out = []
@@ -74,9 +90,9 @@ def _folded(rows: DataFrame, fields: list[str]) -> DataFrame:
             out.append(pick.otherwise(mine).alias(c))
         return F.struct(*out)
 
-    base = F.get("rows", F.lit(0))["v"]
-    merged = F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), base, fold)
-    return groups.select("match_key", "group_size", "first_place", merged.alias("m"))
+    base = F.get("rows", F.lit(0))
+    merged = F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), base["v"], fold)
+    return groups.select("group_size", "first_place", merged.alias("m"), _keyed(base["v"], fields).alias("v"), base["at"].alias("at"))
 
 
 def _folded_apart(rows: DataFrame, fields: list[str], in_one: int) -> DataFrame:
@@ -91,32 +107,33 @@ def _folded_apart(rows: DataFrame, fields: list[str], in_one: int) -> DataFrame:
     order = F.struct("r1", "r2", "at")
     value = lambda c: F.col("v")[c]
     first = {c: F.coalesce(F.min(F.when(has_value(value(c)), F.struct(order.alias("o"), value(c).alias("x")))), F.min(F.struct(order.alias("o"), value(c).alias("x")))) for c in fields}
-    base = persisted(rows.groupBy("match_key").agg(F.count("*").alias("group_size"), F.min("at").alias("first_place"), *[e.alias(f"f{k}") for k, e in enumerate(first.values())]))
+    richest = F.min(F.struct(order.alias("o"), _keyed(F.col("v"), fields).alias("v"))).alias("b")
+    base = persisted(rows.groupBy(*KEY).agg(F.count("*").alias("group_size"), F.min("at").alias("first_place"), richest, *[e.alias(f"f{k}") for k, e in enumerate(first.values())]))
     longer = [k for k, c in enumerate(fields) if c in EXTENSIBLE]
     steps = []
     if longer:
         salts = F.ceil(F.col("group_size") / in_one)
         each = F.array(*[F.struct(F.lit(k).alias("field"), value(fields[k]).alias("x")) for k in longer])
-        chain = rows.select("match_key", order.alias("o"), F.explode(each).alias("e")).select("match_key", "o", "e.field", "e.x").where(has_value("x")).distinct()
-        spread = base.select("match_key", salts.alias("salts"))
-        chain = persisted(chain.join(spread, "match_key").withColumn("salt", F.pmod(F.xxhash64("o", "x"), F.col("salts"))).drop("salts"))
+        chain = rows.select(*KEY, order.alias("o"), F.explode(each).alias("e")).select(*KEY, "o", "e.field", "e.x").where(has_value("x")).distinct()
+        spread = base.select(*KEY, salts.alias("salts"))
+        chain = persisted(chain.join(spread, list(KEY)).withColumn("salt", F.pmod(F.xxhash64("o", "x"), F.col("salts"))).drop("salts"))
         known = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"f{k}.o").alias("so"), F.col(f"f{k}.x").alias("sx")) for k in longer])
-        state = base.select("match_key", salts.alias("salts"), F.explode(known).alias("s")).select("match_key", "salts", "s.field", "s.so", "s.sx").where(has_value("sx"))
+        state = base.select(*KEY, salts.alias("salts"), F.explode(known).alias("s")).select(*KEY, "salts", "s.field", "s.so", "s.sx").where(has_value("sx"))
         while True:
             sent = state.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-            hits = chain.join(sent, ["match_key", "field", "salt"]).where((F.col("o") > F.col("so")) & extends(F.col("sx"), F.col("x")))
-            nearest = hits.groupBy("match_key", "field", "salts").agg(F.min(F.struct("o", "x")).alias("n"))
-            state = persisted(nearest.select("match_key", "salts", "field", F.col("n.o").alias("so"), F.col("n.x").alias("sx")))
+            hits = chain.join(sent, [*KEY, "field", "salt"]).where((F.col("o") > F.col("so")) & extends(F.col("sx"), F.col("x")))
+            nearest = hits.groupBy(*KEY, "field", "salts").agg(F.min(F.struct("o", "x")).alias("n"))
+            state = persisted(nearest.select(*KEY, "salts", "field", F.col("n.o").alias("so"), F.col("n.x").alias("sx")))
             if state.isEmpty():
                 break
             steps.append(state)
     out = base
     if steps:
         last = reduce(DataFrame.unionByName, [s.withColumn("step", F.lit(i)) for i, s in enumerate(steps)])
-        ends = last.groupBy("match_key").agg(*[F.max_by(F.when(F.col("field") == k, F.col("sx")), F.when(F.col("field") == k, F.col("step"))).alias(f"e{k}") for k in longer])
-        out = base.join(ends, "match_key", "left")
+        ends = last.groupBy(*KEY).agg(*[F.max_by(F.when(F.col("field") == k, F.col("sx")), F.when(F.col("field") == k, F.col("step"))).alias(f"e{k}") for k in longer])
+        out = base.join(ends, list(KEY), "left")
     ended = [F.coalesce(*([F.col(f"e{k}")] if steps and k in longer else []), F.col(f"f{k}.x")).alias(c) for k, c in enumerate(fields)]
-    return out.select("match_key", "group_size", "first_place", F.struct(*ended).alias("m"))
+    return out.select("group_size", "first_place", F.struct(*ended).alias("m"), "b.v", F.col("b.o.at").alias("at"))
 
 
 def consolidate(records: DataFrame, place: list[str], unify_doi: bool = False, in_one: int = IN_ONE) -> DataFrame:
@@ -127,19 +144,17 @@ def consolidate(records: DataFrame, place: list[str], unify_doi: bool = False, i
     take a safe extension. Groups of more than ``in_one`` different records, which a
     pass over hashes finds, are folded by minima over all tasks, with the same result.
     """
-    rows, fields = _prepared(records, place, unify_doi)
-    hashed = rows.select(*key_hashes(F.col("match_key")), F.xxhash64("v").alias("v1")).distinct()
-    large = persisted(hashed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") > in_one).drop("n"))
-    keyed = rows.select("*", *key_hashes(F.col("match_key")))
+    rows, fields, key_of = _prepared(records, place, unify_doi)
+    hashed = rows.select(*KEY, F.xxhash64("v").alias("v1")).distinct()
+    large = persisted(hashed.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") > in_one).drop("n"))
     n = large.count()
     if not n:
         out = _folded(rows, fields)
     else:
         held = F.broadcast(large) if n <= MAX_LARGE else large
-        small = keyed.join(held, ["k1", "k2"], "left_anti").drop("k1", "k2")
-        apart = persisted(keyed.join(held, ["k1", "k2"], "left_semi").drop("k1", "k2"))
-        out = _folded(small, fields).unionByName(_folded_apart(apart, fields, in_one))
-    return out.select("match_key", "group_size", *[F.col(f"first_place.{c}").alias(c) for c in place], "m.*")
+        apart = persisted(rows.join(held, list(KEY), "left_semi"))
+        out = _folded(rows.join(held, list(KEY), "left_anti"), fields).unionByName(_folded_apart(apart, fields, in_one))
+    return out.select(key_of(F.col("v"), F.col("at")).alias("match_key"), "group_size", *[F.col(f"first_place.{c}").alias(c) for c in place], "m.*")
 
 
 def key_hashes(key: Column) -> list[Column]:
