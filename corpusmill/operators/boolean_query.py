@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clean_term, group_covered, norm_query, prefix_base, text
+from corpusmill.operators.frames import persisted
 
 PLATFORMS = ("google_scholar", "scopus", "web_of_science", "ieee_xplore", "pubmed")
-#: Tokens of the groups that every task may hold.
+#: Tokens of the groups that every task holds at once.
 MAX_INDEX = 1_000_000
 MAX_GROUPS, MAX_TERMS, OPEN_TERMS = 8, 8, 5
 
@@ -108,23 +109,31 @@ def _tokens(df: DataFrame, key: str) -> DataFrame:
 def best_overlap(drafts: DataFrame, groups: DataFrame) -> DataFrame:
     """For each draft (draft_id, terms) the group (group_id, terms) that shares the most tokens; ties to the smaller id.
 
-    Groups of up to ``MAX_INDEX`` tokens in all become an inverted index that every
-    task holds, so a word that all drafts and groups have makes no rows. Beyond that
-    tokens meet by an equi-join.
+    Groups of about ``MAX_INDEX`` tokens in all become an inverted index that every
+    task holds, so a word that all drafts and groups have makes no rows. More groups
+    make more such blocks, each of which is one more pass over the drafts; a draft keeps
+    its best group of every block, and the best of those is its answer.
     """
-    mine, theirs = _tokens(drafts, "draft_id"), _tokens(groups, "group_id")
+    mine = _tokens(drafts, "draft_id")
+    theirs = _tokens(groups, "group_id").groupBy("group_id").agg(F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks"))
+    theirs = persisted(theirs)
     size = theirs.agg(F.coalesce(F.sum(F.size("toks")), F.lit(0))).first()[0]
-    if size > MAX_INDEX:
-        each = lambda df, k: df.select(k, F.explode("toks").alias("tok"))
-        shared = each(mine, "draft_id").join(each(theirs, "group_id"), "tok").groupBy("draft_id", "group_id").agg(F.count("*").alias("overlap"))
-        best = shared.groupBy("draft_id").agg(F.min(F.struct((-F.col("overlap")).alias("minus"), "group_id")).alias("b"))
-        return drafts.select("draft_id").join(best, "draft_id", "left").select("draft_id", F.col("b.group_id").alias("group_id"), F.coalesce(-F.col("b.minus"), F.lit(0)).alias("overlap"))
-    rows = sorted((r["group_id"], r["toks"]) for r in theirs.groupBy("group_id").agg(F.array_distinct(F.flatten(F.collect_list("toks"))).alias("toks")).collect())
+    blocks = max(1, -(-size // MAX_INDEX))
+    parts = [_best_of(mine, theirs.where(F.pmod(F.xxhash64("group_id"), F.lit(blocks)) == k)) for k in range(blocks)]
+    if blocks == 1:
+        return parts[0]
+    best = reduce(DataFrame.unionByName, parts).groupBy("draft_id").agg(F.min(F.struct((-F.col("overlap")).alias("minus"), F.col("group_id").isNull().alias("none"), "group_id")).alias("b"))
+    return best.select("draft_id", "b.group_id", (-F.col("b.minus")).alias("overlap"))
+
+
+def _best_of(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """The best group of a block for each draft, by an index of the block."""
+    rows = sorted((r["group_id"], r["toks"]) for r in theirs.collect())  # MAX_INDEX tokens, about
     index: dict[str, list[int]] = {}
     for k, (_, toks) in enumerate(rows):
         for t in toks:
             index.setdefault(t, []).append(k)
-    shipped = drafts.sparkSession.sparkContext.broadcast(({t: np.array(v) for t, v in index.items()}, [g for g, _ in rows]))
+    shipped = mine.sparkSession.sparkContext.broadcast(({t: np.array(v) for t, v in index.items()}, [g for g, _ in rows]))
 
     def run(batches):
         places, ids = shipped.value

@@ -497,6 +497,18 @@ def row_fingerprint(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", V.row_fingerprint(["doc_id", "text", "lang"]).alias("fingerprint"))
 
 
+_POLYNOMIAL = "list_reduce(l, lambda a, x: (a * {} + x) % {})"
+
+
+@query(f"""WITH h AS (SELECT doc_id, ('0x' || substr(sha256(sha256(doc_id::VARCHAR) || '|' || sha256(coalesce(lang, '')) || '|' || sha256(coalesce(text, ''))), 1, 15))::BIGINT::HUGEINT AS h FROM documents),
+ s AS (SELECT count(*) AS n, list(h ORDER BY doc_id, h) AS l FROM h)
+SELECT n || ':' || {" || ':' || ".join(_POLYNOMIAL.format(b, gold.MERSENNE) for b in gold.BASES)} AS fingerprint FROM s""")
+def ordered_fingerprint(spark, sf_dir):
+    """Whole documents as a sequence: any two of them swapped change it, no partitioning does."""
+    said = gold.ordered_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["doc_id"])
+    return spark.createDataFrame([(said,)], "fingerprint string")
+
+
 @query("""SELECT user_id AS job_id, CASE WHEN user_id % 2 = 0 THEN 'i' || user_id END AS import_id, (CASE WHEN user_id % 2 = 0 THEN 10 ELSE 0 END)::BIGINT AS records_identified, CASE WHEN user_id % 2 = 0 THEN 'performed' ELSE 'not_performed' END AS deduplication_status,
   CASE WHEN user_id % 2 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 'lineage unavailable' ELSE 'fingerprint differs' END AS lineage_warning FROM (SELECT DISTINCT user_id FROM events)""")
 def import_lineage(spark, sf_dir):

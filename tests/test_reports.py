@@ -298,3 +298,29 @@ def test_questions_of_any_words():
         except ValueError:
             continue
         assert all(q[g.start : g.end] == g.text and g.components and g.terms for g in groups)
+
+
+def test_best_overlap_in_blocks(spark, monkeypatch):
+    from corpusmill.operators import boolean_query
+
+    words = ["the", "of", *(f"w{i}" for i in range(30))]
+    drafts = spark.createDataFrame([(i, [" ".join(words[(i * k) % 32] for k in range(1, 6))]) for i in range(50)] + [(90, ["zzz"]), (91, [])], "draft_id long, terms array<string>")
+    groups = spark.createDataFrame([(i, ["the of", " ".join(words[(i * 7 + k) % 32] for k in range(4))]) for i in range(40)], "group_id long, terms array<string>")
+    whole = sorted(map(tuple, boolean_query.best_overlap(drafts, groups).collect()))
+    monkeypatch.setattr(boolean_query, "MAX_INDEX", 50)
+    assert sorted(map(tuple, boolean_query.best_overlap(drafts, groups).collect())) == whole and whole[-2:] == [(90, None, 0), (91, None, 0)]
+
+
+def test_ordered_fingerprints(spark):
+    rows = [(i, f"text {i % 40}") for i in range(500)]
+    whole = spark.createDataFrame(rows, "k long, t string")
+    said = gold.ordered_fingerprint(whole, ["k"])
+    assert said.startswith("500:")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert gold.ordered_fingerprint(whole.repartition(7, "t"), ["k"]) == said
+        swapped = [(i, rows[{3: 4, 4: 3}.get(i, i)][1]) for i in range(500)]
+        assert gold.ordered_fingerprint(spark.createDataFrame(swapped, "k long, t string"), ["k"]) != said
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert gold.ordered_fingerprint(whole.limit(0), ["k"]) == "0:0:0"
