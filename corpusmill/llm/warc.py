@@ -14,7 +14,8 @@ between as a quarantined gap.
 
 Defined cases: a null html is an empty payload; rows with equal id and payload
 are all responses if the id is the largest; a null id loses to any other id; very long
-payloads are written and read whole, up to ``MAX_RECORD`` bytes a record; an empty table
+payloads are written and read whole, whatever their size (a record is held in memory; a member that
+inflates beyond the length its own header declares is quarantined, so a bomb cannot take a worker); an empty table
 gives no rows; extra columns are ignored, whatever their names.
 """
 
@@ -36,12 +37,10 @@ from corpusmill.llm.common import forget, materialise, shared_dir, ship, with_fa
 
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 18
-#: A member that inflates to more is taken for a broken one, so that a bomb cannot take a worker.
-MAX_RECORD = 1 << 30
 LEVEL = 4
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
-#: Bytes in which the header of an uncompressed record must end; a version line without such an end is quarantined.
+#: Bytes in which the header of a record must end; what has no such end is quarantined.
 MAX_HEADER = 1 << 26
 DATE = "2024-01-01T00:00:00Z"
 
@@ -181,9 +180,20 @@ def parse_record(data: bytes) -> dict:
     }
 
 
+def _declared(data: bytes) -> int | None:
+    """Bytes of the record that begins with ``data``, by its own header; None while the header goes on."""
+    cut = data.find(b"\r\n\r\n")
+    if cut < 0:
+        return None
+    length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", data[:cut].replace(b"\r", b""))
+    if not length:
+        raise BadRecord("no content length")
+    return cut + 4 + int(length[1]) + 4
+
+
 def _member_at(window: _Window, at: int) -> tuple[bytes, int]:
     """Content of the gzip member at ``at``, and where it ends."""
-    unpack, out, here, size = zlib.decompressobj(31), [], at, 0
+    unpack, out, here, size, limit = zlib.decompressobj(31), [], at, 0, None
     try:
         while not unpack.eof:
             part = window.get(here, CHUNK)
@@ -193,8 +203,10 @@ def _member_at(window: _Window, at: int) -> tuple[bytes, int]:
             while True:
                 out.append(unpack.decompress(part, CHUNK))
                 size, part = size + len(out[-1]), unpack.unconsumed_tail
-                if size > MAX_RECORD:
-                    raise BadRecord("a member larger than any record")
+                if limit is None:
+                    limit = _declared(b"".join(out))
+                if size > (MAX_HEADER if limit is None else limit):
+                    raise BadRecord("no end of header" if limit is None else "a member larger than its record")
                 if not part and len(out[-1]) < CHUNK:
                     break
             here -= len(unpack.unused_data)
@@ -210,10 +222,7 @@ def _plain_at(window: _Window, at: int) -> tuple[bytes, int]:
         if size >= MAX_HEADER or len(window.get(at, size)) < size:
             raise BadRecord("no end of header")
         size *= 2
-    length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", window.get(at, cut).replace(b"\r", b""))
-    if not length:
-        raise BadRecord("no content length")
-    total = cut + 4 + int(length[1]) + 4
+    total = _declared(window.get(at, cut + 4))
     if len(window.get(at + total - 4, 4)) < 4:
         raise BadRecord("truncated record")
     return window.get(at, total), at + total

@@ -71,10 +71,33 @@ def test_very_long_pages(spark):
 def test_a_bomb_is_quarantined(monkeypatch):
     import io
 
-    monkeypatch.setattr(warc, "MAX_RECORD", 1 << 20)
+    monkeypatch.setattr(warc, "MAX_HEADER", 1 << 20)
     good = warc.member(warc.record_bytes(1, "u", b"x", warc.base32_sha1(b"x"), None))
     got = [(x["kind"], x.get("record_id")) for x in warc.salvage(io.BytesIO(warc.member(b"\0" * (1 << 24)) + good))]
     assert got == [("gap", None), ("record", "<urn:page:1>")]
+    # a header that declares less than the member inflates to
+    forged = warc.record_bytes(2, "u", b"y", warc.base32_sha1(b"y"), None) + b"\0" * (1 << 24)
+    unpacked = []
+    real = warc.zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.own = real(bits)
+
+        def decompress(self, *a):
+            unpacked.append(len(out := self.own.decompress(*a)))
+            return out
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    got = [(x["kind"], x.get("reason")) for x in warc.salvage(io.BytesIO(warc.member(forged)))]
+    assert got == [("gap", "a member larger than its record")] and sum(unpacked) <= 3 * warc.CHUNK
+    # and a large record is read whole
+    big = bytes(range(256)) * (1 << 16)
+    got = list(warc.salvage(io.BytesIO(warc.member(warc.record_bytes(3, "u", big, warc.base32_sha1(big), None)))))
+    assert [(x["kind"], x["payload_bytes"]) for x in got] == [("record", 1 << 24)]
 
 
 def test_facts_of_hot_keys(spark):
