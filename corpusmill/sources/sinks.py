@@ -11,12 +11,14 @@ import os
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import has_value, stripped
 from corpusmill.operators import review
 from corpusmill.operators.frames import persisted
+from corpusmill.operators.gold import BLIND
+from corpusmill.sources import ingest
 
 
 #: Names of the parts of an export.
@@ -86,6 +88,24 @@ def write_once(value: dict, path: str) -> bool:
     return True
 
 
+def write_validation_set(header: dict, manifest: DataFrame, labels: DataFrame, root: str) -> None:
+    """A validation set as files: labels for people (CSV), and apart from them the private manifest and its header (JSON).
+
+    The header comes last, so a set without one is unfinished and cannot be read.
+    """
+    spark = manifest.sparkSession
+    write_csv(labels, f"{root}/labels", [F.col("Source_Row_Index")])
+    manifest.write.mode("overwrite").json(f"{root}/private/manifest")
+    spark.createDataFrame([(json.dumps(header, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/private/header")
+
+
+def read_validation_set(spark: SparkSession, root: str) -> tuple[dict, DataFrame, DataFrame]:
+    """(header, manifest, labels) as :func:`write_validation_set` left them, labels with what people have filled in."""
+    header = json.loads(spark.read.text(f"{root}/private/header").first()["value"])
+    schema = "draw long, model_decision string, sampling_weight double, " + ", ".join(f"`{c}` string" for c in BLIND)
+    return header, spark.read.schema(schema).json(f"{root}/private/manifest"), ingest.read_csv(spark, f"{root}/labels")
+
+
 def export_pack(run: DataFrame, root: str, job_id: str, protocol_inputs: dict | None = None) -> dict:
     """All, keep, maybe, reject, review queue and summary of a run under ``root``/``job_id``; returns the counts.
 
