@@ -172,18 +172,18 @@ def test_entry_and_registry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["csv_round_trip", "merge_files", "json_documents", "export_pack", "validation_labels", "question_forms", "rubric_rules", "bisect_retry", "stream_screen", "criteria_screen", "cascade_screen", "query_generation", "collection_integrity", "best_overlap_match", "manual_overrides", "dedup_group_counts", "boolean_compile", "merge_truth_table", "interval_match", "bootstrap_ci", "batch_validation"])
+@pytest.mark.parametrize("name", ["csv_round_trip", "merge_files", "json_documents", "export_pack", "validation_labels", "question_forms", "rubric_rules", "bisect_retry", "stream_screen", "criteria_screen", "cascade_screen", "query_generation", "collection_integrity", "best_overlap_match", "manual_overrides", "dedup_group_counts", "boolean_compile", "merge_truth_table", "interval_match", "bootstrap_ci", "batch_validation", "bootstrap_ci_whole", "failure_levels", "exact_evidence", "ordered_fingerprint", "protocol_anchoring", "platform_queries", "proposal_checks", "distinct_lines", "run_refusals", "header_fields"])
 def test_sql_agrees(spark, name):
     import duckdb
 
-    from corpusmill.plans import runs  # noqa: F401  registers its queries
+    from corpusmill.plans import checks, runs  # noqa: F401  they register their queries
     from corpusmill.plans.queries import QUERIES, SQL
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("no driver tables")
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages", "events", "conversations"):
+    for t in ("documents", "labels", "benchmark", "pages", "events", "conversations", "customer", "supplier"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     ours = QUERIES[name](spark, sf)
     theirs = con.execute(SQL[name])
