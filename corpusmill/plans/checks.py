@@ -8,7 +8,7 @@ from corpusmill.operators import audit, boolean_query, gold
 from corpusmill.operators.frames import new_folder
 from corpusmill.plans.queries import query
 from corpusmill.plans.tables import SCREENED, screened, table
-from corpusmill.sources import ingest, sinks
+from corpusmill.sources import ingest, packs, sinks
 from corpusmill.streaming import incremental
 
 CONCEPTS = "array<struct<label:string,balanced_terms:array<string>,high_recall_terms:array<string>>>"
@@ -122,3 +122,22 @@ def header_fields(spark, sf_dir):
         part = t.select(F.lit(name).alias("name"), F.col(key).cast("long").alias("key"), F.col(found).alias("value"), (F.col(other[0]) if other else F.lit(None).cast("string")).alias("aliased"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(f"""SELECT p.part, s.Source_Row_Index, s.Decision, sha256(coalesce(s.Abstract, '')) AS abstract_sha FROM {SCREENED} s, (SELECT unnest(['all', 'keep', 'maybe', 'reject']) AS part) p WHERE p.part = 'all' OR p.part = lower(s.Decision)""")
+def published_pack(spark, sf_dir):
+    """Parts of a run published as a pack; a later run that dies in one of its parts leaves them as they were."""
+    run = screened(spark, sf_dir).select("Source_Row_Index", "Decision", "Abstract")
+    root = new_folder(spark, "published")
+    packs.publish({"all": run} | {d: run.where(F.lower("Decision") == d) for d in ("keep", "maybe", "reject")}, root)
+    dying = run.withColumn("Abstract", F.when(F.col("Decision") == "KEEP", F.raise_error(F.lit("the run dies"))).otherwise(F.col("Abstract")))
+    try:
+        packs.publish({"all": run.where("Decision <> 'KEEP'"), "keep": dying}, root)
+    except Exception as e:
+        if "the run dies" not in str(e):
+            raise
+    out = None
+    for part in ("all", "keep", "maybe", "reject"):
+        rows = packs.read_part(spark, root, part).select(F.lit(part).alias("part"), "Source_Row_Index", "Decision", F.sha2(F.coalesce("Abstract", F.lit("")).cast("binary"), 256).alias("abstract_sha"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
