@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusmill.operators import audit, boolean_query, gold
-from corpusmill.operators.frames import new_folder
+from corpusmill.operators.frames import new_folder, persisted
 from corpusmill.plans.queries import query
 from corpusmill.plans.tables import SCREENED, screened, table
-from corpusmill.sources import ingest, packs, sinks
+from corpusmill.sources import ingest, packs, sinks, workbooks
 from corpusmill.streaming import incremental
 
 CONCEPTS = "array<struct<label:string,balanced_terms:array<string>,high_recall_terms:array<string>>>"
@@ -141,3 +142,18 @@ def published_pack(spark, sf_dir):
         rows = packs.read_part(spark, root, part).select(F.lit(part).alias("part"), "Source_Row_Index", "Decision", F.sha2(F.coalesce("Abstract", F.lit("")).cast("binary"), 256).alias("abstract_sha"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS text_sha, coalesce(lang, '') AS lang, '' AS missing FROM documents WHERE doc_id IS NOT NULL")
+def workbook_rows(spark, sf_dir):
+    """Whole texts put into workbooks of some 200 rows, whose headers differ in order and case, and read back."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.floor(F.col("doc_id") / 200).alias("book"))
+
+    def made(key, pdf):
+        names = ["doc_id", "text", "lang"] if key[0] % 2 else ["LANG", "Text ", "doc_id"]
+        rows = pdf[[n.lower().strip() for n in names]].to_numpy().tolist()
+        return pd.DataFrame({"path": [f"book-{key[0]}.xlsx"], "content": [workbooks.workbook([names, *rows])]})
+
+    files = d.groupBy("book").applyInPandas(made, "path string, content binary")
+    back = workbooks.named_rows(persisted(workbooks.parse_workbooks(files)), ["doc_id", "text", "lang", "missing"])
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), "lang", "missing")

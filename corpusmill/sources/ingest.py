@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import has_value, stripped, text
-from corpusmill.sources import csv_records
+from corpusmill.sources import csv_records, workbooks
 
 #: The canonical columns, in order.
 CANONICAL = ("Authors", "Title", "Year", "Source title", "Cited by", "DOI", "Link", "Abstract")
@@ -96,7 +96,7 @@ def read_csv(spark: SparkSession, path: str | list[str], na_as_blank: bool = Fal
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """First sheet of a workbook as text; the file is read on the driver (its library is optional)."""
+    """First sheet of a workbook of any age as text; the file is read on the driver (its library is optional)."""
     import pandas as pd
 
     try:
@@ -107,6 +107,19 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(table.astype(str))
 
 
+def read_workbook(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """First sheet of an .xlsx workbook as text under its header; ``place`` names a column of the rows' order. No other library is needed."""
+    parsed = workbooks.parse_workbooks(spark.read.format("binaryFile").load(path))
+    head = parsed.where("row = 0 or error is not null").limit(1).collect()
+    if head and head[0]["error"]:
+        raise ValueError(f"{path} is no readable workbook: {head[0]['error']}")
+    if not head:
+        return spark.createDataFrame([], f"`{place}` long" if place else "")
+    names = csv_records.safe_names([c.strip() for c in head[0]["cells"]])
+    rows = parsed.where("row > 0")
+    return rows.select(*([F.col("row").alias(place)] if place else []), *[text(F.get("cells", F.lit(k))).alias(n) for k, n in enumerate(names)])
+
+
 def read_json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document as a row; missing or broken files give a row of nulls."""
     try:
@@ -124,7 +137,9 @@ def merge_exports(spark: SparkSession, paths: list[str]) -> DataFrame:
         low = path.lower()
         if low.endswith(".csv"):
             raw = read_csv(spark, path, na_as_blank=True, place="row_idx")
-        elif low.endswith((".xls", ".xlsx")):
+        elif low.endswith(".xlsx"):
+            raw = read_workbook(spark, path, place="row_idx")
+        elif low.endswith(".xls"):
             raw = read_excel(spark, path).withColumn("row_idx", F.monotonically_increasing_id())
         else:
             continue
