@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from corpusmill.operators import audit, boolean_query, gold
+from corpusmill.operators import audit, boolean_query, gold, reconcile
 from corpusmill.operators.frames import new_folder, persisted
 from corpusmill.plans.queries import query
 from corpusmill.plans.tables import SCREENED, screened, table
@@ -157,3 +157,11 @@ def workbook_rows(spark, sf_dir):
     files = d.groupBy("book").applyInPandas(made, "path string, content binary")
     back = workbooks.named_rows(persisted(workbooks.parse_workbooks(files)), ["doc_id", "text", "lang", "missing"])
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"), "lang", "missing")
+
+
+@query("""SELECT doc_id, 'missing' AS side FROM documents WHERE n_chars % 97 = 0 UNION ALL SELECT doc_id + 1000000000, 'unexpected' FROM documents WHERE n_chars % 89 = 0""")
+def set_reconcile(spark, sf_dir):
+    """Ids that a copy of the documents lacks or has more, peeled off a table of cells instead of joining both sets."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    copy = d.where("n_chars % 97 <> 0").select("doc_id").unionByName(d.where("n_chars % 89 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id")))
+    return reconcile.reconcile(d.select("doc_id"), copy, "doc_id")
