@@ -5,10 +5,13 @@ of letters, lower-cased, with a boundary mark on both sides) are counted per
 language and partition with a bounded table, cut into n-grams of the highest
 order, and summed by Spark over the 64-bit hash of the n-gram. Lower orders hold
 Kneser-Ney continuation counts, which Spark groups as well, and the totals of every
-context. A model holds the most frequent n-grams of each language and order, as many
-as ``MODEL_CELLS`` allows, which bounds what reaches the driver and the workers; any
-other n-gram is scored as one not seen, by its back-off. They are kept in sorted hash
-arrays with interpolated log-probabilities.
+context. Joins of one order with the next give the interpolated log-probabilities, and
+executors write them, every n-gram of every language, as sorted hash arrays: leaves of
+about ``LEAF_ENTRIES`` entries by the last bits of the hash, in the folder of
+``spark.checkpoint.dir``. The driver knows only their number. A worker holds the leaves
+it used last, up to ``HELD_BYTES``; a larger model is read leaf by leaf for the new words
+of a batch, so its size changes the time and never the result. The leaves stay until the
+shared folder is cleared, since the returned plan reads them.
 
 A document is scored word by word (a bounded cache holds the words met before),
 each language gets a cross-entropy per character, and the lowest one wins. The
@@ -26,20 +29,28 @@ names.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+import uuid
+from collections import Counter, OrderedDict, defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import forget, id_remainder, materialise, ship
+from corpusmill.llm.common import forget, id_remainder, materialise, shared_dir, ship
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Probabilities of a model (n-grams of three orders times languages), at most.
-MODEL_CELLS = 1 << 24
+#: Tables of a model: n-grams of each order, contexts of each order from 2 on.
+TABLES = 2 * ORDER - 1
+#: Entries of a leaf, about, and bytes of the leaves that a worker holds.
+LEAF_ENTRIES = 1 << 20
+HELD_BYTES = 256 << 20
+#: Values (characters times languages) scored in one step.
+BLOCK_CELLS = 4_000_000
 #: One in so many training texts, by a hash of the id, calibrates the score of the others' model.
 CALIBRATION = 10
 #: Distinct words held before a partition's counts are passed on.
@@ -102,7 +113,7 @@ KEYS = [f"h{k}" for k in range(1, ORDER + 1)] + [f"c{k}" for k in range(1, ORDER
 
 
 def corpus_counts(rows: DataFrame) -> DataFrame:
-    """(lang, part, keys, n): n-gram counts of all ``rows`` of text, lang and part."""
+    """(lang, keys, n0, n): n-gram counts of the ``rows`` (text, lang, part) of part 0, and of all of them."""
 
     def run(batches):
         tables: dict[tuple, Counter] = defaultdict(Counter)
@@ -126,44 +137,49 @@ def corpus_counts(rows: DataFrame) -> DataFrame:
         yield from flush()
 
     schema = ", ".join(f"{k} long" for k in KEYS) + ", n long, lang string, part int"
-    return rows.select("text", "lang", "part").mapInPandas(run, schema).groupBy("lang", "part", *KEYS).agg(F.sum("n").alias("n"))
-
-
-def _least_counts(level: DataFrame, order: int, share: int) -> DataFrame:
-    """Rows of the most frequent n-grams of each language: whole classes of counts, ``share`` n-grams at most."""
-    kind = F.floor(F.log2("n") * 8).alias("kind")
-    sizes = level.groupBy("lang", kind).count().toPandas().sort_values(["lang", "kind"], ascending=[True, False])  # 8 rows a doubling
-    sizes["above"] = sizes.groupby("lang")["count"].cumsum()
-    least = sizes[sizes["above"] <= share].groupby("lang")["kind"].min()
-    if (sizes["above"] <= share).all():
-        return level
-    known = [F.when(F.col("lang") == lang, F.lit(int(k))) for lang, k in least.items()]
-    return level.where(F.floor(F.log2("n") * 8) >= F.coalesce(*known, F.lit(1 << 30)))
-
-
-def model_rows(counts: DataFrame) -> pd.DataFrame:
-    """Kept n-grams of all orders (order, lang, keys, n, total and kinds of the context) from (lang, keys, n)."""
-    level = materialise(counts.groupBy("lang", *KEYS).agg(F.sum("n").alias("n")), "language-grams")
-    made = [level]
-    langs = level.select("lang").distinct().count()
-    share = max(1_000, MODEL_CELLS // (ORDER * max(1, langs) ** 2))
-    parts = []
-    for order in range(ORDER, 0, -1):
+    first = F.sum(F.when(F.col("part") == 0, F.col("n")).otherwise(0))
+    return rows.select("text", "lang", "part").mapInPandas(run, schema).groupBy("lang", *KEYS).agg(first.alias("n0"), F.sum("n").alias("n"))
+
+
+def _log(p):
+    return F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))).cast("float")
+
+
+def model_entries(grams: DataFrame) -> DataFrame:
+    """(model, lang, kind, h, value): what each model knows, from n-gram counts (lang, keys, n0, n).
+
+    ``n0`` counts the n-grams of model 0, ``n`` those of model 1. Kind k < ORDER is the
+    log-probability of an n-gram of k + 1 characters, kind ORDER + k the log back-off
+    weight of a context of k + 1. Every n-gram of an order ends in one of the order below,
+    so the interpolation is a join of one order with the next.
+    """
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(n).alias("n")) for m, n in enumerate(("n0", "n"))])).alias("m")
+    level = grams.select("lang", *KEYS, models).select("lang", *KEYS, "m.*").where("n > 0")
+    levels = {ORDER: level}
+    for order in range(ORDER - 1, 0, -1):  # continuation counts: how many distinct longer n-grams end in this one
         keys = [f"h{k}" for k in range(1, order + 1)] + [f"c{k}" for k in range(1, order)]
-        if order < ORDER:  # continuation counts: how many distinct longer n-grams end in this one
-            level = level.groupBy("lang", *keys).agg(F.count("*").alias("n"))
-            if order == ORDER - 1:
-                made.append(level := materialise(level, "language-grams"))
-        kept = _least_counts(level, order, share)
+        level = level.groupBy("model", "lang", *keys).agg(F.count("*").alias("n"))
+        levels[order] = level = materialise(level, "language-grams") if order == ORDER - 1 else level
+    kept, made = [], [levels[ORDER - 1]]
+    totals = levels[1].groupBy("model", "lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    probable = F.col("n") / F.col("total") * 0.999 + 0.001 / (F.col("kinds") + 1000)
+    known = levels[1].join(totals, ["model", "lang"]).select("model", "lang", "h1", probable.alias("p"))
+    for order in range(1, ORDER + 1):
         if order > 1:
             context = f"c{order - 1}"
-            totals = level.groupBy("lang", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-            kept = kept.join(totals, ["lang", context])
-        else:
-            kept = kept.withColumns({"total": F.lit(0).cast("long"), "kinds": F.lit(0).cast("long")})
-        missing = {k: F.lit(0).cast("long") for k in KEYS if k not in keys}
-        parts.append(kept.withColumns(missing).select(F.lit(order).alias("order"), "lang", *KEYS, "n", "total", "kinds").toPandas())  # bounded by ``share``
-    out = pd.concat(parts, ignore_index=True)
+            totals = levels[order].groupBy("model", "lang", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            weight = F.col("kinds") * DISCOUNT / F.col("total")
+            kept.append(totals.select("model", "lang", F.lit(ORDER + order - 2).alias("kind"), F.col(context).alias("h"), _log(weight).alias("value")))
+            p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + weight * F.col("p")
+            lower = levels[order].join(totals, ["model", "lang", context]).join(known, ["model", "lang", f"h{order - 1}"])
+            known = lower.select("model", "lang", f"h{order}", p.alias("p"))
+        if 1 < order < ORDER:  # the next order and the model read it
+            made.append(known := materialise(known, "language-grams"))
+        kept.append(known.select("model", "lang", F.lit(order - 1).alias("kind"), F.col(f"h{order}").alias("h"), _log(F.col("p")).alias("value")))
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    out = materialise(out, "language-entries")
     for done in made:
         forget(done)
     return out
@@ -171,104 +187,129 @@ def model_rows(counts: DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Models:
-    """Sorted hash arrays per order, with a column per language.
+    """Two models as leaves of sorted hash arrays in the shared folder; nothing of their size is held here.
 
-    ``grams[n - 1]``: hashes and log-probabilities (NaN: not in that language);
-    ``backs[n - 2]``: hashes of contexts and log back-off weights (0: not seen).
+    A leaf holds the entries whose hash has its number as the last bits: rows (table, h)
+    in order, with the languages that know the hash and their values.
     """
 
     langs: list[str]
-    grams: list = field(default_factory=list)
-    backs: list = field(default_factory=list)
-    floor: float = float(np.log(FLOOR))
-    curve: tuple[float, float] = (0.0, 4.0)
-
-
-class Lookup:
-    """Rows of a sorted hash array; a hash it lacks gets the last row."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: float):
-        self.keys = np.append(keys, np.iinfo(np.int64).max)  # so that every place is a row
-        self.values = np.vstack([values, np.full((1, values.shape[1]), missing)]).astype(np.float32)
-        self.absent = len(keys)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, hashes)
-        return self.values[np.where(self.keys[at] == hashes, at, self.absent)]
+    path: str = ""
+    leaves: int = 1
+    first: bool = False  # whether model 0 knows anything
+
+
+def build(grams: DataFrame) -> Models:
+    """Both models of the n-gram counts, computed, sorted and written by the executors."""
+    found = grams.groupBy("lang").agg(F.max("n0").alias("n0")).orderBy("lang").collect()  # one row a language
+    if not found:
+        return Models([])
+    langs = [r["lang"] for r in found]
+    entries = model_entries(grams)
+    leaves = 1 << max(0, (entries.count() - 1) // LEAF_ENTRIES).bit_length()
+    table = (F.col("model") * TABLES + F.col("kind")).cast("int").alias("table")
+    number = (F.array_position(F.lit(langs), F.col("lang")) - 1).cast("int")
+    own = F.struct(number.alias("lang"), "value")
+    rows = entries.select(F.col("h").bitwiseAND(leaves - 1).cast("int").alias("leaf"), table, "h", own.alias("own"))
+    # one row a language at most; grouped, sorted and written after one shuffle by leaf
+    rows = rows.repartition(leaves, "leaf").groupBy("leaf", "table", "h").agg(F.sort_array(F.collect_list("own")).alias("own"))
+    rows = rows.select("leaf", "table", "h", F.col("own.lang").alias("langs"), F.col("own.value").alias("values")).sortWithinPartitions("leaf", "table", "h")
+    path = f"{shared_dir(grams.sparkSession)}/language-model-{uuid.uuid4().hex}"
+    rows.write.partitionBy("leaf").parquet(path)
+    forget(entries)
+    return Models(langs, path, leaves, any(r["n0"] for r in found))
+
+
+class Leaves:
+    """Leaves read by a worker, the latest used ones up to ``HELD_BYTES``, whatever the size of the models."""
+
+    def __init__(self):
+        self.held: OrderedDict = OrderedDict()
+        self.size = 0
+
+    def __call__(self, path: str, leaf: int) -> dict:
+        key = path, leaf
+        if key not in self.held:
+            self.held[key] = got = self.read(f"{path}/leaf={leaf}")
+            self.size += got["bytes"]
+            while self.size > HELD_BYTES and len(self.held) > 1:
+                self.size -= self.held.popitem(last=False)[1]["bytes"]
+        self.held.move_to_end(key)
+        return self.held[key]
+
+    @staticmethod
+    def read(path: str) -> dict:
+        """Arrays of each table of a leaf: hashes, where their entries end, languages and values."""
+        store, at = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        if store.get_file_info(at).type == fs.FileType.NotFound:  # no hash has these bits
+            return {"bytes": 0}
+        rows = pq.read_table(at, filesystem=store, columns=["table", "h", "langs", "values"], partitioning=None)
+        tables = rows["table"].to_numpy()
+        langs, values = rows["langs"].combine_chunks(), rows["values"].combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(langs.value_lengths().to_numpy())])
+        hashes, flat, numbers = rows["h"].to_numpy(), langs.flatten().to_numpy(), values.flatten().to_numpy()
+        out: dict = {"bytes": hashes.nbytes + ends.nbytes + flat.nbytes + numbers.nbytes}
+        for table in np.unique(tables):
+            lo, hi = np.searchsorted(tables, [table, table + 1])
+            out[int(table)] = hashes[lo:hi], ends[lo : hi + 1], flat, numbers
+        return out
+
+
+#: Shared by the tasks that a worker process runs one after the other.
+_leaves = Leaves()
 
 
 class WordModel:
     """Scores words: the longest n-gram known, and the back-off weights above it."""
 
-    def __init__(self, models: Models):
-        self.models = models
-        self.grams = [Lookup(k, v, np.nan) for k, v in models.grams]
-        self.backs = [Lookup(k, v, 0.0) for k, v in models.backs]
+    def __init__(self, models: Models, which: int):
+        self.models, self.which = models, which
+
+    def entries(self, kind: int, hashes: np.ndarray):
+        """(position, language, value) arrays of all that the model knows of ``hashes``, leaf by leaf."""
+        leaf_of = hashes & (self.models.leaves - 1)
+        for leaf in np.unique(leaf_of):
+            table = _leaves(self.models.path, int(leaf)).get(self.which * TABLES + kind)
+            if table is None:
+                continue
+            keys, ends, langs, values = table
+            at = np.flatnonzero(leaf_of == leaf)
+            row = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
+            found = keys[row] == hashes[at]
+            at, row = at[found], row[found]
+            sizes = ends[row + 1] - ends[row]
+            flat = np.arange(sizes.sum()) + np.repeat(ends[row] - np.cumsum(sizes) + sizes, sizes)
+            yield np.repeat(at, sizes), langs[flat], values[flat]
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Summed log-probability of each word (rows) in each language (columns)."""
+        """Summed log-probability of each word (rows) in each language (columns), in steps of ``BLOCK_CELLS`` values."""
         codes, starts = _codes(words)
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-        spots = _spots(starts, lengths)
+        spots, owners = _spots(starts, lengths), np.repeat(np.arange(len(words)), lengths)
         before = np.concatenate([np.zeros(1, dtype=np.uint64), codes])[: len(codes)]
-        out = np.full((len(spots), len(self.models.langs)), self.models.floor, dtype=np.float32)
-        for n in range(1, ORDER + 1):
-            if n > 1:
-                out += self.backs[n - 2](_hash(before, n - 1)[spots])
-            known = self.grams[n - 1](_hash(codes, n)[spots])
-            np.copyto(out, known, where=~np.isnan(known))
-        return np.add.reduceat(out, np.cumsum(lengths) - lengths, axis=0, dtype=np.float64)
-
-
-def build(rows: pd.DataFrame) -> Models:
-    """Interpolated Kneser-Ney from the rows of :func:`model_rows`."""
-    langs = sorted(rows["lang"].unique())
-    grams, backs = [[] for _ in range(ORDER)], [[] for _ in range(ORDER - 1)]
-    for lang in langs:
-        own = rows[rows["lang"] == lang]
-        known: list[pd.Series] = []  # probability by hash, per order
-        weight: list[pd.Series] = []  # back-off by context, per order from 2 on
-
-        def below(table: pd.DataFrame, n: int, known=known, weight=weight) -> np.ndarray:
-            """Probability of the suffix of ``n`` characters, by back-off where it was not kept."""
-            if not n:
-                return np.full(len(table), FLOOR)
-            p = known[n - 1].reindex(table[f"h{n}"]).to_numpy()
-            lost = np.isnan(p)
-            if lost.any():
-                part = table[lost]
-                back = weight[n - 2].reindex(part[f"c{n - 1}"]).fillna(1.0).to_numpy() if n > 1 else 1.0
-                p[lost] = back * below(part, n - 1)
-            return p
-
-        one = own[own["order"] == 1].groupby("h1")["n"].sum()
-        known.append((one / one.sum()) * 0.999 + 0.001 / (len(one) + 1000))
-        for n in range(2, ORDER + 1):
-            table, context = own[own["order"] == n], f"c{n - 1}"
-            total = table.groupby(context)[["total", "kinds"]].first()
-            weight.append(DISCOUNT * total["kinds"] / total["total"])
-            p = (table["n"] - DISCOUNT).clip(lower=0).to_numpy() / table["total"].to_numpy() + weight[-1].reindex(table[context]).to_numpy() * below(table, n - 1)
-            known.append(pd.Series(p, index=table[f"h{n}"].to_numpy()))
-        for n, p in enumerate(known):
-            grams[n].append(np.log(p.clip(1e-12, 1.0)))
-        for n, w in enumerate(weight):
-            backs[n].append(np.log(w.clip(1e-12, 1.0)))
-    return Models(langs, [_sorted(x, np.nan) for x in grams], [_sorted(x, 0.0) for x in backs])
-
-
-def _sorted(columns: list[pd.Series], missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """One sorted hash array for all languages, and a column of values for each."""
-    if not columns:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32)
-    table = pd.concat(columns, axis=1).sort_index().fillna(missing)
-    return table.index.to_numpy().astype(np.int64), table.to_numpy(dtype=np.float32)
+        grams = [_hash(codes, n)[spots] for n in range(1, ORDER + 1)]
+        contexts = [_hash(before, n)[spots] for n in range(1, ORDER)]
+        total = np.zeros((len(words), len(self.models.langs)))
+        step = max(1, BLOCK_CELLS // len(self.models.langs))
+        for lo in range(0, len(spots), step):
+            part = slice(lo, lo + step)
+            out = np.full((len(spots[part]), len(self.models.langs)), np.log(FLOOR), dtype=np.float32)
+            for n in range(1, ORDER + 1):
+                if n > 1:
+                    for at, lang, value in self.entries(ORDER + n - 2, contexts[n - 2][part]):
+                        out[at, lang] += value
+                for at, lang, value in self.entries(n - 1, grams[n - 1][part]):
+                    out[at, lang] = value
+            first = np.flatnonzero(np.diff(owners[part], prepend=-1))
+            total[owners[part][first]] += np.add.reduceat(out, first, axis=0, dtype=np.float64)
+        return total
 
 
 class Scorer:
     """Cross-entropies of texts, with a bounded cache of word scores."""
 
-    def __init__(self, models: Models):
-        self.model, self.cache = WordModel(models), {}
+    def __init__(self, models: Models, which: int = 1):
+        self.model, self.cache = WordModel(models, which), {}
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character (rows: texts, columns: languages), and whether there are letters."""
@@ -319,20 +360,17 @@ def identify(docs: DataFrame, folds: int = 3, held_fold: int = 1, reject_below:
     ship(spark)
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATION)) == 0).cast("int").alias("part")
     train = docs.where((id_remainder("doc_id", folds) != held_fold) & F.col("lang").isNotNull()).select("doc_id", "text", "lang", part)
-    counts = materialise(corpus_counts(train), "language-counts")
-    first = build(model_rows(counts.where("part = 0")))
-    models = build(model_rows(counts))
+    grams = materialise(corpus_counts(train), "language-counts")
+    models = build(grams)
+    forget(grams)
     if not models.langs:
-        forget(counts)
         return docs.select(F.col("doc_id").cast("long"), (id_remainder("doc_id", folds) == held_fold).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    forget(counts)
-    models.curve = _calibrated(first, train.where("part = 1")) if first.langs else models.curve
-    final = spark.sparkContext.broadcast(models)
+    curve = _calibrated(models, train.where("part = 1")) if models.first else (0.0, 4.0)
 
     def run(batches):
-        scorer = Scorer(final.value)
-        names = np.array(final.value.langs, dtype=object)
-        a, b = final.value.curve
+        scorer = Scorer(models)
+        names = np.array(models.langs, dtype=object)
+        a, b = curve
         for pdf in batches:
             entropy, found = scorer.entropies(list(pdf["text"]))
             best, margin = _best(entropy)
@@ -346,11 +384,10 @@ def identify(docs: DataFrame, folds: int = 3, held_fold: int = 1, reject_below:
 
 def _calibrated(models: Models, unseen: DataFrame) -> tuple[float, float]:
     """The score curve from texts that the models have not seen, ``CURVE_ROWS`` ids at most."""
-    shipped = unseen.sparkSession.sparkContext.broadcast(models)
 
     def margins(batches):
-        scorer = Scorer(shipped.value)
-        index = {x: i for i, x in enumerate(shipped.value.langs)}
+        scorer = Scorer(models, 0)
+        index = {x: i for i, x in enumerate(models.langs)}
         for pdf in batches:
             entropy, found = scorer.entropies(list(pdf["text"]))
             best, margin = _best(entropy)

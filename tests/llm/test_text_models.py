@@ -1,12 +1,14 @@
 """Toxic segments and language models."""
 
 import os
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusmill.llm import language_id as lang
 from corpusmill.llm import toxicity as tox
@@ -108,6 +110,8 @@ def kneser_ney(words, order, discount):
 
     def p(g):
         n = len(g)
+        if n == 1 and not counts[1][g]:
+            return lang.FLOOR
         if n == 1:
             return counts[1][g] / total[1][""] * 0.999 + 0.001 / (len(counts[1]) + 1000)
         c = g[:-1]
@@ -119,7 +123,7 @@ def kneser_ney(words, order, discount):
 
 
 def trained(spark, words):
-    return lang.build(lang.model_rows(spark.createDataFrame(lang.ngram_counts(words).assign(lang="x"))))
+    return lang.build(spark.createDataFrame(lang.ngram_counts(words).assign(lang="x")).withColumn("n0", F.col("n")))
 
 
 def test_word_scores_are_kneser_ney(spark):
@@ -127,20 +131,72 @@ def test_word_scores_are_kneser_ney(spark):
     models = trained(spark, words)
     score = kneser_ney(words, lang.ORDER, lang.DISCOUNT)
     asked = ["abra", "cab", "barca", "aaé", "éa"]
-    got = lang.WordModel(models).word_scores(asked)[:, 0]
-    assert np.allclose(got, [score(w) for w in asked], rtol=1e-4)
+    for which in (0, 1):
+        got = lang.WordModel(models, which).word_scores(asked)[:, 0]
+        assert np.allclose(got, [score(w) for w in asked], rtol=1e-4)
 
 
-def test_models_are_bounded(spark, monkeypatch):
+def test_leaves_change_nothing(spark, monkeypatch):
+    """Many leaves, one held at a time, and steps of one character give the scores of one leaf."""
     rng = np.random.default_rng(1)
     words = Counter("".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(3_000))
-    monkeypatch.setattr(lang, "MODEL_CELLS", 0)  # then 1,000 n-grams a language and order
-    rows = lang.model_rows(spark.createDataFrame(lang.ngram_counts(words).assign(lang="x")))
-    assert rows.groupby("order").size().max() <= 1_000 and (rows["order"] == 4).any()
-    small = lang.WordModel(lang.build(rows)).word_scores(["abcd", "jihg"])
-    monkeypatch.undo()
-    whole = lang.WordModel(trained(spark, words)).word_scores(["abcd", "jihg"])
-    assert np.isfinite(small).all() and np.abs(small - whole).max() < 6
+    asked = ["abcd", "jihg", "a", "ccccccccc", "xyz"]
+    whole = trained(spark, words)
+    one = lang.WordModel(whole, 1).word_scores(asked)
+    monkeypatch.setattr(lang, "LEAF_ENTRIES", 500)
+    monkeypatch.setattr(lang, "HELD_BYTES", 1)
+    monkeypatch.setattr(lang, "BLOCK_CELLS", 1)
+    monkeypatch.setattr(lang, "_leaves", lang.Leaves())
+    split = trained(spark, words)
+    assert whole.leaves == 1 and split.leaves >= 16
+    assert np.allclose(lang.WordModel(split, 1).word_scores(asked), one, rtol=1e-6)
+    assert len(lang._leaves.held) == 1
+
+
+def test_every_prediction_and_score(spark, frame):
+    """Sixty-four made languages: the whole result against plain dictionaries, and its accuracy."""
+    rng = np.random.default_rng(11)
+    names = [f"l{i:02d}" for i in range(64)]
+    sounds = {n: ["".join(rng.choice(list("abcdefghijklmnoprstuvz"), rng.integers(2, 4))) for _ in range(14)] for n in names}
+    rows = []
+    for i in range(64 * 14):
+        own = names[i % 64]
+        text = " ".join("".join(rng.choice(sounds[own], rng.integers(1, 4))) for _ in range(rng.integers(1, 25)))
+        rows.append((i, text if i % 97 else None, own if i % 31 else None))
+    docs = frame(rows, "doc_id long, text string, lang string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    part = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(lang.CALIBRATION))).collect()}
+    known = [(i, t, n) for i, t, n in rows if not held(i) and n is not None]
+    scorers = []
+    for used in ([r for r in known if part[r[0]]], known):
+        words = {n: Counter(w for _, t, m in used if m == n for w in (t or "").split()) for n in names}
+        scorers.append([kneser_ney(words[n], lang.ORDER, lang.DISCOUNT) if words[n] else None for n in names])
+    floor = np.log(lang.FLOOR)
+
+    def entropies(text, scorer):
+        size = sum(len(w) + 1 for w in text.split())
+        return np.array([-sum(s(w) if s else (len(w) + 1) * floor for w in text.split()) / size for s in scorer])
+
+    margins = []
+    for i, t, n in known:
+        if not part[i] and t:
+            e = np.sort(x := entropies(t, scorers[0]))
+            margins.append((np.floor((e[1] - e[0]) * 100 + 0.5) / 100, float(names[x.argmin()] == n)))
+    margins = np.array(sorted(margins))
+    a, b = lang._curve(margins[:, 0], margins[:, 1])
+    got = {r["doc_id"]: r for r in lang.identify(docs).collect()}
+    right = []
+    for i, t, n in rows:
+        if not t:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        e = entropies(t, scorers[1])
+        two = np.sort(e)[:2]
+        assert got[i]["held_out"] == held(i) and abs(got[i]["score"] - 1 / (1 + np.exp(-(a + b * (two[1] - two[0]))))) < 0.01
+        assert got[i]["lang_pred"] == names[e.argmin()] or two[1] - two[0] < 1e-4
+        if held(i) and n:
+            right.append(got[i]["lang_pred"] == n)
+    assert np.mean(right) > 0.9
 
 
 def test_languages_of_many_signs(frame):
