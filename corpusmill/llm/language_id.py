@@ -55,7 +55,7 @@ BLOCK_CELLS = 4_000_000
 CALIBRATION = 10
 #: Distinct words held before a partition's counts are passed on.
 WORD_TABLE = 200_000
-#: Words of the scoring cache.
+#: Words scored in one step; the cache of word scores holds twice as many at most.
 CACHE_WORDS = 300_000
 #: Rows whose margins fit the score curve, at most.
 CURVE_ROWS = 20_000
@@ -268,12 +268,12 @@ class WordModel:
     def entries(self, kind: int, hashes: np.ndarray):
         """(position, language, value) arrays of all that the model knows of ``hashes``, leaf by leaf."""
         leaf_of = hashes & (self.models.leaves - 1)
-        for leaf in np.unique(leaf_of):
+        for leaf in np.unique(leaf_of) if self.models.leaves > 1 else [0]:
             table = _leaves(self.models.path, int(leaf)).get(self.which * TABLES + kind)
             if table is None:
                 continue
             keys, ends, langs, values = table
-            at = np.flatnonzero(leaf_of == leaf)
+            at = np.flatnonzero(leaf_of == leaf)  # not empty
             row = np.minimum(np.searchsorted(keys, hashes[at]), len(keys) - 1)
             found = keys[row] == hashes[at]
             at, row = at[found], row[found]
@@ -309,27 +309,42 @@ class Scorer:
     """Cross-entropies of texts, with a bounded cache of word scores."""
 
     def __init__(self, models: Models, which: int = 1):
-        self.model, self.cache = WordModel(models, which), {}
+        self.model, self.langs = WordModel(models, which), len(models.langs)
+        self.step = max(1, min(CACHE_WORDS, BLOCK_CELLS // max(1, self.langs)))
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.scores = np.zeros((0, self.langs))
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Row of ``scores`` of each of at most ``step`` words; the cache holds twice as many at most."""
+        missing = [w for w in dict.fromkeys(words) if w not in self.row]
+        if missing and len(self.row) + len(missing) > self.step:
+            self.clear()
+            missing = list(dict.fromkeys(words))
+        if missing:
+            self.row.update(zip(missing, range(len(self.row), len(self.row) + len(missing)), strict=True))
+            self.scores = np.concatenate([self.scores, self.model.word_scores(missing)])
+        return np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character (rows: texts, columns: languages), and whether there are letters."""
         tables = [Counter(words_of(t)) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        missing = list({w for t in tables for w in t if w not in self.cache})
-        for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            self.cache.update(zip(part, self.model.word_scores(part), strict=True))
-        out = np.zeros((len(texts), len(self.model.models.langs)))
-        found = np.zeros(len(texts), dtype=bool)
-        for i, t in enumerate(tables):
-            if any(c.isalpha() for w in t for c in w):  # numerals such as superscripts are no letters
-                scores = np.array([self.cache[w] for w in t])
-                n = np.fromiter(t.values(), dtype=np.float64, count=len(t))
-                sizes = np.fromiter(map(len, t), dtype=np.float64, count=len(t)) + 1
-                out[i] = -(n @ scores) / (n @ sizes)
-                found[i] = True
-        return out, found
+        words = [w for t in tables for w in t]
+        n = np.fromiter((c for t in tables for c in t.values()), dtype=np.float64, count=len(words))
+        owners = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
+        total, sizes = np.zeros((len(texts), self.langs)), np.zeros(len(texts))
+        for lo in range(0, len(words), self.step):
+            part = slice(lo, lo + self.step)
+            rows, first = self.rows(words[part]), np.flatnonzero(np.diff(owners[part], prepend=-1))
+            who = owners[part][first]
+            total[who] += np.add.reduceat(self.scores[rows] * n[part, None], first, axis=0)
+            lengths = np.fromiter(map(len, words[part]), dtype=np.float64, count=len(rows)) + 1
+            sizes[who] += np.add.reduceat(lengths * n[part], first)
+        # numerals such as superscripts are no letters
+        found = np.fromiter((any(c.isalpha() for w in t for c in w) for t in tables), dtype=bool, count=len(tables))
+        return np.where(found[:, None], -total / np.maximum(sizes, 1)[:, None], 0.0), found
 
 
 def _best(entropy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
