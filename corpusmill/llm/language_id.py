@@ -50,13 +50,15 @@ TABLES = 2 * ORDER - 1
 LEAF_ENTRIES = 1 << 20
 HELD_BYTES = 256 << 20
 #: Values (characters times languages) scored in one step.
-BLOCK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
 #: One in so many training texts, by a hash of the id, calibrates the score of the others' model.
 CALIBRATION = 10
 #: Distinct words held before a partition's counts are passed on.
 WORD_TABLE = 200_000
-#: Words scored in one step; the cache of word scores holds twice as many at most.
-CACHE_WORDS = 300_000
+#: Words scored in one step, words of the scoring cache, and characters of the texts whose words are counted together.
+STEP_WORDS = 50_000
+CACHE_WORDS = 200_000
+GROUP_CHARS = 2_000_000
 #: Rows whose margins fit the score curve, at most.
 CURVE_ROWS = 20_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -104,9 +106,11 @@ def ngram_counts(counts: Counter) -> pd.DataFrame:
     # the context of the gram that ends at p is the gram, one shorter, that ends at p - 1
     before = np.concatenate([np.zeros(1, dtype=np.uint64), codes])
     contexts = [_hash(before[: len(codes)], k)[spots] for k in range(1, ORDER)]
-    frame = pd.DataFrame({f"h{k}": g for k, g in enumerate(grams, 1)} | {f"c{k}": c for k, c in enumerate(contexts, 1)} | {"n": n})
-    keys = [c for c in frame if c != "n"]
-    return frame.groupby(keys, sort=False, as_index=False)["n"].sum()
+    # the longest n-gram tells all others
+    _, first, which = np.unique(grams[-1], return_index=True, return_inverse=True)
+    total = np.zeros(len(first), dtype=np.int64)
+    np.add.at(total, which, n)
+    return pd.DataFrame({f"h{k}": g[first] for k, g in enumerate(grams, 1)} | {f"c{k}": c[first] for k, c in enumerate(contexts, 1)} | {"n": total})
 
 
 KEYS = [f"h{k}" for k in range(1, ORDER + 1)] + [f"c{k}" for k in range(1, ORDER)]
@@ -310,7 +314,7 @@ class Scorer:
 
     def __init__(self, models: Models, which: int = 1):
         self.model, self.langs = WordModel(models, which), len(models.langs)
-        self.step = max(1, min(CACHE_WORDS, BLOCK_CELLS // max(1, self.langs)))
+        self.step = max(1, min(STEP_WORDS, BLOCK_CELLS // max(1, self.langs)))
         self.clear()
 
     def clear(self) -> None:
@@ -318,9 +322,9 @@ class Scorer:
         self.scores = np.zeros((0, self.langs))
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Row of ``scores`` of each of at most ``step`` words; the cache holds twice as many at most."""
+        """Row of ``scores`` of each of at most ``step`` words."""
         missing = [w for w in dict.fromkeys(words) if w not in self.row]
-        if missing and len(self.row) + len(missing) > self.step:
+        if missing and len(self.row) + len(missing) > min(CACHE_WORDS, 4 * self.step):
             self.clear()
             missing = list(dict.fromkeys(words))
         if missing:
@@ -330,6 +334,12 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character (rows: texts, columns: languages), and whether there are letters."""
+        ends = np.cumsum([len(t or "") for t in texts]) // GROUP_CHARS
+        groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1)
+        parts = [self._entropies([texts[i] for i in g]) for g in groups]
+        return np.concatenate([e for e, _ in parts]), np.concatenate([f for _, f in parts])
+
+    def _entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         tables = [Counter(words_of(t)) for t in texts]
         words = [w for t in tables for w in t]
         n = np.fromiter((c for t in tables for c in t.values()), dtype=np.float64, count=len(words))
