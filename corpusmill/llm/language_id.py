@@ -334,7 +334,7 @@ class Scorer:
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character (rows: texts, columns: languages), and whether there are letters."""
-        ends = np.cumsum([len(t or "") for t in texts]) // GROUP_CHARS
+        ends = np.cumsum([len(t or "") for t in texts], dtype=np.int64) // GROUP_CHARS
         groups = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1)
         parts = [self._entropies([texts[i] for i in g]) for g in groups]
         return np.concatenate([e for e, _ in parts]), np.concatenate([f for _, f in parts])
@@ -343,7 +343,7 @@ class Scorer:
         tables = [Counter(words_of(t)) for t in texts]
         words = [w for t in tables for w in t]
         n = np.fromiter((c for t in tables for c in t.values()), dtype=np.float64, count=len(words))
-        owners = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
+        owners = np.repeat(np.arange(len(tables)), np.array([len(t) for t in tables], dtype=np.int64))
         total, sizes = np.zeros((len(texts), self.langs)), np.zeros(len(texts))
         for lo in range(0, len(words), self.step):
             part = slice(lo, lo + self.step)
