@@ -98,6 +98,49 @@ def test_resume_and_stream(spark, tmp_path):
     assert batch["0"] == "MAYBE" and batch["1"] == "KEEP" and batch["2"] == "MAYBE"
 
 
+def test_stream_state(spark, tmp_path, monkeypatch):
+    """A run that dies after writing a batch loses and repeats nothing; batches read their own rows and the last results."""
+    from corpusmill.streaming import incremental as inc
+
+    source, root, model = str(tmp_path / "in"), str(tmp_path / "runs"), RuleAdapter(("good",))
+    early = spark.createDataFrame([("0", "title 0", "abstract"), (None, "no id", "abstract")], inc.PAPER)
+    assert inc.results(spark, root, "x") is None and inc.screen_batch(early, root, "x", model, model) == 1
+    for k in range(4):  # each file holds ten new papers, one with two texts, and one of the file before
+        rows = [(str(i), f"good title {i}", "abstract") for i in range(10 * k - (k > 0), 10 * k + 10)] + [(str(10 * k + 5), "a title", None), (None, "x", "y")]
+        spark.createDataFrame(rows, inc.PAPER).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(inc.PAPER).option("maxFilesPerTrigger", 1).parquet(source)
+    whole, runs = inc.two_stage, []
+
+    class Dies:
+        def __init__(self, out):
+            self.write = self
+            self.out = out
+
+        def mode(self, how):
+            return self
+
+        def parquet(self, path):
+            self.out.write.mode("overwrite").parquet(path)
+            runs.append(path)
+            if len(runs) == 2:
+                raise RuntimeError("died after writing")
+
+    monkeypatch.setattr(inc, "two_stage", lambda *a, **k: Dies(whole(*a, **k)))
+    with pytest.raises(Exception, match="died after writing"):
+        inc.screen_stream(stream(), root, "x", model, model, str(tmp_path / "cp")).awaitTermination()
+    q = inc.screen_stream(stream(), root, "x", model, model, str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert runs[1] == runs[2] and len(runs) == 5  # the batch that died was written anew, in its folder
+    out = inc.results(spark, root, "x").collect()
+    assert sorted(int(r["paper_id"]) for r in out) == list(range(40))
+    got = {r["paper_id"]: r["Decision"] for r in out}
+    assert got["0"] == got["5"] == got["35"] == "MAYBE" and got["9"] == got["39"] == "KEEP"  # 0 as settled before, 5 by its least text
+    assert max(p["numInputRows"] for p in q.recentProgress) <= 13 + 11  # a file, and what the batch before has settled
+    q = inc.screen_stream(stream(), root, "x", model, model, str(tmp_path / "other"))  # knows of the results only
+    q.awaitTermination()
+    assert len(runs) == 5 and inc.results(spark, root, "x").count() == 40
+
+
 def test_overrides_and_guard(spark):
     run = spark.createDataFrame([("1", "MAYBE", "j"), ("2", "KEEP", "j"), ("3", "MAYBE", "j")], "Source_Row_Index string, Decision string, Job_ID string")
     over = spark.createDataFrame([("1", "keep", "first", 1), ("1", "reject", "off", 2), ("1", "perhaps", "", 3), ("2", "reject", "", 1), ("3", "perhaps", "", 1)], "row_id string, decision string, reason string, place int")
