@@ -51,6 +51,8 @@ from corpusmill.llm.common import materialise, ship
 WINDOW = 1024
 #: Tails of an index shard; seeds scored at a time; neighbours looked at first.
 SHARD_DOCS, SEED_BLOCK, NEIGHBOURS = 4096, 512, 64
+#: Documents that a task turns into rows or index entries at a time, and postings that it adds up at a time.
+PART_DOCS, POSTINGS = 256, 500_000
 #: Terms of a key, and shards of a range at most.
 KEY_TERMS, RANGE_SHARDS = 4, 64
 #: Centroids of the content key, the documents that they are fitted on, and the steps of the fit.
@@ -193,15 +195,20 @@ class Shard:
 
     def __init__(self, tails: list[Tail], s: Statistics):
         self.s, self.n = s, len(tails)
-        owner, term = _entries(tails)
-        totals = np.array([t.total for t in tails], dtype=np.float64)
-        weight = s.weights(term, np.concatenate([t.counts for t in tails]).astype(np.float64), totals[owner])
-        c = s.column[term]
         self.dense = np.zeros((len(tails), s.width), np.float32)
-        self.dense[owner[c >= 0], c[c >= 0]] = weight[c >= 0]
-        rare = (c < 0) & (weight > 0)
-        order = np.argsort(term[rare], kind="stable")
-        self.terms, self.owner, self.weight = term[rare][order], owner[rare][order], weight[rare][order]
+        rare_ones = []
+        for at in range(0, len(tails), PART_DOCS):  # long documents have many terms, so only the rare ones of all tails are held
+            part = tails[at : at + PART_DOCS]
+            owner, term = _entries(part)
+            totals = np.array([t.total for t in part], dtype=np.float64)
+            weight = s.weights(term, np.concatenate([t.counts for t in part]).astype(np.float64), totals[owner])
+            owner, c = (owner + at).astype(np.int32), s.column[term]
+            self.dense[owner[c >= 0], c[c >= 0]] = weight[c >= 0]
+            rare = (c < 0) & (weight > 0)
+            rare_ones.append((term[rare], owner[rare], weight[rare]))
+        self.terms, self.owner, self.weight = map(np.concatenate, zip(*rare_ones, strict=True))
+        order = np.argsort(self.terms, kind="stable")
+        self.terms, self.owner, self.weight = self.terms[order], self.owner[order], self.weight[order]
 
     def scores(self, seeds: list[Tail]) -> np.ndarray:
         """BM25 of every tail (columns) for every seed (rows)."""
@@ -213,13 +220,25 @@ class Shard:
         row, term = row[c < 0], term[c < 0]
         first = np.searchsorted(self.terms, term)
         n = np.searchsorted(self.terms, term, side="right") - first
-        ends = np.cumsum(n)
-        if len(ends) and ends[-1]:
-            spots = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
-            flat = np.repeat(row, n) * self.n + self.owner[spots]
-            out += np.bincount(flat, self.weight[spots], out.size).reshape(out.shape).astype(np.float32)
+        # whole seeds at a time, so that each sum is added up in one go
+        ends = np.cumsum(np.bincount(row, n, len(seeds)).astype(np.int64))
+        at = 0
+        while at < len(seeds):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + POSTINGS, side="right")))
+            if ends[to - 1] > before:
+                own = slice(*np.searchsorted(row, (at, to)))
+                self._add_postings(out[at:to], row[own] - at, first[own], n[own])
+            at = to
         return out
 
+    def _add_postings(self, out: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray) -> None:
+        """Add the weights of ``n`` postings from ``first`` on to the scores in each ``row``."""
+        ends = np.cumsum(n)
+        spots = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
+        flat = np.repeat(row, n) * self.n + self.owner[spots]
+        out += np.bincount(flat, self.weight[spots], out.size).reshape(out.shape).astype(np.float32)
+
 
 def _entries(tails: list[Tail]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(tails)), [len(t.terms) for t in tails]), np.concatenate([t.terms for t in tails])
@@ -295,12 +314,19 @@ def _nullable(values: list) -> pd.Series:
     return pd.array([None if pd.isna(v) else int(v) for v in values], dtype="Int64")
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slices of batches: what is made of a few documents is passed on before the next ones are taken."""
+    for pdf in batches:
+        for at in range(0, len(pdf), PART_DOCS):
+            yield pdf.iloc[at : at + PART_DOCS]
+
+
 def _tails(docs: DataFrame, tokenizer: str, with_ids: bool) -> DataFrame:
     """A row per document: checksums of its full windows, the terms of all of it, its tail; all ids on demand."""
 
     def run(batches):
         encode, place, window = encoder(tokenizer), _number(36), _number(40)
-        for pdf in batches:
+        for pdf in _parts(batches):
             held: list[tuple] = []
             for doc_id, ids in zip(pdf["doc_id"], map(encode, pdf["text"]), strict=True):
                 t = Tail.of(doc_id, ids)
@@ -345,10 +371,9 @@ def _dealt(tails: DataFrame, s: Statistics, shard_docs: int) -> DataFrame:
     columns = ["place", "doc_id", "start", "total", "terms", "counts", "tail"]
 
     def keyed(batches):
-        for pdf in batches:
-            parts = [pdf.iloc[at : at + 256] for at in range(0, len(pdf), 256)]
-            key = [shipped.value.keys([np.frombuffer(t, "<u4") for t in p["terms"]], [np.frombuffer(c, "<u2") for c in p["counts"]], p["total"].to_numpy()) for p in parts]
-            key = np.concatenate([*key, np.zeros((0, len(keys)), np.int64)])
+        encoder.cache_clear()  # no text is encoded from here on
+        for pdf in _parts(batches):
+            key = shipped.value.keys([np.frombuffer(t, "<u4") for t in pdf["terms"]], [np.frombuffer(c, "<u2") for c in pdf["counts"]], pdf["total"].to_numpy())
             yield pdf.assign(doc_id=_nullable(pdf["doc_id"]), **{c: key[:, i] for i, c in enumerate(keys)})
 
     own = tails.select(*columns).where("octet_length(tail) > 0")

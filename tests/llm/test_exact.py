@@ -8,6 +8,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -136,6 +137,19 @@ def test_fill_takes_the_best_unused():
     assert [found[w] for w in range(windows)] == want
 
 
+def test_packing_shards_of_long_documents_stay_small():
+    rng = np.random.default_rng(5)
+    # 1,500 terms a document, each too rare for a dense column and in some 90 of the shard's documents
+    tails = [packing.Tail.of(i, rng.integers(1, 25_000, 1_500).astype("<u4")) for i in range(1_500)]
+    terms, df = np.unique(np.concatenate([t.terms for t in tails]), return_counts=True)
+    s = packing.Statistics(100 * len(tails), 1_500.0, terms, df)
+    tracemalloc.start()
+    assert sum(n for _, _, (_, _, n, *_) in packing.fill(tails, s)) // packing.WINDOW == 1_500 * 476 // packing.WINDOW
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+
+
 def test_packing_finds_neighbours_in_other_splits(frame):
     rng, topics = random.Random(5), 24
     words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(16)] for _ in range(topics)]
