@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -103,3 +104,52 @@ def screening_udf(adapter: ModelAdapter, size: int = 4, max_chars: int = 14_000,
             yield pd.DataFrame(rows, columns=["ids", "raw"])
 
     return run
+
+
+#: A row of :func:`reading_udf`: the papers that an answer settles, and the answer.
+READING = "paper_id array<string>, title array<string>, abstract array<string>, held array<string>, wanted array<boolean>, raw string"
+#: Characters of papers that are passed on together.
+READ_CHARS = 2_000_000
+
+
+def reading_udf(adapter: ModelAdapter, size: int = 4, max_chars: int = 14_000, budget_seconds: float = 1_800.0):
+    """mapInPandas function: (paper_id, title, abstract, held, wanted, asked) -> READING.
+
+    An answer stays beside the papers that it settles, so no text is joined to it. Papers
+    that are not asked about have a null answer, and those after the time budget, which
+    counts the time spent on answers, a blank one.
+    """
+    columns = [field.split()[0] for field in READING.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spent = 0.0
+        for pdf in frames:
+            rows, asked = list(pdf[columns[:-1]].itertuples(index=False, name=None)), pdf["asked"].to_numpy(bool)
+            out, chars = [], 0
+
+            def put(answered: list[tuple], raw: str | None) -> int:
+                out.append((*map(list, zip(*answered, strict=True)), raw))  # noqa: B023
+                return sum(len(r[1]) + len(r[2]) for r in answered)
+
+            papers = [dict(zip(columns[:3], r, strict=False)) for r, a in zip(rows, asked, strict=True) if a]
+            waiting = deque(r for r, a in zip(rows, asked, strict=True) if a)
+            for row in (r for r, a in zip(rows, asked, strict=True) if not a):
+                chars += put([row], None)
+                if chars > READ_CHARS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, chars = [], 0
+            for batch in batches_of(papers, size, max_chars):
+                own = defaultdict(deque)  # rows of an id in their order, in which answers come too
+                for p in batch:
+                    own[p["paper_id"]].append(waiting.popleft())
+                began = time.monotonic()
+                answers = [([p["paper_id"] for p in batch], "")] if spent > budget_seconds else answer_with_retry(adapter, batch, settled)
+                spent += time.monotonic() - began
+                for ids, raw in answers:
+                    chars += put([own[i].popleft() for i in ids], raw)
+                if chars > READ_CHARS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, chars = [], 0
+            yield pd.DataFrame(out, columns=columns)
+
+    return run

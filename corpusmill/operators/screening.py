@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import has_value, stripped, text
 from corpusmill.functions.values import identity, unfence
-from corpusmill.operators.adapters import ModelAdapter, screening_udf
+from corpusmill.operators.adapters import READING, ModelAdapter, reading_udf, screening_udf
 from corpusmill.operators.assessment import ASSESSMENT, ITEM, after_critic, check_quote, final_evidence, final_status, merge_decisions, model_decision, needs_critic, needs_deep, repair_quote, requires_verification, validate_batch
 from corpusmill.operators.frames import persisted
 
@@ -42,21 +42,30 @@ def stage_order(decision: Column) -> Column:
     return F.when(decision == "REJECT", 0).when(decision == "MAYBE", 1).otherwise(2)
 
 
-def assess(papers: DataFrame, adapter: ModelAdapter, **options) -> DataFrame:
-    """paper_id, assessment of every paper (paper_id, title, abstract); evidence is checked, not trusted.
+def _known(papers: DataFrame) -> DataFrame:
+    return papers.select(F.col("paper_id").cast("string").alias("paper_id"), text("title").alias("title"), text("abstract").alias("abstract"))
+
+
+def _read(rows: DataFrame, name: str, adapter: ModelAdapter, need: Column | None = None, **options) -> DataFrame:
+    """``rows`` (paper_id, title, abstract, earlier assessments) and the assessment ``name``, null where ``need`` does not hold.
 
-    The adapter's answers are written once, since a model need not answer the
-    same twice. Unanswered papers get a technical MAYBE, and papers without an
-    abstract one that says so, without a call.
+    Texts go through the reading beside their answers, with what earlier readings said
+    as one string, so nothing is shuffled.
     """
-    known = papers.select(F.col("paper_id").cast("string"), text("title").alias("title"), text("abstract").alias("abstract"))
-    asked = known.where(has_value("abstract"))
-    raw = persisted(asked.mapInPandas(screening_udf(adapter, **options), "ids array<string>, raw string"))
+    earlier = [c for c in rows.columns if c not in ("paper_id", "title", "abstract")]
+    held = rows.select(*earlier).schema
+    wanted = F.lit(True) if need is None else F.coalesce(need, F.lit(False))
+    sent = rows.withColumn("wanted", wanted).select("paper_id", "title", "abstract", (F.to_json(F.struct(*earlier)) if earlier else F.lit("")).alias("held"), "wanted", (F.col("wanted") & has_value("abstract") & F.col("paper_id").isNotNull()).alias("asked"))
     bare = F.regexp_replace("raw", r"(?is)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    # an answer is parsed once; it settles each of its ids once
-    items = F.filter(F.from_json(bare, ITEMS)["items"], lambda i: F.array_contains("ids", i["paper_id"]))
-    parsed = raw.select(F.explode(items).alias("i")).select("i.paper_id", "i")
-    joined = known.join(parsed, "paper_id", "left")
+    answered = sent.mapInPandas(reading_udf(adapter, **options), READING).withColumn("items", F.from_json(bare, ITEMS)["items"])  # an answer is parsed once
+    papers = answered.select("items", F.explode(F.arrays_zip("paper_id", "title", "abstract", "held", "wanted")).alias("x")).select("items", "x.*")
+    before = papers.select("*", F.from_json("held", held).alias("h")).drop("held") if earlier else papers.drop("held")
+    one = before.withColumn("i", F.get(F.filter("items", lambda i: i["paper_id"] == F.col("paper_id")), F.lit(0)))
+    return one.select("paper_id", "title", "abstract", *[F.col("h")[c].alias(c) for c in earlier], F.when(F.col("wanted"), _assessment()).alias(name))
+
+
+def _assessment() -> Column:
+    """What an answer's item ``i`` says of a paper (title, abstract); its evidence is checked, not trusted."""
     sound = F.col("i.decision").isin("KEEP", "MAYBE", "REJECT") & F.col("i.confidence").between(0, 1)
     quote = check_quote(F.col("i.evidence_quote"), F.col("title"), F.col("abstract"))
     definitive = F.col("i.decision").isin("KEEP", "REJECT")
@@ -68,8 +77,17 @@ def assess(papers: DataFrame, adapter: ModelAdapter, **options) -> DataFrame:
     proven = ~definitive | quote["valid"]
     flags = F.coalesce("i.risk_flags", none)
     ok = F.struct(F.col("i.decision"), F.col("i.decision"), F.col("i.confidence"), text("i.reason"), text("i.evidence_quote"), proven, F.lit(True), F.lit(True), proven, F.lit(False), F.lit(""), flags, none, quote["source"]).cast(ASSESSMENT)
-    out = F.when(~has_value("abstract"), technical("The abstract is missing.", "missing_abstract")).when(F.coalesce(sound, F.lit(False)), ok).otherwise(technical("No usable answer.", "local_inference_failure"))
-    return joined.select("paper_id", out.alias("assessment"))
+    return F.when(~has_value("abstract"), technical("The abstract is missing.", "missing_abstract")).when(F.coalesce(sound, F.lit(False)), ok).otherwise(technical("No usable answer.", "local_inference_failure"))
+
+
+def assess(papers: DataFrame, adapter: ModelAdapter, **options) -> DataFrame:
+    """paper_id, assessment of every paper (paper_id, title, abstract); evidence is checked, not trusted.
+
+    Assessments are written once, since a model need not answer the same twice.
+    Unanswered papers and those without an id get a technical MAYBE, and papers without
+    an abstract one that says so, without a call.
+    """
+    return persisted(_read(_known(papers), "assessment", adapter, **options).select("paper_id", "assessment"))
 
 
 def assess_by_criteria(papers: DataFrame, adapter: ModelAdapter, rubric: dict, **options) -> DataFrame:
@@ -102,17 +120,15 @@ def cascade(papers: DataFrame, triage: ModelAdapter, deep: ModelAdapter, critic:
 
     All papers are triaged. Uncertain, risky or rejecting ones are read in full, and
     what is still uncertain goes to a critic, who never replaces a valid deep reading
-    by an invalid one. Each layer is written before the next one asks for a part of it.
+    by an invalid one. The layers follow each other where a paper lies, and what they
+    said is written once.
     """
     validated = lambda c: F.coalesce(c["valid"] & ~c["technical_failure"], F.lit(False))
-    first = persisted(assess(papers, triage, **options).withColumnRenamed("assessment", "t"))
-    t = F.col("t")
-    open_ = first.where(needs_deep(t["decision"], risk(t), validated(t))).select("paper_id")
-    second = persisted(assess(papers.join(open_, "paper_id", "left_semi"), deep, **options).withColumnRenamed("assessment", "d"))
-    d = F.col("d")
-    left = second.where(needs_critic(d["decision"], risk(d), validated(d))).select("paper_id")
-    third = persisted(assess(papers.join(left, "paper_id", "left_semi"), critic, **options).withColumnRenamed("assessment", "c"))
-    both = first.join(second, "paper_id", "left").join(third, "paper_id", "left")
+    t, d = F.col("t"), F.col("d")
+    first = _read(_known(papers), "t", triage, **options)
+    second = _read(first, "d", deep, needs_deep(t["decision"], risk(t), validated(t)), **options)
+    third = _read(second, "c", critic, d.isNotNull() & needs_critic(d["decision"], risk(d), validated(d)), **options)
+    both = persisted(third.select("paper_id", "t", "d", "c"))
     c = F.col("c")
     judged = F.when(d.isNull(), t["decision"]).when(c.isNull(), d["decision"]).otherwise(after_critic(c["decision"], validated(c), d["decision"], validated(d)))
     layer = F.when(d.isNull(), "triage").when(c.isNull() | (~validated(c) & validated(d)), "deep").otherwise("critic")
@@ -124,13 +140,12 @@ def cascade(papers: DataFrame, triage: ModelAdapter, deep: ModelAdapter, critic:
 def two_stage(papers: DataFrame, primary: ModelAdapter, verifier: ModelAdapter, **options) -> DataFrame:
     """Both readings merged: paper_id, decision, confidence, reason, agreement, evidence and status.
 
-    The first stage is written before it branches, and only rows that need it are
-    read a second time.
+    Only papers that need it are read a second time, where they lie; what both readings
+    said is written once.
     """
-    first = persisted(assess(papers, primary, **options).withColumnRenamed("assessment", "p"))
-    need = papers.join(first.where(requires_verification(F.col("p"))).select("paper_id"), "paper_id", "left_semi")
-    second = persisted(assess(need, verifier, **options).withColumnRenamed("assessment", "v"))
-    return merged(first.join(second, "paper_id", "left"))
+    first = _read(_known(papers), "p", primary, **options)
+    second = _read(first, "v", verifier, requires_verification(F.col("p")), **options)
+    return merged(persisted(second.select("paper_id", "p", "v")))
 
 
 def merged(both: DataFrame) -> DataFrame:

@@ -172,3 +172,17 @@ def test_latency_and_population(spark):
     assert [r["row_id"] for r in screening.population(rows, limit=2).collect()] == [1, 2]
     assert screening.protocol_id("a", "", "", "") != screening.protocol_id("b", "", "", "")
     assert screening.may_finalise(spark.createDataFrame([("KEEP",)], "Decision string"))
+
+
+def test_readings_stay_beside_their_papers(spark):
+    """Each row is read by its own text, though an id comes twice, and no layer shuffles a text."""
+    rows = [("a", "keep it", "the the "), ("a", "drop it", "license"), ("b", "none", ""), (None, "no id", "the "), ("c", "x", "the ")]
+    papers = spark.createDataFrame(rows, "paper_id string, title string, abstract string").repartition(1)
+    keep, bar = RuleAdapter(("the ",), ("license",)), RuleAdapter((), ("license",))
+    got = screening.assess(papers, keep).select("paper_id", "assessment.decision", "assessment.failure_class").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "KEEP", ""), ("a", "REJECT", ""), ("b", "MAYBE", "missing_abstract"), ("c", "KEEP", ""), (None, "MAYBE", "local_inference_failure")]
+    both = [(r["paper_id"], r["Primary_Decision"], r["Verifier_Decision"]) for r in screening.two_stage(papers, keep, bar).collect()]
+    assert sorted(both, key=str) == [("a", "KEEP", "MAYBE"), ("a", "REJECT", ""), ("b", "MAYBE", ""), ("c", "KEEP", "MAYBE"), (None, "MAYBE", "")]
+    first = screening._read(screening._known(spark.range(9).selectExpr("id as paper_id", "'t' as title", "'the ' as abstract")), "p", keep)
+    second = screening._read(first, "v", bar, A.requires_verification(F.col("p")))
+    assert "Exchange" not in second._jdf.queryExecution().executedPlan().toString() and second.where("v is not null").count() == 9
