@@ -178,7 +178,8 @@ def prefix_base(a: Column, b: Column) -> Column:
         head = r"^(?:.* )?"
         same_head = F.regexp_extract(one, head, 0) == F.regexp_extract(many, head, 0)
         cut = one.substr(F.lit(1), F.length(one) - 1)
-        return F.when(same_head & (high == F.concat(low, F.lit("s"))), one).when(same_head & low.endswith("y") & (high == F.concat(F.lower(cut), F.lit("ies"))), cut)
+        # few pairs differ by a plural, so the heads are compared last
+        return F.when((high == F.concat(low, F.lit("s"))) & same_head, one).when(low.endswith("y") & (high == F.concat(F.lower(cut), F.lit("ies"))) & same_head, cut)
 
     return F.coalesce(stem(a, b), stem(b, a))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -18,12 +19,19 @@ MAX_INDEX = 1_000_000
 MAX_GROUPS, MAX_TERMS, OPEN_TERMS = 8, 8, 5
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _distinct_terms(terms: Column) -> Column:
     """Cleaned terms, first of each normalised key, none blank."""
-    pairs = F.filter(F.transform(terms, lambda t: F.struct(clean_term(t).alias("t"), norm_query(clean_term(t)).alias("k"))), lambda p: p["k"] != "")
-    keys = F.transform(pairs, lambda p: p["k"])
-    firsts = F.filter(F.transform(pairs, lambda p, i: F.struct(p["t"].alias("t"), (F.array_position(keys, p["k"]) == i + 1).alias("first"))), lambda p: p["first"])
-    return F.transform(firsts, lambda p: p["t"])
+    cleaned = F.transform(F.transform(terms, clean_term), lambda t: F.struct(t.alias("t"), norm_query(t).alias("k")))
+
+    def firsts(pairs: Column) -> Column:
+        return _once(F.transform(pairs, lambda p: p["k"]), lambda keys: F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+
+    return F.transform(_once(F.filter(cleaned, lambda p: p["k"] != ""), firsts), lambda p: p["t"])
 
 
 def _render(term: Column, prefix: bool, pubmed: bool) -> Column:
@@ -33,44 +41,73 @@ def _render(term: Column, prefix: bool, pubmed: bool) -> Column:
     return F.concat(out, F.lit("[tiab]")) if pubmed else out
 
 
-def _block(terms: Column, platform: str) -> Column:
-    """``(a OR b)`` of a group; blank without terms. Plural pairs become one wildcard, before the rest."""
-    clean = _distinct_terms(terms)
-    pubmed = platform == "pubmed"
-    if platform == "google_scholar":
-        shown = F.slice(F.transform(clean, lambda t: _render(t, False, pubmed)), 1, MAX_TERMS)
-    else:
-        # left to right: a term that is used up by an earlier pair neither leads nor follows
-        start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("stems"))
-        places = F.transform(clean, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+def _wildcards(clean: Column) -> Column:
+    """struct<stems, rest> of distinct terms: plural pairs become one stem each, what no pair uses is the rest."""
+    # left to right: a term that is used up by an earlier pair neither leads nor follows
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<string>").alias("stems"))
+    places = F.transform(clean, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
 
+    def parts(places: Column) -> Column:
         def step(acc: Column, left: Column) -> Column:
             # a later term pairs with this one even if an earlier pair took it
-            hits = F.filter(F.transform(places, lambda r: F.struct(r["i"].alias("i"), F.when(r["i"] > left["i"], prefix_base(left["t"], r["t"])).alias("stem"))), lambda x: x["stem"].isNotNull())
-            hit = F.get(hits, F.lit(0))
-            go = ~F.array_contains(acc["used"], left["i"]) & (F.size(hits) > 0)
-            return F.when(go, F.struct(F.concat(acc["used"], F.array(left["i"], hit["i"])).alias("used"), F.concat(acc["stems"], F.array(hit["stem"])).alias("stems"))).otherwise(acc)
-
-        done = F.aggregate(places, start, step)
-        stems = F.transform(done["stems"], lambda t: _render(t, True, pubmed))
-        rest = F.transform(F.filter(places, lambda p: ~F.array_contains(done["used"], p["i"])), lambda p: _render(p["t"], False, pubmed))
-        shown = F.slice(F.concat(stems, rest), 1, OPEN_TERMS)
+            hits = F.filter(F.transform(F.slice(places, left["i"] + 2, F.size(places)), lambda r: F.struct(r["i"].alias("i"), prefix_base(left["t"], r["t"]).alias("stem"))), lambda x: x["stem"].isNotNull())
+            paired = _once(F.get(hits, F.lit(0)), lambda hit: F.when(hit.isNotNull(), F.struct(F.concat(acc["used"], F.array(left["i"], hit["i"])).alias("used"), F.concat(acc["stems"], F.array(hit["stem"])).alias("stems"))).otherwise(acc))
+            return F.when(F.array_contains(acc["used"], left["i"]), acc).otherwise(paired)
+
+        def split(done: Column) -> Column:
+            rest = F.transform(F.filter(places, lambda p: ~F.array_contains(done["used"], p["i"])), lambda p: p["t"])
+            return F.struct(done["stems"].alias("stems"), rest.alias("rest"))
+
+        return _once(F.aggregate(places, start, step), split)
+
+    return _once(places, parts)
+
+
+def _joined(shown: Column) -> Column:
+    """``(a OR b)``; blank without terms."""
     return F.when(F.size(shown) > 0, F.concat(F.lit("("), F.array_join(shown, " OR "), F.lit(")"))).otherwise("")
 
 
+def _scholar_block(clean: Column) -> Column:
+    return _joined(F.transform(F.slice(clean, 1, MAX_TERMS), lambda t: _render(t, False, False)))
+
+
+def _open_block(parts: Column, pubmed: bool) -> Column:
+    """Wildcards, before the rest."""
+    return _joined(F.slice(F.concat(F.transform(parts["stems"], lambda t: _render(t, True, pubmed)), F.transform(parts["rest"], lambda t: _render(t, False, pubmed))), 1, OPEN_TERMS))
+
+
+def _query(blocks: Column, platform: str) -> Column:
+    query = F.array_join(F.filter(blocks, lambda b: b != ""), " AND ")
+    return {"scopus": F.concat(F.lit("TITLE-ABS-KEY("), query, F.lit(")")), "web_of_science": F.concat(F.lit("TS=("), query, F.lit(")"))}.get(platform, query)
+
+
+def _compiled(groups: Column, platforms: tuple[str, ...]) -> Column:
+    """array<struct<platform, query>>: terms are cleaned once for all platforms, and paired once."""
+
+    def of(clean: Column) -> Column:
+        scholar = F.transform(clean, _scholar_block)
+
+        def queries(parts: Column | None) -> Column:
+            blocks = lambda p: scholar if p == "google_scholar" else F.transform(parts, lambda g: _open_block(g, p == "pubmed"))
+            return F.array(*[F.struct(F.lit(p).alias("platform"), _query(blocks(p), p).alias("query")) for p in platforms])
+
+        return queries(None) if set(platforms) == {"google_scholar"} else _once(F.transform(clean, _wildcards), queries)
+
+    return _once(F.transform(F.slice(groups, 1, MAX_GROUPS), _distinct_terms), of)
+
+
 def compile_query(groups: Column, platform: str) -> Column:
     """AND of the OR blocks of the first eight groups (array<array<string>>)."""
-    blocks = F.filter(F.transform(F.slice(groups, 1, MAX_GROUPS), lambda g: _block(g, platform)), lambda b: b != "")
-    query = F.array_join(blocks, " AND ")
-    return {"scopus": F.concat(F.lit("TITLE-ABS-KEY("), query, F.lit(")")), "web_of_science": F.concat(F.lit("TS=("), query, F.lit(")"))}.get(platform, query)
+    return F.get(_compiled(groups, (platform,)), F.lit(0))["query"]
 
 
 def compile_bundle(concepts: DataFrame, keys: tuple[str, ...] = (), platforms: tuple[str, ...] = PLATFORMS) -> DataFrame:
     """version, platform, query (and ``keys``) of concepts (label, balanced_terms, high_recall_terms)."""
     versions = {"balanced": "balanced_terms", "high_recall": "high_recall_terms"}
     terms = lambda field: F.transform("concepts", lambda c: c[field])
-    rows = [F.struct(F.lit(v).alias("version"), F.lit(p).alias("platform"), compile_query(terms(f), p).alias("query")) for v, f in versions.items() for p in platforms]
-    return concepts.select(*keys, F.explode(F.array(*rows)).alias("q")).select(*keys, "q.*")
+    rows = F.concat(*[F.transform(_compiled(terms(f), platforms), lambda q: F.struct(F.lit(v).alias("version"), q["platform"].alias("platform"), q["query"].alias("query"))) for v, f in versions.items()])
+    return concepts.select(*keys, F.explode(rows).alias("q")).select(*keys, "q.*")
 
 
 def proposal_errors(concepts: Column, question: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import values as V
-from corpusmill.operators import audit, flow, gold
+from corpusmill.operators import audit, boolean_query, flow, gold
 from corpusmill.operators.question import Parser, parse, term_source
 from corpusmill.sources import ingest, sinks
 
@@ -324,3 +324,13 @@ def test_ordered_fingerprints(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert gold.ordered_fingerprint(whole.limit(0), ["k"]) == "0:0:0"
+
+
+def test_terms_are_cleaned_once_for_all_platforms(spark):
+    """A term's patterns stand once in the plan of a version, not once a platform and a use, nor once a pair of terms."""
+    concepts = spark.range(1).selectExpr("array(named_struct('label', 'a', 'balanced_terms', array('b_c', 'b c', 'bc'), 'high_recall_terms', array('city', 'Cities', 'b', 'bs', 'b'))) as concepts")
+    bundle = boolean_query.compile_bundle(concepts)
+    assert bundle._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 6
+    got = {(r["version"], r["platform"]): r["query"] for r in bundle.collect()}
+    assert len(got) == 10 and got["balanced", "google_scholar"] == '("b c" OR "bc")' and got["high_recall", "pubmed"] == "(cit*[tiab] OR b*[tiab])"
+    assert got["high_recall", "google_scholar"] == '("city" OR "Cities" OR "b" OR "bs")'
