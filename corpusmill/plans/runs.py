@@ -194,7 +194,7 @@ def run_fingerprint(spark, sf_dir):
     """The content fingerprint: its first sum from plain hashes, and that only content changes it."""
     run = screened(spark, sf_dir).select("Decision", "Source_Row_Index", "Abstract")
     whole = gold.content_fingerprint(run)
-    shuffled, named = gold.content_fingerprint(run.repartition(7, "Decision")), gold.content_fingerprint(run.withColumn("Job_ID", F.lit("x")))
+    shuffled, named = gold.content_fingerprint(run.repartition("Source_Row_Index")), gold.content_fingerprint(run.withColumn("Job_ID", F.lit("x")))
     changed = gold.content_fingerprint(run.withColumn("Decision", F.when(F.col("Source_Row_Index") == run.agg(F.min("Source_Row_Index")).first()[0], "other").otherwise(F.col("Decision"))))
     h = run.select(V.row_fingerprint(["Decision", "Source_Row_Index", "Abstract"]).alias("h"))
     sums = h.agg(F.count("*").alias("n"), F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias("s0"))

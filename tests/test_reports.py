@@ -334,3 +334,15 @@ def test_terms_are_cleaned_once_for_all_platforms(spark):
     got = {(r["version"], r["platform"]): r["query"] for r in bundle.collect()}
     assert len(got) == 10 and got["balanced", "google_scholar"] == '("b c" OR "bc")' and got["high_recall", "pubmed"] == "(cit*[tiab] OR b*[tiab])"
     assert got["high_recall", "google_scholar"] == '("city" OR "Cities" OR "b" OR "bs")'
+
+
+def test_run_fingerprint_deals_rows_by_their_own_keys(spark, monkeypatch):
+    """The rows of a decision are not dealt to one task to show that order does not count."""
+    import __spark_entry__
+
+    plans, whole = [], gold.content_fingerprint
+    monkeypatch.setattr(gold, "content_fingerprint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df))
+    row = __spark_entry__.queries()["run_fingerprint"](spark, "/root/testdata/sf0.001").first()
+    assert row["free_of_order"] and row["free_of_job"] and row["sees_change"]
+    dealt = [p.splitlines()[0] for p in plans if p.startswith("Repartition")]
+    assert len(dealt) == 1 and "Source_Row_Index" in dealt[0] and "Decision" not in dealt[0]
