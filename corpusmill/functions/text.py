@@ -28,8 +28,12 @@ def text(c: Column | str) -> Column:
 
 
 def ustrip(c: Column | str) -> Column:
-    """Without Unicode white space at both ends; null stays null."""
-    return F.regexp_replace(_column(c), r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends; null stays null.
+
+    One match of the whole string, which looks back from its end: to try each place in
+    turn for white space up to the end takes longer, and the square of a run of spaces.
+    """
+    return F.regexp_replace(_column(c), r"(?Us)\A\s*+(.*\S)?\s*+\z", "$1")
 
 
 def stripped(c: Column | str) -> Column:
@@ -38,8 +42,8 @@ def stripped(c: Column | str) -> Column:
 
 
 def has_value(c: Column | str) -> Column:
-    """Neither null nor blank."""
-    return F.coalesce(ustrip(_column(c).cast("string")) != "", F.lit(False))
+    """Neither null nor blank; the search ends at the first character that is no white space."""
+    return F.coalesce(_column(c).cast("string").rlike(r"(?U)\S"), F.lit(False))
 
 
 def norm_dedup(c: Column | str) -> Column:

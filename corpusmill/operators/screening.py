@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import has_value, stripped, text
+from corpusmill.functions.text import has_value, strip_quotes_once, stripped, text
 from corpusmill.functions.values import identity, unfence
 from corpusmill.operators.adapters import READING, ModelAdapter, reading_udf, screening_udf
-from corpusmill.operators.assessment import ASSESSMENT, ITEM, after_critic, check_quote, final_evidence, final_status, merge_decisions, model_decision, needs_critic, needs_deep, repair_quote, requires_verification, validate_batch
+from corpusmill.operators.assessment import ASSESSMENT, ITEM, after_critic, check_bare_quote, final_evidence, final_status, merge_decisions, model_decision, needs_critic, needs_deep, repair_quote, requires_verification, validate_batch
 from corpusmill.operators.frames import persisted
 
 ITEMS = "items array<struct<paper_id:string,decision:string,confidence:double,reason:string,evidence_quote:string,risk_flags:array<string>>>"
@@ -56,19 +56,20 @@ def _read(rows: DataFrame, name: str, adapter: ModelAdapter, need: Column | None
     held = rows.select(*earlier).schema
     wanted = F.lit(True) if need is None else F.coalesce(need, F.lit(False))
     sent = rows.withColumn("wanted", wanted).select("paper_id", "title", "abstract", (F.to_json(F.struct(*earlier)) if earlier else F.lit("")).alias("held"), "wanted", (F.col("wanted") & has_value("abstract") & F.col("paper_id").isNotNull()).alias("asked"))
-    bare = F.regexp_replace("raw", r"(?is)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    bare = F.when(F.col("raw").contains("```"), F.regexp_replace("raw", r"(?is)^\s*```(?:json)?\s*|\s*```\s*$", "")).otherwise(F.col("raw"))
     answered = sent.mapInPandas(reading_udf(adapter, **options), READING).withColumn("items", F.from_json(bare, ITEMS)["items"])  # an answer is parsed once
     papers = answered.select("items", F.explode(F.arrays_zip("paper_id", "title", "abstract", "held", "wanted")).alias("x")).select("items", "x.*")
     before = papers.select("*", F.from_json("held", held).alias("h")).drop("held") if earlier else papers.drop("held")
     one = before.withColumn("i", F.get(F.filter("items", lambda i: i["paper_id"] == F.col("paper_id")), F.lit(0)))
+    # columns of their own, so that a quote is cleaned and searched once
+    one = one.withColumn("said", strip_quotes_once(F.col("i.evidence_quote"))).withColumn("quote", check_bare_quote(F.col("said"), F.col("title"), F.col("abstract")))
     return one.select("paper_id", "title", "abstract", *[F.col("h")[c].alias(c) for c in earlier], F.when(F.col("wanted"), _assessment()).alias(name))
 
 
 def _assessment() -> Column:
-    """What an answer's item ``i`` says of a paper (title, abstract); its evidence is checked, not trusted."""
+    """What an answer's item ``i``, whose ``quote`` was checked, says of a paper (title, abstract)."""
     sound = F.col("i.decision").isin("KEEP", "MAYBE", "REJECT") & F.col("i.confidence").between(0, 1)
-    quote = check_quote(F.col("i.evidence_quote"), F.col("title"), F.col("abstract"))
-    definitive = F.col("i.decision").isin("KEEP", "REJECT")
+    quote, definitive = F.col("quote"), F.col("i.decision").isin("KEEP", "REJECT")
     none = F.array().cast("array<string>")
 
     def technical(reason: str, failure: str) -> Column:

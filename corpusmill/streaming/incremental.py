@@ -1,8 +1,8 @@
 """Incremental screening on Structured Streaming.
 
 Records arrive as files; each micro-batch screens what no earlier batch or run has
-settled and writes it under the run's identity. A stream keeps one small state per
-paper id in Spark's state store, and reads the results of other runs of the identity as
+settled and writes it under the run's identity. A stream keeps the paper ids it has
+seen in Spark's state store (``dropDuplicates``), and reads the results of other runs of the identity as
 a second stream, so every row is read once and a batch costs what its own rows cost,
 however many papers are settled. A restart goes on from the checkpoint; a batch that
 died is written anew in its own folder, so nothing is lost or repeated. If nothing is
@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusmill.functions.values import progress_percent, remaining_seconds
 from corpusmill.operators.adapters import ModelAdapter
@@ -31,6 +31,8 @@ from corpusmill.operators.screening import pending, two_stage
 _active = threading.Lock()
 
 PAPER = "paper_id string, title string, abstract string"
+#: Parts of a batch in which the least text of each paper is found; a task holds one part at a time.
+GROUPS = 1_024
 #: Keeps state on disk, so that it may outgrow the memory of the executors.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -74,19 +76,13 @@ def screen_batch(papers: DataFrame, root: str, identity: str, primary: ModelAdap
     return n
 
 
-def _first_texts(key, frames, state: GroupState):
-    """The least text of a paper that is neither settled nor seen; its state is that it was seen."""
-    least, settled = None, state.exists
+def _least_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per paper: that of a settled one, else its least text."""
+    least = None
     for pdf in frames:
-        settled |= bool(pdf["settled"].any())
-        for row in pdf[["title", "abstract"]].itertuples(index=False) if not settled else ():
-            text = [None if pd.isna(x) else x for x in row]
-            order = [(x is not None, x or "") for x in text]
-            least = min(least, (order, text), key=lambda x: x[0]) if least else (order, text)
-    if not state.exists:
-        state.update((True,))
-    if not settled:
-        yield pd.DataFrame([[key[0], *least[1]]], columns=["paper_id", "title", "abstract"])
+        rows = pdf if least is None else pd.concat([least, pdf])
+        least = rows.sort_values(["settled", "title", "abstract"], ascending=[False, True, True], na_position="first").drop_duplicates("paper_id")
+    yield least
 
 
 def unsettled(stream: DataFrame, folder: str) -> DataFrame:
@@ -98,7 +94,9 @@ def unsettled(stream: DataFrame, folder: str) -> DataFrame:
     done = spark.readStream.schema("paper_id string").option("basePath", folder).parquet(folder)
     done = done.select("paper_id", *[F.lit(None).cast("string").alias(c) for c in ("title", "abstract")], F.lit(True).alias("settled"))
     rows = _papers(stream).withColumn("settled", F.lit(False)).unionByName(done)
-    return rows.groupBy("paper_id").applyInPandasWithState(_first_texts, PAPER, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    # the least text of a batch needs no state; that a paper was seen is Spark's own, without a call to Python
+    one = rows.groupBy(F.pmod(F.xxhash64("paper_id"), F.lit(GROUPS))).applyInPandas(_least_texts, rows.schema)
+    return one.dropDuplicates(["paper_id"]).where("not settled").drop("settled")
 
 
 def screen_stream(stream: DataFrame, root: str, identity: str, primary: ModelAdapter, verifier: ModelAdapter, checkpoint: str, **options) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Validity, merging, quotes, routing, resume, overrides."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,48 @@ def test_stream_state(spark, tmp_path, monkeypatch):
     assert len(runs) == 5 and inc.results(spark, root, "x").count() == 40
 
 
+def test_stream_keeps_ids_natively(spark, tmp_path):
+    """Spark keeps the state without a call to Python a paper; of the texts of a batch the least one counts, nulls first."""
+    from corpusmill.streaming import incremental as inc
+
+    source, root = str(tmp_path / "in"), str(tmp_path / "runs")
+    settled = spark.createDataFrame([("s", "t", "a")], inc.PAPER)
+    assert inc.screen_batch(settled, root, "x", RuleAdapter(("good",)), RuleAdapter(("good",))) == 1
+    rows = [("a", "b", "x"), ("a", "B", "z"), ("a", "B", "y"), ("n", "", ""), ("n", None, "z"), ("m", "t", "a"), ("m", "t", None), ("s", None, None), (None, None, "x"), ("u", "\U0001f600", "x"), ("u", "\uffee", "x")]
+    spark.createDataFrame(rows, inc.PAPER).coalesce(1).write.parquet(source)
+    spark.createDataFrame([("a", "A", None), ("new", "t", "a")], inc.PAPER).coalesce(1).write.mode("append").parquet(source)
+    for k, f in enumerate(sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)):
+        os.utime(f, (10 * k + 10, 10 * k + 10))
+    seen = []
+    stream = spark.readStream.schema(inc.PAPER).option("maxFilesPerTrigger", 1).parquet(source)
+    key, provider = inc.STATE_STORE
+    before = spark.conf.get(key)
+    spark.conf.set(key, provider)
+    try:
+        q = inc.unsettled(stream, f"{root}/identity=x").writeStream.foreachBatch(lambda batch, n: seen.append({tuple(r) for r in batch.collect()})).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(key, before)
+    q.awaitTermination()
+    assert seen == [{("a", "B", "y"), ("n", None, "z"), ("m", "t", None), ("u", "\uffee", "x")}, {("new", "t", "a")}]
+    assert {s["operatorName"] for p in q.recentProgress for s in p["stateOperators"]} == {"dedupe"}
+
+
+def test_blanks_take_time_in_proportion(spark):
+    """Stripping a long run of spaces inside a text took the square of its length."""
+    import time
+
+    from corpusmill.functions.text import has_value, ustrip
+
+    ends = [" ", "\n", "\u2028", "\u3000", ""]
+    rows = [(f"{a}x{b}y{c}", f"x{b}y") for a in ends for b in ends for c in ends]
+    rows += [("a" + " " * 150_000 + "b\n", "a" + " " * 150_000 + "b"), (" " * 150_000, ""), ("\r\n", ""), ("", ""), (None, None)]
+    df = spark.createDataFrame(rows, "t string, bare string")
+    began = time.monotonic()
+    got = df.select(ustrip("t").alias("s"), "bare", has_value("t").alias("v")).collect()
+    assert all(r["s"] == r["bare"] and r["v"] == bool(r["bare"]) for r in got)
+    assert time.monotonic() - began < 10
+
+
 def test_overrides_and_guard(spark):
     run = spark.createDataFrame([("1", "MAYBE", "j"), ("2", "KEEP", "j"), ("3", "MAYBE", "j")], "Source_Row_Index string, Decision string, Job_ID string")
     over = spark.createDataFrame([("1", "keep", "first", 1), ("1", "reject", "off", 2), ("1", "perhaps", "", 3), ("2", "reject", "", 1), ("3", "perhaps", "", 1)], "row_id string, decision string, reason string, place int")
