@@ -1,8 +1,9 @@
 """WARC archives: a writer that dedups payloads, and a reader that salvages.
 
 Writer: payload digests are grouped with map-side combining, and the record with
-the largest id of each digest becomes the response; the others revisit it. Each
-task writes gzip members, one a record, to files of bounded size in the shared
+the largest id of each digest becomes the response; the others revisit it. Only
+digests of several rows are looked up again, so payloads that are not repeated need
+no shuffle, unless few tasks hold most rows of the input. Each task writes gzip members, one a record, to files of bounded size in the shared
 folder; the committed manifest names the files that count, so files of lost or
 repeated tasks are never read.
 
@@ -37,9 +38,16 @@ from corpusmill.llm.common import forget, materialise, shared_dir, ship, with_fa
 
 FILE_BYTES = 64 << 20
 CHUNK = 1 << 18
+#: Bytes of a member that are unpacked first; most members end there.
+FIRST = 1 << 12
+#: Rows that one task may hold in any case without their being dealt to others.
+TASK_ROWS = 10_000
 LEVEL = 4
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+VERSION_LINE, HEADER_LINE = re.compile(r"WARC/1\.\d+"), re.compile(r"[^\s:]+:")
+RECORD_LENGTH, HTTP_LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)\s*$"), re.compile(rb"(?im)^content-length:\s*(\d+)")
+NOT_IN_URL = re.compile(r"[\x00-\x20\x7f]")
 #: Bytes in which the header of a record must end; what has no such end is quarantined.
 MAX_HEADER = 1 << 26
 DATE = "2024-01-01T00:00:00Z"
@@ -53,7 +61,7 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """One WARC record; with ``refers_to`` a revisit, which has HTTP headers but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+    target = NOT_IN_URL.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
@@ -74,14 +82,21 @@ def member(record: bytes) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
+def crowded(rows: DataFrame) -> bool:
+    """Whether one task of ``rows`` has more than twice its share of them; of a Parquet file this reads the footer only."""
+    most, total = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    return (most or 0) > max(TASK_ROWS, 2 * (total or 0) / rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write a record per row of page_id, url, html; returns the manifest (path, bytes, records)."""
     spark = pages.sparkSession
     ship(spark)
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    largest = materialise(rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")), "warc-digests")
-    linked = with_facts(rows, largest, ["sha"], "n")  # the page that a third of all rows repeat is met everywhere
+    repeated = materialise(rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "warc-digests")
+    facts = repeated.hint("merge") if crowded(pages) else repeated  # a shuffle by digest deals crowded rows out
+    linked = with_facts(rows, facts, ["sha"], "n")  # the page that a third of all rows repeat is met everywhere
     base = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
 
     def run(batches):
@@ -109,7 +124,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_
     manifest = linked.select("page_id", "url", "payload", "sha", "first").mapInPandas(run, "path string, bytes long, records long")
     prefix = base.split("://")[0] + "://" if "://" in base else "file://"
     done = materialise(manifest.select(F.concat(F.lit(prefix), "path").alias("path"), "bytes", "records"), "warc-manifest")
-    forget(largest)
+    forget(repeated)
     return done
 
 
@@ -128,7 +143,8 @@ class _Window:
 
     def get(self, at: int, n: int) -> bytes:
         self.fill(at + n)
-        return bytes(self.buffer[at - self.start : at - self.start + n])
+        with memoryview(self.buffer) as held:
+            return bytes(held[at - self.start : at - self.start + n])
 
     def let_go(self, at: int) -> None:
         if at - self.start > 4 * CHUNK:
@@ -154,7 +170,7 @@ def parse_record(data: bytes) -> dict:
     """Fields of one whole WARC record; raises BadRecord if any check fails."""
     head, found, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not found or not re.fullmatch(r"WARC/1\.\d+", lines[0]) or not all(re.match(r"[^\s:]+:", x) or x[:1] in " \t" for x in lines[1:]):
+    if not found or not VERSION_LINE.fullmatch(lines[0]) or not all(HEADER_LINE.match(x) or x[:1] in " \t" for x in lines[1:]):
         raise BadRecord("no WARC header")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     if not fields.get("content-length", "").isdigit():
@@ -163,7 +179,7 @@ def parse_record(data: bytes) -> dict:
     if len(rest) < n + 4 or rest[n : n + 4] != b"\r\n\r\n":
         raise BadRecord("wrong length")
     http, _, payload = rest[:n].partition(b"\r\n\r\n")
-    declared = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+    declared = HTTP_LENGTH.search(http)
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     kind = fields.get("warc-type", "")
     if kind == "response" and (declared is None or int(declared[1]) != len(payload) or base32_sha1(payload) != digest):
@@ -185,7 +201,7 @@ def _declared(data: bytes) -> int | None:
     cut = data.find(b"\r\n\r\n")
     if cut < 0:
         return None
-    length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", data[:cut].replace(b"\r", b""))
+    length = RECORD_LENGTH.search(data[:cut].replace(b"\r", b""))
     if not length:
         raise BadRecord("no content length")
     return cut + 4 + int(length[1]) + 4
@@ -193,13 +209,13 @@ def _declared(data: bytes) -> int | None:
 
 def _member_at(window: _Window, at: int) -> tuple[bytes, int]:
     """Content of the gzip member at ``at``, and where it ends."""
-    unpack, out, here, size, limit = zlib.decompressobj(31), [], at, 0, None
+    unpack, out, here, size, limit, step = zlib.decompressobj(31), [], at, 0, None, FIRST
     try:
         while not unpack.eof:
-            part = window.get(here, CHUNK)
+            part = window.get(here, step)
             if not part:
                 raise BadRecord("truncated member")
-            here += len(part)
+            here, step = here + len(part), min(CHUNK, 4 * step)
             while True:
                 out.append(unpack.decompress(part, CHUNK))
                 size, part = size + len(out[-1]), unpack.unconsumed_tail
@@ -207,7 +223,7 @@ def _member_at(window: _Window, at: int) -> tuple[bytes, int]:
                     limit = _declared(b"".join(out))
                 if size > (MAX_HEADER if limit is None else limit):
                     raise BadRecord("no end of header" if limit is None else "a member larger than its record")
-                if not part and len(out[-1]) < CHUNK:
+                if unpack.eof or (not part and len(out[-1]) < CHUNK):  # after the end, the tail is what follows the member
                     break
             here -= len(unpack.unused_data)
     except zlib.error as e:
@@ -288,7 +304,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     yield _frame(held, columns)
 
     files = max(1, manifest.count())
-    return manifest.select("path").repartition(files).mapInPandas(run, SCHEMA + ", payload binary" * payloads)
+    return manifest.select("path").coalesce(1).repartition(files).mapInPandas(run, SCHEMA + ", payload binary" * payloads)
 
 
 def _frame(held: list[dict], columns: list[str]) -> pd.DataFrame:

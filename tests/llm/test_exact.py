@@ -501,6 +501,63 @@ def test_salvage_covers_every_byte(where, value, n):
     assert sum(x[0] == "record" for x in got) >= 3
 
 
+def test_reader_takes_each_byte_few_times(monkeypatch):
+    """Small members are unpacked from small pieces, not from a whole chunk each."""
+    payloads = [f"page {i}".encode() for i in range(4_000)]
+    data = b"".join(warc.member(warc.record_bytes(i, "u", p, warc.base32_sha1(p), None)) for i, p in enumerate(payloads))
+    taken, get = [], warc._Window.get
+    monkeypatch.setattr(warc._Window, "get", lambda self, at, n: taken.append(out := get(self, at, n)) or out)
+    assert sum(x["kind"] == "record" for x in warc.salvage(io.BytesIO(data))) == 4_000
+    assert sum(map(len, taken)) < 30 * len(data) and len(data) > 3 * warc.CHUNK
+
+
+@pytest.mark.parametrize("n", [1, warc.CHUNK - 400, warc.CHUNK, warc.CHUNK + 1, 5 * warc.CHUNK])
+def test_long_members_before_others(monkeypatch, n):
+    """A member of several pieces ends where the next one begins."""
+    payloads = [(b"<p>a page of many words</p>" * n)[:n], os.urandom(n), b"short", b"y" * n, b""]
+    parts = [warc.member(warc.record_bytes(i, "u", p, warc.base32_sha1(p), None)) for i, p in enumerate(payloads)]
+    calls, real = [], zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *a):
+            self.real = real(*a)
+
+        def decompress(self, *a):
+            calls.append(1)
+            assert len(calls) < 200, "no end"
+            return self.real.decompress(*a)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    got = list(warc.salvage(io.BytesIO(b"".join(parts))))
+    assert [(x["kind"], x["length"], x.get("payload")) for x in got] == [("record", len(m), p) for m, p in zip(parts, payloads, strict=True)]
+
+
+def test_only_repeated_digests_are_looked_up(frame, monkeypatch):
+    """Pages of their own are written without their digests being kept or joined by a shuffle."""
+    kept, keep = {}, warc.materialise
+    monkeypatch.setattr(warc, "materialise", lambda df, name: kept.setdefault(name, (out := keep(df, name), out.count()))[0])
+    pages = frame([(i, "u", f"page {i % 90}") for i in range(100)] + [(None, "u", None), (None, "u", "alone"), (None, "u", "")], "page_id long, url string, html string")
+    out = {(r["record_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_archives(warc.write_archives(pages)).collect()}
+    assert kept["warc-digests"][1] == 11
+    expected = {(f"<urn:page:{i}>", len(f"page {i % 90}"), "revisit" if i < 10 else "response", f"<urn:page:{i + 90}>" if i < 10 else None) for i in range(100)}
+    assert out == expected | {("<urn:page:None>", 0, "response", None), ("<urn:page:None>", 5, "response", None)}
+
+
+def test_rows_of_one_task_are_dealt_out(spark, monkeypatch):
+    """A table that one task reads whole is written by several, repeated pages or not."""
+    monkeypatch.setattr(warc, "TASK_ROWS", 100, raising=False)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda k: F.sha2(F.concat_ws(" ", k, F.least("id", F.lit(3_000))), 256)), " ")
+    pages = spark.range(4_000).coalesce(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), text.alias("html"))
+    manifest = warc.write_archives(pages)
+    out = warc.read_archives(manifest)
+    assert manifest.where("records < 2500").count() == manifest.count() > 1
+    assert out.count() == 4_000 and out.where("record_type = 'revisit' and refers_to = '<urn:page:3999>'").count() == 999
+    assert warc.crowded(pages) and not warc.crowded(pages.repartition(4))
+
+
 # --- pipeline
 
 
